@@ -1,0 +1 @@
+"""Kept empty on purpose: the engine's scope has no unbounded input, window or state operator (see README)."""
