@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from notewright.constants import BARS_PER_SECTION, BEATS_PER_BAR, UNITS_PER_BAR, UNITS_PER_DELTA
 from notewright.functions.instruments import instrument_label
+from notewright.operators.windows import shifts_between
 
 # Layout of a packed event: bar in section | time in bar (0..32) | is Note-On | pitch.
 _TIME_BITS = UNITS_PER_BAR * 2
@@ -147,9 +148,7 @@ def encode(notes: DataFrame, tracks: DataFrame, n_bar: int = BARS_PER_SECTION, f
 
 
 def ordered_events(notes: DataFrame) -> DataFrame:
-    """On/off events per track with the shift since the previous event; long tracks are cut at bars."""
-    from notewright.operators.windows import shifts_between
-
+    """On/off events per track with the shift since the previous event."""
     return shifts_between(note_events(notes), ["piece_id", "track_id"], "t", ["kind", "pitch"], UNITS_PER_BAR * 8)
 
 
@@ -172,3 +171,44 @@ def lost_units(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
         return F.aggregate(odd, F.lit(0), lambda a, x: a + x)
 
     return bars.groupBy("piece_id", "track_id").agg(F.sum(lost(F.col("bar"))).alias("lost_u"))
+
+
+def bars_of(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
+    """(piece_id, track_id, section, bar, events): one row per bar, empty bars included."""
+    return section_events(notes, n_bar).select(
+        "piece_id", "track_id", "section", F.posexplode("bars").alias("in_section", "events")
+    ).select(
+        "piece_id", "track_id", "section", (F.col("section") * n_bar + F.col("in_section")).alias("bar"), "events"
+    )
+
+
+def bar_events(notes: DataFrame) -> DataFrame:
+    """One row per event with the time since the previous event of its bar (or since the start of the bar)."""
+    events = F.col("events")
+
+    def unpack(event: Column, i: Column) -> Column:
+        previous = F.when(i == 0, F.lit(0)).otherwise(_time_of(F.get(events, i - 1)))
+        return F.struct(
+            i.alias("pos"), _time_of(event).alias("t"), _is_on(event).alias("is_on"),
+            (event % _PITCHES).alias("pitch"), (_time_of(event) - previous).alias("shift_u"),
+        )
+
+    return bars_of(notes).select("piece_id", "track_id", "bar", F.inline(F.transform(events, unpack)))
+
+
+def dropped_before_bar_end(notes: DataFrame) -> DataFrame:
+    """Units between the last event of a bar and the bar end, which the text leaves out."""
+    filled = F.coalesce(_time_of(F.get("events", F.size("events") - 1)), F.lit(0))
+    return bars_of(notes).select("piece_id", "track_id", "bar", (UNITS_PER_BAR - filled).alias("dropped_u"))
+
+
+def bar_densities(notes: DataFrame) -> DataFrame:
+    return bars_of(notes).select("piece_id", "track_id", "section", "bar", bar_density(F.col("events")).alias("density"))
+
+
+def section_order(sections: DataFrame) -> DataFrame:
+    """Place of each section in its piece: by section, then by track."""
+    ordered = F.array_sort(F.collect_list(F.struct("section", "track_id")))
+    return sections.groupBy("piece_id").agg(ordered.alias("places")).select(
+        "piece_id", F.posexplode("places").alias("position", "place")
+    ).select("piece_id", "position", "place.section", "place.track_id")

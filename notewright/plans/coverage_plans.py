@@ -109,7 +109,7 @@ def c08(corpus):
 @query(
     "C09",
     """
-    SELECT piece_id, frame, pitch, CAST(sum(velocity) AS BIGINT) AS velocity, (frame % 32 = 0) AS on_bar_grid
+    SELECT piece_id, CAST(frame AS INT) AS frame, pitch, CAST(sum(velocity) AS BIGINT) AS velocity, (frame % 32 = 0) AS on_bar_grid
     FROM (SELECT piece_id, pitch, velocity, unnest(range(start_u, end_u)) AS frame FROM v_notes)
     GROUP BY piece_id, frame, pitch""",
 )
