@@ -39,9 +39,18 @@ def value(token: Column) -> Column:
 
 def event_type(kind_name: Column) -> Column:
     """Event type of a token kind; null for kinds that are no event (density, unknown)."""
-    result = F.lit(None).cast("string")
-    for name, type_name in reversed(KIND_TO_TYPE.items()):
-        result = F.when(kind_name == name, type_name).otherwise(result)
+    cases = None
+    for name, type_name in KIND_TO_TYPE.items():
+        cases = (F if cases is None else cases).when(kind_name == name, type_name)
+    return cases
+
+
+def is_event(token: Column) -> Column:
+    """True for tokens that are events (bare kinds, or KIND=value)."""
+    valued = ("INST=", "TIME_SHIFT=", "TIME_DELTA=", "NOTE_ON=", "NOTE_OFF=")
+    result = token.isin([k for k in KIND_TO_TYPE])
+    for prefix in valued:
+        result = token.startswith(prefix) | result
     return result
 
 

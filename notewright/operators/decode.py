@@ -38,23 +38,25 @@ def track_texts(pieces: DataFrame) -> DataFrame:
     return exploded.where("size > 0").select("piece_id", "channel", tk.value(last).alias("instrument"), "text")
 
 
-def _units_of(token: Column) -> Column:
-    return F.when(tk.kind(token) == "TIME_SHIFT", tk.literal_units(tk.value(token))).otherwise(0)
+def _steps_of(chunk: Column) -> Column:
+    """Steps of the TIME_DELTA that opens a chunk, else 0."""
+    return F.when(chunk.startswith("TIME_DELTA="), F.substring_index(F.substr(chunk, F.lit(12)), " ", 1).cast("int")).otherwise(0)
 
 
-def _guarded(tokens: Column) -> Column:
-    """Deltas of a segment that fit into the bar, as (position, running total).
+def _units_of(chunk: Column) -> Column:
+    """Units of the TIME_SHIFT literal that opens a chunk, else 0."""
+    return F.when(
+        chunk.startswith("TIME_SHIFT="), tk.literal_units(F.substring_index(F.substr(chunk, F.lit(12)), " ", 1))
+    ).otherwise(0)
+
+
+def guarded(chunks: Column) -> Column:
+    """Deltas that fit into a bar, as (chunk index, running total); at most one entry per step of a bar.
 
     Not a running sum: a delta that would pass the bar end is skipped and a later, smaller one may still fit.
     """
     deltas = F.filter(
-        F.transform(
-            tokens,
-            lambda w, i: F.struct(
-                i.alias("i"), F.when(w.startswith("TIME_DELTA="), tk.value(w).cast("int")).otherwise(0).alias("n")
-            ),
-        ),
-        lambda d: d["n"] > 0,
+        F.transform(chunks, lambda c, i: F.struct(i.alias("i"), _steps_of(c).alias("n"))), lambda d: d["n"] > 0
     )
     start = F.struct(F.lit(0).alias("total"), F.array().cast("array<struct<i:int,total:int>>").alias("kept"))
 
@@ -69,83 +71,84 @@ def _guarded(tokens: Column) -> Column:
     return F.aggregate(deltas, start, step)["kept"]
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
 def segments(tracks: DataFrame) -> DataFrame:
     """One row per stretch between bar tokens, with its bar, its start in units and its kept deltas.
 
-    A stretch closed by BAR_END is padded to a whole bar; times of a track are continuous.
+    A stretch is cut into chunks, each opened by a time token, so all tokens of a chunk share one time. A stretch
+    closed by BAR_END is padded to a whole bar; times of a track are continuous.
     """
-    pieces = F.split("text", " (?=BAR_START |BAR_END )")
-
-    def describe(segment: Column, i: Column) -> Column:
-        token_list = tk.words(segment)
-        closed = F.coalesce(F.get(F.col("pieces"), i + 1).startswith("BAR_END"), F.lit(False))
-        return F.struct(i.alias("segment"), token_list.alias("tokens"), closed.alias("closed"), segment.startswith("BAR_END").alias("after_end"))
-
-    described = tracks.withColumn("pieces", pieces).withColumn("described", F.transform("pieces", describe))
-    guarded = described.withColumn(
-        "parts",
-        F.transform("described", lambda s: F.struct(s["segment"], s["tokens"], s["closed"], s["after_end"], _guarded(s["tokens"]).alias("kept"))),
+    stretches = F.split(F.regexp_replace(F.trim("text"), " +", " "), " (?=BAR_START(?: |$)|BAR_END(?: |$))")
+    cut = tracks.withColumn("stretches", stretches).withColumn(
+        "chunked", F.transform("stretches", lambda s: F.split(s, " (?=TIME_DELTA=|TIME_SHIFT=)"))
     )
+    kept = cut.withColumn("kept", F.transform("chunked", guarded))
 
-    def length(s: Column) -> Column:
-        kept = F.coalesce(F.get(s["kept"], F.size(s["kept"]) - 1)["total"], F.lit(0)) * UNITS_PER_DELTA
-        shifts = F.aggregate(F.transform(s["tokens"], _units_of), F.lit(0), lambda a, x: a + x)
-        return kept + shifts
+    def length(k: Column, i: Column) -> Column:
+        steps = F.coalesce(F.get(k, F.size(k) - 1)["total"], F.lit(0))
+        return steps * UNITS_PER_DELTA + _total(F.transform(F.get("chunked", i), _units_of))
 
-    sized = guarded.withColumn("filled", F.transform("parts", length))
-    # Offset = one bar per completed bar, plus whatever stretches add or exceed; the second part is empty in clean text.
-    irregular = F.filter(
+    sized = kept.withColumn("filled", F.transform("kept", length)).withColumn(
+        "ending", F.transform("stretches", lambda s: s.startswith("BAR_END"))
+    )
+    closed = F.transform("filled", lambda f, i: F.coalesce(F.get("ending", i + 1), F.lit(False)))
+    ended_at = F.filter(F.transform("ending", lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
+    # Start = one bar per completed bar, plus what stretches add beyond that; the second part is empty in clean text.
+    extra = F.filter(
         F.transform(
-            F.arrays_zip("parts", "filled"),
-            lambda z: F.struct(
-                z["parts"]["segment"].alias("segment"),
-                F.when(z["parts"]["closed"], F.greatest(z["filled"] - UNITS_PER_BAR, F.lit(0)))
-                .otherwise(z["filled"]).alias("extra"),
+            "filled",
+            lambda f, i: F.struct(
+                i.alias("i"), F.when(F.get("closed", i), F.greatest(f - UNITS_PER_BAR, F.lit(0))).otherwise(f).alias("u")
             ),
         ),
-        lambda x: x["extra"] > 0,
-    )
-    offset = F.col("bar") * UNITS_PER_BAR + F.aggregate(
-        F.filter("irregular", lambda x: x["segment"] < F.col("segment")), F.lit(0), lambda a, x: a + x["extra"]
+        lambda x: x["u"] > 0,
     )
-    ends = F.transform("parts", lambda s: F.when(s["after_end"], s["segment"]).otherwise(F.lit(None).cast("int")))
-    return (
-        sized.withColumn("irregular", irregular)
-        .withColumn("ends", F.array_compact(ends))
-        .select("piece_id", "channel", "instrument", "irregular", "ends", "filled", F.inline("parts"))
-        .withColumn("bar", F.size(F.filter("ends", lambda e: e <= F.col("segment"))))
-        .withColumn("offset_u", offset)
-        .withColumn("filled_u", F.get("filled", F.col("segment")))
-        .drop("irregular", "ends", "filled", "after_end")
+    described = sized.withColumn("closed", closed).withColumn("ended_at", ended_at).withColumn("extra", extra)
+    zipped = F.posexplode(F.arrays_zip("chunked", "kept", "filled", "closed"))
+    rows = described.select("piece_id", "channel", "instrument", "ended_at", "extra", zipped.alias("segment", "z"))
+    bar = F.size(F.filter("ended_at", lambda e: e <= F.col("segment")))
+    added = _total(F.transform(F.filter("extra", lambda x: x["i"] < F.col("segment")), lambda x: x["u"]))
+    return rows.select(
+        "piece_id", "channel", "instrument", "segment", bar.alias("bar"), (bar * UNITS_PER_BAR + added).alias("offset_u"),
+        F.col("z.chunked").alias("chunks"), F.col("z.kept").alias("kept"), F.col("z.filled").alias("filled_u"),
+        F.col("z.closed").alias("closed"),
     )
 
 
 def events(segment_rows: DataFrame) -> DataFrame:
-    """Known tokens in text order with absolute time; tokens beyond the bar's steps are left out (see ``_guarded``)."""
-    kept = F.col("kept")
-    shift_tokens = F.filter(
-        F.transform("tokens", lambda w, i: F.struct(i.alias("i"), _units_of(w).alias("u"))), lambda s: s["u"] > 0
-    )
-
-    def unpack(token: Column, i: Column) -> Column:
-        steps = F.coalesce(F.array_max(F.transform(F.filter(kept, lambda k: k["i"] < i), lambda k: k["total"])), F.lit(0))
-        shifted = F.aggregate(F.filter("shift_tokens", lambda s: s["i"] < i), F.lit(0), lambda a, s: a + s["u"])
-        return F.struct(
-            i.alias("pos"), tk.kind(token).alias("kind"), tk.value(token).alias("value"), steps.alias("steps"),
-            (F.col("offset_u") + steps * UNITS_PER_DELTA + shifted).alias("t"),
-            F.exists(kept, lambda k: k["i"] == i).alias("counted"),
-        )
+    """Known tokens in text order with absolute time; tokens beyond the bar's steps are left out (see ``guarded``)."""
+    shifts = F.filter(
+        F.transform("chunks", lambda c, i: F.struct(i.alias("i"), _units_of(c).alias("u"))), lambda s: s["u"] > 0
+    )
 
-    rows = segment_rows.withColumn("shift_tokens", shift_tokens).select(
-        "piece_id", "channel", "instrument", "bar", "segment", F.inline(F.transform("tokens", unpack))
+    place = ["piece_id", "channel", "instrument", "bar", "segment"]
+    chunk_rows = segment_rows.withColumn("shifts", shifts).select(
+        *place, "offset_u", "kept", "shifts", F.posexplode("chunks").alias("chunk", "body")
     )
-    late_note = (F.col("kind") == "NOTE_ON") & (F.col("steps") >= MAX_DELTAS_PER_BAR)
-    skipped_delta = (F.col("kind") == "TIME_DELTA") & ~F.col("counted") & (F.col("value").cast("int") > 0)
-    return (
-        rows.withColumn("type", tk.event_type(F.col("kind")))
-        .where(F.col("type").isNotNull() & ~late_note & ~skipped_delta)
-        .drop("steps", "counted")
+    reached = F.filter("kept", lambda k: k["i"] <= F.col("chunk"))
+    last = F.get("reached", F.size("reached") - 1)
+    shifted = _total(F.transform(F.filter("shifts", lambda s: s["i"] <= F.col("chunk")), lambda s: s["u"]))
+    timed = (
+        chunk_rows.withColumn("reached", reached).withColumn("last", last)
+        .withColumn("steps", F.coalesce("last.total", F.lit(0)))
+        .select(
+            *place, "chunk", "steps", (F.col("offset_u") + F.col("steps") * UNITS_PER_DELTA + shifted).alias("t"),
+            ((_steps_of(F.col("body")) > 0) & ~F.coalesce(F.col("last.i") == F.col("chunk"), F.lit(False))).alias("skipped"),
+            "body",
+        )
+    )
+    word_rows = timed.select(*place, "chunk", "steps", "t", "skipped", F.posexplode(F.split("body", " ")).alias("pos", "word"))
+    late_note = F.col("word").startswith("NOTE_ON=") & (F.col("steps") >= MAX_DELTAS_PER_BAR)
+    skipped_delta = F.col("skipped") & (F.col("pos") == 0)
+    rows = word_rows.where(tk.is_event(F.col("word")) & ~late_note & ~skipped_delta).select(
+        "piece_id", "channel", "instrument", "bar", "segment", "chunk", "pos", "t",
+        F.substring_index("word", "=", 1).alias("kind"),
+        F.when(F.contains("word", F.lit("=")), F.split_part("word", F.lit("="), F.lit(2))).alias("value"),
     )
+    return rows.withColumn("type", tk.event_type(F.col("kind")))
 
 
 def decoded_events(pieces: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ def sounding(event_rows: DataFrame) -> DataFrame:
 def merged_shifts(event_rows: DataFrame) -> DataFrame:
     """Note events with one shift before each, merged across bars."""
     notes = event_rows.where(F.col("type").isin("Note-On", "Note-Off"))
-    return shifts_between(notes, ["piece_id", "channel"], "t", ["segment", "pos"], DECODE_CHUNK_UNITS)
+    return shifts_between(notes, ["piece_id", "channel"], "t", ["segment", "chunk", "pos"], DECODE_CHUNK_UNITS)
 
 
 def with_velocity(event_rows: DataFrame) -> DataFrame:
@@ -193,7 +196,7 @@ def track_instruments(tracks: DataFrame, programs: list[int] | None = None) -> D
 def repeated_events(segment_rows: DataFrame) -> DataFrame:
     """Events equal to the event right after them, in text order."""
     kept = events(segment_rows).groupBy("piece_id", "channel", "bar", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "type", F.coalesce("value", F.lit("")).alias("value")))).alias("kept")
+        F.array_sort(F.collect_list(F.struct("chunk", "pos", "type", F.coalesce("value", F.lit("")).alias("value")))).alias("kept")
     )
     pairs = F.filter(
         F.transform("kept", lambda e, i: F.struct(e.alias("e"), F.get("kept", i + 1).alias("following"))),
@@ -213,7 +216,7 @@ def decode(pieces: DataFrame, section_bars: int | None = None) -> DataFrame:
     rows = decoded_events(pieces).where(F.col("type").isin("Note-On", "Note-Off")).withColumn(
         "pitch", F.col("value").try_cast("int")
     )
-    later = Window.partitionBy("piece_id", "channel", "pitch").orderBy(F.desc("segment"), F.desc("pos")).rowsBetween(
+    later = Window.partitionBy("piece_id", "channel", "pitch").orderBy(F.desc("segment"), F.desc("chunk"), F.desc("pos")).rowsBetween(
         Window.unboundedPreceding, -1
     )
     end = F.last(F.when(F.col("type") == "Note-Off", F.col("t")), ignorenulls=True).over(later)

@@ -16,9 +16,11 @@ from notewright.constants import BARS_PER_SECTION, BEATS_PER_BAR, UNITS_PER_BAR,
 from notewright.functions.instruments import instrument_label
 from notewright.operators.windows import shifts_between
 
-# Layout of a packed event: bar in section | time in bar (0..32) | is Note-On | pitch.
-_TIME_BITS = UNITS_PER_BAR * 2
-_PITCHES = 128
+# Layout of a packed event, high to low: bar in section | time in bar (0..32, 6 bits) | is Note-On (1 bit) | pitch (7 bits).
+_PITCH_BITS, _KIND_BITS, _TIME_BITS = 7, 1, 6
+_BAR_SHIFT = _PITCH_BITS + _KIND_BITS + _TIME_BITS
+_NOTE_TOKENS = [f"{name}={pitch} " for name in ("NOTE_OFF", "NOTE_ON") for pitch in range(1 << _PITCH_BITS)]
+_SHIFT_TOKENS = [""] + [f"TIME_DELTA={u // UNITS_PER_DELTA} " for u in range(1, UNITS_PER_BAR + 1)]
 
 
 def note_events(notes: DataFrame) -> DataFrame:
@@ -32,45 +34,56 @@ def note_events(notes: DataFrame) -> DataFrame:
 
 def _packed(n_bar: int) -> Column:
     in_bar = F.col("t") - F.col("bar") * UNITS_PER_BAR
-    return (((F.col("bar") % n_bar) * _TIME_BITS + in_bar) * 2 + F.col("kind")) * _PITCHES + F.col("pitch")
+    bar = (F.col("bar") % n_bar) * (1 << _BAR_SHIFT)
+    return (bar + in_bar * (1 << (_PITCH_BITS + _KIND_BITS)) + F.col("kind") * (1 << _PITCH_BITS) + F.col("pitch")).cast("int")
 
 
 def _bar_of(event: Column) -> Column:
-    return F.floor(event / (_TIME_BITS * 2 * _PITCHES)).cast("int")
+    return F.shiftright(event, _BAR_SHIFT)
 
 
 def _time_of(event: Column) -> Column:
-    return (F.floor(event / (2 * _PITCHES)) % _TIME_BITS).cast("int")
+    return F.shiftright(event, _PITCH_BITS + _KIND_BITS).bitwiseAND(F.lit((1 << _TIME_BITS) - 1))
 
 
 def _is_on(event: Column) -> Column:
-    return F.floor(event / _PITCHES) % 2 == 1
+    return event.bitwiseAND(F.lit(1 << _PITCH_BITS)) != 0
 
 
-def section_events(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
-    """(piece_id, track_id, section, n_bars, bars): per section one sorted event array per bar, empty bars included."""
-    events = note_events(notes).withColumn("section", F.floor(F.col("bar") / n_bar))
-    filled = events.groupBy("piece_id", "track_id", "section").agg(
-        F.array_sort(F.collect_list(_packed(n_bar).cast("int"))).alias("events")
-    )
-    spans = events.groupBy("piece_id", "track_id").agg(F.max("bar").alias("last_bar"))
-    return _with_all_sections(filled, spans, n_bar)
+def _pitch_of(event: Column) -> Column:
+    return event.bitwiseAND(F.lit((1 << _PITCH_BITS) - 1))
 
 
-def _with_all_sections(filled: DataFrame, spans: DataFrame, n_bar: int) -> DataFrame:
+def packed_sections(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
+    """(piece_id, track_id, section, n_bars, events): every section of a track, its events packed and sorted."""
+    events = note_events(notes).select(
+        "piece_id", "track_id", F.floor(F.col("bar") / n_bar).alias("section"), _packed(n_bar).alias("event"), "bar"
+    )
+    keys = ["piece_id", "track_id", "section"]
+    # Shuffle the bare ints first: collecting them before the shuffle would not shrink them.
+    filled = events.select(*keys, "event").repartition(*keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("event")).alias("events")
+    )
+    spans = notes.groupBy("piece_id", "track_id").agg(
+        F.greatest(F.max("start_u"), F.max("end_u") - 1).alias("latest")
+    )
+    last_bar = F.floor(F.col("latest") / UNITS_PER_BAR)
     sections = spans.select(
-        "piece_id", "track_id", "last_bar",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_bar") / n_bar))).alias("section"),
+        "piece_id", "track_id", last_bar.alias("last_bar"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last_bar / n_bar))).alias("section"),
     )
     n_bars = F.least(F.lit(n_bar), F.col("last_bar") + 1 - F.col("section") * n_bar).cast("int")
-    joined = sections.join(filled, ["piece_id", "track_id", "section"], "left").select(
-        "piece_id", "track_id", "section", n_bars.alias("n_bars"),
-        F.coalesce("events", F.array().cast("array<int>")).alias("events"),
+    return sections.join(filled, keys, "left").select(
+        *keys, n_bars.alias("n_bars"), F.coalesce("events", F.array().cast("array<int>")).alias("events")
     )
+
+
+def section_events(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
+    """(piece_id, track_id, section, n_bars, bars): per section one sorted event array per bar, empty bars included."""
     bars = F.transform(
         F.sequence(F.lit(0), F.col("n_bars") - 1), lambda b: F.filter("events", lambda e: _bar_of(e) == b)
     )
-    return joined.withColumn("bars", bars).drop("events")
+    return packed_sections(notes, n_bar).withColumn("bars", bars).drop("events")
 
 
 def bar_density(bar: Column) -> Column:
@@ -86,35 +99,51 @@ def lowest_mode(values: Column) -> Column:
     return F.array_min(counted)["v"]
 
 
-def _event_text(event: Column, previous: Column) -> Column:
-    shift = _time_of(event) - previous
-    delta = F.when(
-        shift > 0, F.concat(F.lit("TIME_DELTA="), F.floor(shift / UNITS_PER_DELTA).cast("string"), F.lit(" "))
-    ).otherwise("")
-    name = F.when(_is_on(event), "NOTE_ON=").otherwise("NOTE_OFF=")
-    return F.concat(delta, name, (event % _PITCHES).cast("string"), F.lit(" "))
+def bar_densities_of(events: Column, n_bars: Column) -> Column:
+    """Density of each bar of a section: onsets per beat."""
+    onset_bars = F.transform(F.filter(events, _is_on), _bar_of)
+    return F.transform(
+        F.sequence(F.lit(0), n_bars - 1),
+        lambda b: F.bround((F.size(onset_bars) - F.size(F.array_remove(onset_bars, b))) / BEATS_PER_BAR, 0).cast("int"),
+    )
+
 
+def _tokens(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
-def bar_text(bar: Column) -> Column:
-    """BAR_START, the events with their shifts, BAR_END; no shift after the last event of a bar."""
+
+def bars_text(events: Column, n_bars: Column, n_bar: int) -> Column:
+    """All bars of a section as text, empty bars included; no shift after the last event of a bar."""
+    crossings = [""] + ["BAR_END " + "BAR_START BAR_END " * (k - 1) + "BAR_START " for k in range(1, n_bar)]
 
     def step(event: Column, i: Column) -> Column:
-        return _event_text(event, F.when(i == 0, F.lit(0)).otherwise(_time_of(F.get(bar, i - 1))))
+        before = F.get(events, i - 1)
+        crossed = _bar_of(event) - F.coalesce(_bar_of(before), F.lit(0))
+        since = F.when(crossed == 0, F.coalesce(_time_of(before), F.lit(0))).otherwise(0)
+        note = F.get(_tokens(_NOTE_TOKENS), event.bitwiseAND(F.lit((1 << (_PITCH_BITS + _KIND_BITS)) - 1)))
+        return F.concat(
+            F.get(_tokens(crossings), crossed), F.get(_tokens(_SHIFT_TOKENS), _time_of(event) - since), note
+        )
 
-    return F.concat(F.lit("BAR_START "), F.array_join(F.transform(bar, step), ""), F.lit("BAR_END "))
+    last = F.coalesce(_bar_of(F.get(events, F.size(events) - 1)), F.lit(0))
+    return F.concat(
+        F.lit("BAR_START "), F.array_join(F.transform(events, step), ""),
+        F.get(_tokens(crossings), n_bars - 1 - last), F.lit("BAR_END "),
+    )
 
 
 def section_text(
     notes: DataFrame, tracks: DataFrame, n_bar: int = BARS_PER_SECTION, familize: bool = False
 ) -> DataFrame:
     """(piece_id, track_id, section, n_bars, density, text), one row per section of a track."""
-    sections = section_events(notes, n_bar)
+    sections = packed_sections(notes, n_bar)
     labels = tracks.select(
         "piece_id", "track_id", instrument_label(F.col("program"), F.col("is_drum"), familize).alias("instrument")
     )
-    body = F.array_join(F.transform("bars", bar_text), "")
+    body = bars_text(F.col("events"), F.col("n_bars"), n_bar)
     return (
-        sections.withColumn("density", lowest_mode(F.transform("bars", bar_density)))
+        sections.withColumn("densities", bar_densities_of(F.col("events"), F.col("n_bars")))
+        .withColumn("density", lowest_mode(F.col("densities")))
         .join(labels, ["piece_id", "track_id"])
         .select(
             "piece_id", "track_id", "section", "n_bars", "density",
@@ -190,7 +219,7 @@ def bar_events(notes: DataFrame) -> DataFrame:
         previous = F.when(i == 0, F.lit(0)).otherwise(_time_of(F.get(events, i - 1)))
         return F.struct(
             i.alias("pos"), _time_of(event).alias("t"), _is_on(event).alias("is_on"),
-            (event % _PITCHES).alias("pitch"), (_time_of(event) - previous).alias("shift_u"),
+            _pitch_of(event).alias("pitch"), (_time_of(event) - previous).alias("shift_u"),
         )
 
     return bars_of(notes).select("piece_id", "track_id", "bar", F.inline(F.transform(events, unpack)))

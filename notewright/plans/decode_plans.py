@@ -53,7 +53,7 @@ def d02(corpus):
         F.col("l_suppkey").alias("piece_id"), line.alias("channel"), bar.alias("bar")
     ).agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), F.col("l_partkey").alias("p"), delta.alias("d")))).alias("s"))
     tokens = F.transform("s", lambda x: F.concat(F.lit("TIME_DELTA="), x["d"].cast("string")))
-    kept = dec._guarded(F.col("tokens"))
+    kept = dec.guarded(F.col("tokens"))
     return rows.withColumn("tokens", tokens).select(
         "piece_id", "channel", "bar", F.size("s").alias("n_deltas"),
         F.coalesce(F.array_max(F.transform(kept, lambda k: k["total"])), F.lit(0)).alias("kept_steps"),
