@@ -1 +1,80 @@
+"""Cleaning, fuzzy deduplication and filtering of the catalogue.
 
+M01-M04, M06 and M07 use the similarity ratio, which SQL cannot state; tests compare them with a sequential
+restatement.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from notewright.functions.names import clean_name
+from notewright.functions.similarity import sorted_ratio, sorted_words, version_word_ratio
+from notewright.operators import joins as jn
+from notewright.operators import metadata as md
+from notewright.plans.registry import query
+
+
+def _joined(corpus):
+    return jn.statistics_with_names(corpus.statistics, jn.names_with_genres(corpus.raw_names, corpus.raw_genres))
+
+
+@query("M01")
+def m01(corpus):
+    """Ratio of each title with the cleaned form it would take."""
+    raw, cleaned = sorted_words(F.col("title")), sorted_words(clean_name(F.col("title")))
+    return corpus.catalog.select("md5", sorted_ratio(raw, cleaned).alias("ratio")).withColumn("match", F.col("ratio") > 75)
+
+
+@query("M02")
+def m02(corpus):
+    titles = corpus.catalog.select(clean_name(F.col("title")).alias("title")).distinct()
+    return titles.withColumn("ratio", version_word_ratio("title")).withColumn("blocked", F.col("ratio") > 75)
+
+
+@query("M03")
+def m03(corpus):
+    """Leader of every distinct title of the catalogue."""
+    return md.deduplicated(md.name_nodes(corpus.catalog, "title", "md5"))
+
+
+@query("M04")
+def m04(corpus):
+    return md.deduplicate_artists(_joined(corpus)).select("md5", "artist_old", "artist", "title_old", "genre")
+
+
+@query(
+    "M05",
+    """
+    WITH j AS (SELECT s.md5, n.artist, n.title, g.genre FROM v_statistics s LEFT JOIN v_names n USING (md5)
+               LEFT JOIN v_genres g USING (md5)),
+    c AS (SELECT artist, genre, row_number() OVER (PARTITION BY artist ORDER BY count(*) DESC, genre) AS rn
+          FROM j GROUP BY artist, genre)
+    SELECT DISTINCT j.md5, j.artist, j.title, c.genre FROM j LEFT JOIN c ON c.artist = j.artist AND c.rn = 1""",
+)
+def m05(corpus):
+    return md.deduplicate_genre(_joined(corpus)).select("md5", "artist", "title", "genre")
+
+
+@query("M06")
+def m06(corpus):
+    renamed = _joined(corpus).withColumnsRenamed({"artist": "artist_old", "title": "title_old"})
+    return md.deduplicate_titles(renamed).select("md5", "artist_old", "title_old", "title", "genre")
+
+
+@query("M07")
+def m07(corpus):
+    return md.extract(corpus.statistics, corpus.raw_names, corpus.raw_genres)
+
+
+@query(
+    "M08",
+    """
+    SELECT md5, artist, title, n_instruments, number_of_notes_per_second FROM v_catalog
+    WHERE n_instruments <= 12 AND four_to_the_floor
+    QUALIFY row_number() OVER (PARTITION BY title, artist ORDER BY number_of_notes_per_second DESC, md5) = 1""",
+)
+def m08(corpus):
+    return md.filter_pieces(corpus.catalog).select(
+        "md5", "artist", "title", "n_instruments", "number_of_notes_per_second"
+    )
