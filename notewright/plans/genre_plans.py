@@ -1 +1,131 @@
+"""Genre classifier."""
 
+from __future__ import annotations
+
+from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.sql import functions as F
+
+from notewright.operators import genre_model as gm
+from notewright.operators import joins as jn
+from notewright.operators import piece_stats as ps
+from notewright.operators.windows import with_group_mode
+from notewright.plans.registry import query
+from notewright.session import fresh_path
+
+CATALOG_FEATURES = ["n_instruments", "number_of_notes_per_second", "n_time_signature_changes"]
+
+
+def _catalog_rows(corpus):
+    """Statistics with names and genres: two rows per md5, so that preparation has duplicates to drop."""
+    return jn.statistics_with_names(corpus.statistics, jn.names_with_genres(corpus.raw_names, corpus.raw_genres))
+
+
+def labelled_statistics(corpus):
+    """The statistics table with a label that depends on the second track's program."""
+    second = corpus.tracks.where("track_id = 2").select(
+        "piece_id", F.concat(F.lit("g"), (F.col("program") % 4).cast("string")).alias("genre")
+    )
+    return ps.piece_statistics(corpus).join(second, "piece_id")
+
+
+_FIT = """
+    SELECT md5, CAST(n_instruments AS DOUBLE) AS n_instruments, number_of_notes_per_second,
+           CAST(n_time_signature_changes AS DOUBLE) AS n_time_signature_changes,
+           CASE WHEN lyrics_bool THEN 'true' ELSE 'false' END AS lyrics_bool, min(g.genre) AS genre,
+           md5('42:' || md5) < '1999999a' AS is_test
+    FROM v_statistics s JOIN v_genres g USING (md5) GROUP BY ALL"""
+
+
+@query("G01", _FIT)
+def g01(corpus):
+    return gm.prepare(_catalog_rows(corpus), features=CATALOG_FEATURES)
+
+
+@query("G02", f"SELECT * EXCLUDE (genre, is_test) FROM ({_FIT})")
+def g02(corpus):
+    return gm.prepare(_catalog_rows(corpus), predict_only=True, features=CATALOG_FEATURES)
+
+
+@query("G03", "SELECT doc_id, md5('42:' || doc_id) < '1999999a' AS is_test FROM documents")
+def g03(corpus):
+    return gm.with_split(corpus.documents.select("doc_id"), "doc_id")
+
+
+@query(
+    "G04",
+    """
+    SELECT md5, CAST(dense_rank() OVER (ORDER BY main_time_signature) - 1 AS DOUBLE) AS signature_index,
+           CAST(dense_rank() OVER (ORDER BY lyrics_bool) - 1 AS DOUBLE) AS lyrics_index FROM v_catalog""",
+)
+def g04(corpus):
+    rows = corpus.catalog.select("md5", "main_time_signature", F.col("lyrics_bool").cast("string").alias("lyrics_bool"))
+    indexer = StringIndexer(
+        inputCols=["main_time_signature", "lyrics_bool"], outputCols=["signature_index", "lyrics_index"],
+        stringOrderType="alphabetAsc", handleInvalid="error",
+    )
+    return indexer.fit(rows).transform(rows).select("md5", "signature_index", "lyrics_index")
+
+
+@query(
+    "G05",
+    "SELECT md5, CAST(dense_rank() OVER (ORDER BY genre) - 1 AS DOUBLE) AS label, genre AS decoded FROM v_catalog",
+)
+def g05(corpus):
+    rows = corpus.catalog.select("md5", "genre")
+    model = StringIndexer(inputCol="genre", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error").fit(rows)
+    inverse = IndexToString(inputCol="label", outputCol="decoded", labels=model.labels)
+    return inverse.transform(model.transform(rows)).select("md5", "label", "decoded")
+
+
+def _trained(corpus):
+    rows = gm.prepare(labelled_statistics(corpus))
+    model, _ = gm.fit(rows.where(~F.col("is_test")))
+    return model, rows
+
+
+@query("G06")
+def g06(corpus):
+    """Trees of the fitted forest with their importance-weighted size."""
+    model, _ = _trained(corpus)
+    forest = model.stages[2]
+    return corpus.spark.createDataFrame(
+        [(i, t.numNodes, t.depth) for i, t in enumerate(forest.trees)], "tree INT, nodes INT, depth INT"
+    )
+
+
+@query("G07")
+def g07(corpus):
+    model, rows = _trained(corpus)
+    return gm.predict(model, rows).select("md5", "is_test", "genre", "prediction", "predicted_genre")
+
+
+@query(
+    "G08",
+    """
+    WITH c AS (SELECT artist, genre, row_number() OVER (PARTITION BY artist ORDER BY count(*) DESC, genre) AS rn
+               FROM v_catalog GROUP BY artist, genre),
+    p AS (SELECT k.genre AS label, c.genre AS predicted FROM v_catalog k JOIN c ON c.artist = k.artist AND c.rn = 1),
+    classes AS (SELECT label AS class FROM p UNION SELECT predicted FROM p),
+    s AS (SELECT class, (SELECT count(*) FROM p WHERE label = class) AS support,
+                 (SELECT count(*) FROM p WHERE label = class AND predicted = class) AS hits,
+                 (SELECT count(*) FROM p WHERE predicted = class) AS predicted FROM classes),
+    m AS (SELECT class, support, coalesce(hits / nullif(predicted, 0), 0) AS precision,
+                 coalesce(hits / nullif(support, 0), 0) AS recall FROM s)
+    SELECT class, support, round(precision, 6) AS precision, round(recall, 6) AS recall,
+           round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1,
+           round((SELECT avg(CASE WHEN label = predicted THEN 1.0::DOUBLE ELSE 0 END) FROM p), 6) AS accuracy FROM m""",
+)
+def g08(corpus):
+    """Report on a given prediction: the most frequent genre of the artist."""
+    rows = with_group_mode(corpus.catalog.select("md5", "artist", "genre"), "artist", "genre", "predicted")
+    report = gm.class_report(rows, "genre", "predicted")
+    return report.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@query("G09")
+def g09(corpus):
+    """Predictions of the model after it was saved and loaded."""
+    model, rows = _trained(corpus)
+    path = fresh_path(corpus.spark, "genre-model")
+    gm.save(model, path)
+    return gm.predict(gm.load(path), rows).select("md5", "is_test", "genre", "predicted_genre")

@@ -1 +1,232 @@
+"""Sources and sinks. Files are written to a new path in the shared folder and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from notewright.functions.instruments import text_to_families
+from notewright.functions.names import file_stem
+from notewright.operators import encode as enc
+from notewright.operators import vocabulary as vo
+from notewright.plans.registry import query
+from notewright.plans.scalar_plans import _TO_FAMILY
+from notewright.plans.statistics_plans import _LIST_COLUMNS, _WHOLE, statistics_report
+from notewright.operators import piece_stats as ps
+from notewright.schemas import GENRE, STATISTICS, TITLE_ARTIST
+from notewright.session import fresh_path
+from notewright.sources import files as fl
+from notewright.sources import tables as tb
+from notewright.sources import text as tx
+from notewright.sources.quarantine import split_good_and_errors
+
+
+def _texts(corpus):
+    return enc.encode(corpus.notes, corpus.tracks)
+
+
+def _written_texts(corpus, **options):
+    path = fresh_path(corpus.spark, "texts")
+    rows = _texts(corpus)
+    if options.get("split"):
+        rows = rows.withColumn(options["split"], F.when(F.col("piece_id") % 10 == 0, "validate").otherwise("train"))
+    tx.write_pieces(rows, path, **options)
+    return path
+
+
+@query("S01")
+def s01(corpus):
+    """All table files of the input folder."""
+    return fl.list_files(corpus.spark, corpus.folder, "*.parquet", recursive=True).select(
+        file_stem(F.col("path")).alias("name"), "length"
+    )
+
+
+@query("S02")
+def s02(corpus):
+    """Files of one folder only: a written corpus, without its sub-folders' files."""
+    path = _written_texts(corpus)
+    return fl.list_files(corpus.spark, path, "*.txt").select(F.lit("txt").alias("kind"), "length")
+
+
+@query("S03")
+def s03(corpus):
+    return fl.first_files(corpus.spark, corpus.folder, 5, "*.parquet").select(file_stem(F.col("path")).alias("name"), "length")
+
+
+@query(
+    "S04",
+    """
+    SELECT r.md5, array_to_string(r.title_artist[1], '|') AS names, array_to_string(g.genre[1], '|') AS genres
+    FROM (SELECT CAST(md5 AS VARCHAR) AS md5, title_artist FROM v_raw_names) r
+    JOIN (SELECT CAST(md5 AS VARCHAR) AS md5, genre FROM v_raw_genres) g USING (md5)""",
+)
+def s04(corpus):
+    names, genres = fresh_path(corpus.spark, "names"), fresh_path(corpus.spark, "genres")
+    corpus.raw_names.withColumn("md5", F.col("md5").cast("string")).write.json(names)
+    corpus.raw_genres.withColumn("md5", F.col("md5").cast("string")).write.json(genres)
+    left = tb.read_json_lines(corpus.spark, names, TITLE_ARTIST)
+    right = tb.read_json_lines(corpus.spark, genres, GENRE)
+    return left.join(right, "md5").select(
+        "md5", F.array_join(F.get("title_artist", 0), "|").alias("names"), F.array_join(F.get("genre", 0), "|").alias("genres")
+    )
+
+
+def _statistics_file(corpus):
+    path = fresh_path(corpus.spark, "statistics")
+    tb.write_csv(ps.piece_statistics(corpus).select(*ps.STATISTICS_COLUMNS), path)
+    return path
+
+
+_CSV = f"""
+    SELECT md5, n_instruments, instrument_names, n_notes, average_note_pitch, four_to_the_floor, all_time_signatures,
+           lyrics_nb_words FROM ({_WHOLE})"""
+_CSV_COLUMNS = [
+    "md5", "n_instruments", "instrument_names", "n_notes", "average_note_pitch", "four_to_the_floor",
+    "all_time_signatures", "lyrics_nb_words",
+]
+
+
+@query("S05", _CSV)
+def s05(corpus):
+    rows = tb.read_csv(corpus.spark, _statistics_file(corpus), STATISTICS)
+    shown = [
+        F.array_join(c, ", ").alias(c) if c in _LIST_COLUMNS else F.round(c, 6).alias(c) if c == "average_note_pitch" else F.col(c)
+        for c in _CSV_COLUMNS
+    ]
+    return rows.select(*shown)
+
+
+@query("S06", f"SELECT count(*) AS n_lines, count(DISTINCT md5) AS n_md5 FROM ({_WHOLE})")
+def s06(corpus):
+    path = fresh_path(corpus.spark, "report")
+    tb.write_csv(statistics_report(corpus), path)
+    lines = corpus.spark.read.option("header", True).csv(path)
+    return lines.agg(F.count("*").alias("n_lines"), F.count_distinct("md5").alias("n_md5"))
+
+
+_SPLIT_TEXT = "SELECT text, CASE WHEN piece_id % 10 = 0 THEN 'validate' ELSE 'train' END AS split FROM v_text"
+
+
+@query("S07", _SPLIT_TEXT)
+def s07(corpus):
+    """Train and validation texts, told apart by folder."""
+    return tx.read_corpus(corpus.spark, _written_texts(corpus, split="split"))
+
+
+@query(
+    "S08",
+    r"""
+    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS text, list_position(lines, '') AS blank FROM d)
+    SELECT doc_id, CAST(line AS INT) AS line, text FROM l WHERE coalesce(blank, 0) = 0 OR line < blank - 1""",
+)
+def s08(corpus):
+    return tx.lines_until_blank(corpus.documents, "doc_id")
+
+
+@query("S09", "SELECT rtrim(text) AS text FROM v_text")
+def s09(corpus):
+    return tx.read_token_files(corpus.spark, _written_texts(corpus), "part-*.txt")
+
+
+@query("S10", "SELECT piece_id % 3 AS layout, text FROM v_text")
+def s10(corpus):
+    """Pieces stored in the three layouts that exist, read as one table."""
+    root, rows = fresh_path(corpus.spark, "stored"), _texts(corpus)
+    layouts = ["generated_midi", "generate_midi", "sequence"]
+    for i, key in enumerate(layouts):
+        rows.where(F.col("piece_id") % 3 == i).select(F.col("text").alias(key)).write.json(f"{root}/layout{i}")
+    stored = tx.read_piece_json(corpus.spark, root)
+    used = F.array_position(F.transform(F.array(*layouts), lambda c: c.isNotNull()), True) - 1
+    return stored.select(used.alias("layout"), "text")
+
+
+@query("S11", f"SELECT split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS characters FROM ({_SPLIT_TEXT}) GROUP BY split")
+def s11(corpus):
+    read = tx.read_corpus(corpus.spark, _written_texts(corpus, split="split"))
+    return read.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
+
+
+@query("S12", "SELECT text, 7 AS n_settings FROM v_text")
+def s12(corpus):
+    """Piece texts with one settings entry per track, stored under a run stamp."""
+    path = fresh_path(corpus.spark, "generated")
+    setting = F.struct(
+        F.concat(F.lit("track_"), (F.col("track_id") - 1).cast("string")).alias("label"),
+        F.col("program").cast("string").alias("instrument"), F.lit(1).alias("density"), F.lit(0.7).alias("temperature"),
+        F.array().cast("array<string>").alias("bars"),
+    )
+    settings = corpus.tracks.groupBy("piece_id").agg(F.array_sort(F.collect_list(setting)).alias("hyperparameters_and_bars"))
+    pieces = _texts(corpus).join(settings, "piece_id").select(F.col("text").alias("generated_midi"), "hyperparameters_and_bars")
+    tx.write_piece_json(pieces, path, "run-1")
+    read = tx.read_piece_json(corpus.spark, path)
+    return read.select("text", F.size("hyperparameters_and_bars").alias("n_settings"))
+
+
+@query("S13", f"SELECT {_TO_FAMILY} AS text FROM v_text")
+def s13(corpus):
+    """A compressed corpus rewritten to instrument families and compressed again."""
+    source, target = _written_texts(corpus, compression="gzip"), fresh_path(corpus.spark, "families")
+    tx.recompress(corpus.spark, source, target, text_to_families(F.col("value")))
+    return corpus.spark.read.text(target).select(F.col("value").alias("text"))
+
+
+@query(
+    "S14",
+    """
+    WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS words FROM documents)
+    SELECT doc_id, CAST(len(words) AS INT) AS n_ids FROM w""",
+)
+def s14(corpus):
+    path = fresh_path(corpus.spark, "ids")
+    tb.write_token_rows(vo.encode(corpus.documents, "doc_id", vo.build(corpus.documents, 5000)), path)
+    return tb.read_token_rows(corpus.spark, path).select("doc_id", F.size("input_ids").alias("n_ids"))
+
+
+@query(
+    "S15",
+    """
+    SELECT piece_id, track_id, pitch, start_u, 'pitch out of range' AS reason FROM v_notes WHERE pitch NOT BETWEEN 21 AND 108""",
+)
+def s15(corpus):
+    _, errors = split_good_and_errors(corpus.notes, 21, 108)
+    return errors.select("piece_id", "track_id", "pitch", "start_u", "reason")
+
+
+def parse_note_lines(path: str, content: bytes):
+    """Stand-in parser: one note per line, ``program pitch velocity start end``."""
+    piece, track = path.rsplit("/", 1)[-1].removesuffix(".notes").split("-")
+    for line in content.decode().split("\n"):
+        program, pitch, velocity, start, end = map(int, line.split())
+        yield {
+            "piece_id": piece, "track_id": int(track), "program": program, "pitch": pitch, "velocity": velocity,
+            "start_u": start, "end_u": end,
+        }
+
+
+@query(
+    "S16",
+    """
+    SELECT CAST(piece_id AS VARCHAR) AS piece_id, track_id, program, pitch, velocity, start_u, end_u, NULL::VARCHAR AS error
+    FROM v_notes""",
+)
+def s16(corpus):
+    """Note rows out of raw file contents, through the parser hook."""
+    line = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("program", "pitch", "velocity", "start_u", "end_u")])
+    name = F.concat_ws("-", F.col("piece_id").cast("string"), F.col("track_id").cast("string"))
+    content = F.encode(F.array_join(F.collect_list(line), "\n"), "UTF-8")
+    files = corpus.notes.groupBy(F.concat(F.lit("/raw/"), name, F.lit(".notes")).alias("path")).agg(content.alias("content"))
+    return fl.ingest(files, parse_note_lines).select(
+        "piece_id", "track_id", "program", "pitch", "velocity", "start_u", "end_u", "error"
+    )
+
+
+@query(
+    "S17",
+    """
+    SELECT event_id, user_id, event_type FROM events
+    QUALIFY row_number() OVER (ORDER BY event_id) = 3001""",
+)
+def s17(corpus):
+    rows = corpus.table("events").select("event_id", "user_id", "event_type", "value")
+    return fl.sample_line(rows, "event_id", 3000, "value")
