@@ -60,20 +60,26 @@ def window_ratio(a: str, b: str) -> int:
     return best
 
 
-@F.pandas_udf(T.IntegerType())
-def sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of two strings that went through ``sorted_words``."""
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
-@F.pandas_udf(T.IntegerType())
-def version_word_ratio(name: pd.Series) -> pd.Series:
-    """Best window ratio of a name against the words that mark derived versions."""
+def _version_ratios(name: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None else max(window_ratio(x, w) for w in VERSION_WORDS) for x in name], dtype="Int32"
     )
 
 
+def sorted_ratio(a: Column, b: Column) -> Column:
+    """Ratio of two strings that went through ``sorted_words``."""
+    return F.pandas_udf(_ratios, T.IntegerType())(a, b)
+
+
+def version_word_ratio(name: Column) -> Column:
+    """Best window ratio of a name against the words that mark derived versions."""
+    return F.pandas_udf(_version_ratios, T.IntegerType())(name)
+
+
 def _sketch(texts: list[str]) -> np.ndarray:
     """Character counts in a fixed number of buckets; the L1 distance is a lower bound of the edit distance."""
     counts = np.zeros((len(texts), _SKETCH), dtype=np.int32)

@@ -36,7 +36,7 @@ def name_nodes(
     ).agg(F.min(position).alias("position"))
     cleaned = distinct.withColumn("cleaned", clean_name(F.col("name")))
     return cleaned.withColumn("processed", sorted_words(F.col("cleaned"))).withColumn(
-        "blocked", version_word_ratio("cleaned") > threshold
+        "blocked", version_word_ratio(F.col("cleaned")) > threshold
     )
 
 

@@ -29,7 +29,7 @@ def m01(corpus):
 @query("M02")
 def m02(corpus):
     titles = corpus.catalog.select(clean_name(F.col("title")).alias("title")).distinct()
-    return titles.withColumn("ratio", version_word_ratio("title")).withColumn("blocked", F.col("ratio") > 75)
+    return titles.withColumn("ratio", version_word_ratio(F.col("title"))).withColumn("blocked", F.col("ratio") > 75)
 
 
 @query("M03")

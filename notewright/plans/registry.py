@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from notewright.plans.views import with_views
+from notewright.session import ship_package
 from notewright.sources.corpus import TestdataCorpus
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,7 @@ def query(key: str, sql: str | None = None):
 
         @functools.wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return fn(TestdataCorpus(spark, folder))
 
         _QUERIES[key] = run

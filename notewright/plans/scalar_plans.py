@@ -16,7 +16,6 @@ from notewright.plans.registry import query
 from notewright.plans.views import sql_list
 
 PROGRAMS = inst.draw_family_programs(seed=1)
-P, D = F.col("program"), F.col("is_drum")
 
 
 def _texts(corpus):
@@ -34,12 +33,12 @@ def p01(corpus):
 
 @query("P02", "SELECT piece_id, track_id, program, family_name FROM v_tracks JOIN v_gm USING (program)")
 def p02(corpus):
-    return corpus.tracks.select("piece_id", "track_id", "program", inst.family_name(P).alias("family_name"))
+    return corpus.tracks.select("piece_id", "track_id", "program", inst.family_name(F.col("program")).alias("family_name"))
 
 
 @query("P03", "SELECT piece_id, track_id, program, CAST(program // 8 AS INT) AS family_number FROM v_tracks")
 def p03(corpus):
-    return corpus.tracks.select("piece_id", "track_id", "program", inst.family_number(P).alias("family_number"))
+    return corpus.tracks.select("piece_id", "track_id", "program", inst.family_number(F.col("program")).alias("family_number"))
 
 
 @query(
@@ -49,8 +48,8 @@ def p03(corpus):
     FROM v_tracks t JOIN v_family_program f ON t.program // 8 = f.family_number""",
 )
 def p04(corpus):
-    family = inst.family_number(P)
-    return corpus.tracks.where(P < 88).select(
+    family = inst.family_number(F.col("program"))
+    return corpus.tracks.where("program < 88").select(
         "piece_id", "track_id", family.alias("family_number"),
         inst.family_program(family, inst.draw_family_programs(seed=7)).alias("chosen_program"),
     )
@@ -58,7 +57,7 @@ def p04(corpus):
 
 @query("P05", "SELECT piece_id, track_id, program_name FROM v_tracks JOIN v_gm USING (program)")
 def p05(corpus):
-    return corpus.tracks.select("piece_id", "track_id", inst.program_name(P).alias("program_name"))
+    return corpus.tracks.select("piece_id", "track_id", inst.program_name(F.col("program")).alias("program_name"))
 
 
 @query(
@@ -66,7 +65,7 @@ def p05(corpus):
     "SELECT piece_id, track_id, CASE WHEN is_drum THEN 'DRUMS' ELSE CAST(program AS VARCHAR) END AS label FROM v_tracks",
 )
 def p06(corpus):
-    return corpus.tracks.select("piece_id", "track_id", inst.instrument_label(P, D).alias("label"))
+    return corpus.tracks.select("piece_id", "track_id", inst.instrument_label(F.col("program"), F.col("is_drum")).alias("label"))
 
 
 _TO_FAMILY = """array_to_string(list_transform(string_split(text, ' '), lambda t:
@@ -359,5 +358,5 @@ def p30(corpus):
     FROM v_tracks t JOIN v_gm g USING (program) LEFT JOIN v_family_program f ON f.display_name = g.program_name""",
 )
 def p31(corpus):
-    named = corpus.tracks.select("piece_id", "track_id", inst.program_name(P).alias("instrument"))
+    named = corpus.tracks.select("piece_id", "track_id", inst.program_name(F.col("program")).alias("instrument"))
     return inst.display_family(named, "instrument", inst.family_dimension(corpus.spark))

@@ -10,7 +10,6 @@ from notewright.operators import sequences as sq
 from notewright.operators import vocabulary as vo
 from notewright.plans.registry import query
 
-T = F.col("text")
 KEYS = ["piece_id", "track_id", "section"]
 _KEYS = "piece_id, track_id, CAST(section AS BIGINT) AS section"
 _STRIP = "regexp_replace(text, 'TRACK_END\\s*$', '')"
@@ -29,12 +28,12 @@ def _sections(corpus):
 
 def _section_pieces(corpus):
     """One piece text per section, as a generator would hold it."""
-    text = F.concat(F.lit("PIECE_START "), T)
+    text = F.concat(F.lit("PIECE_START "), F.col("text"))
     return enc.text_by_section(_sections(corpus)).select("piece_id", "section", text.alias("text"))
 
 
 def _with_bars(corpus):
-    return _sections(corpus).withColumn("bars", sq.bars_of_track(T))
+    return _sections(corpus).withColumn("bars", sq.bars_of_track(F.col("text")))
 
 
 @query("B01", f"WITH {_BARS} SELECT {_KEYS}, CAST(unnest(range(len(bars))) AS INT) AS item, unnest(bars) AS bar FROM b")
@@ -51,13 +50,13 @@ def b01(corpus):
 )
 def b02(corpus):
     return _section_pieces(corpus).select(
-        "piece_id", "section", F.size(sq.tracks_of_piece(T)).alias("n_tracks"), sq.last_track(T).alias("last_track")
+        "piece_id", "section", F.size(sq.tracks_of_piece(F.col("text"))).alias("n_tracks"), sq.last_track(F.col("text")).alias("last_track")
     )
 
 
 @query("B03", f"SELECT {_KEYS}, {_STRIP} AS text FROM v_sections")
 def b03(corpus):
-    return _sections(corpus).withColumn("text", sq.strip_track_end(T))
+    return _sections(corpus).withColumn("text", sq.strip_track_end(F.col("text")))
 
 
 @query(
@@ -76,7 +75,7 @@ def b04(corpus):
 
 @query("B05", f"WITH {_BARS} SELECT {_KEYS}, text[length(bars[1]) + 1:] AS new_text FROM b")
 def b05(corpus):
-    return _with_bars(corpus).select(*KEYS, sq.new_text(F.get("bars", 0), T).alias("new_text"))
+    return _with_bars(corpus).select(*KEYS, sq.new_text(F.get("bars", 0), F.col("text")).alias("new_text"))
 
 
 @query(
@@ -86,7 +85,7 @@ def b05(corpus):
     FROM v_sections""",
 )
 def b06(corpus):
-    return _sections(corpus).select(*KEYS, sq.last_bar(T).alias("last_bar"))
+    return _sections(corpus).select(*KEYS, sq.last_bar(F.col("text")).alias("last_bar"))
 
 
 _COUNT = "CAST(len(list_filter(string_split(text, ' '), lambda w: w = 'BAR_END')) AS INT)"
@@ -94,7 +93,7 @@ _COUNT = "CAST(len(list_filter(string_split(text, ' '), lambda w: w = 'BAR_END')
 
 @query("B07", f"SELECT {_KEYS}, {_COUNT} AS n_bars, {_COUNT} = 8 AS matches FROM v_sections")
 def b07(corpus):
-    n = sq.bar_count(T)
+    n = sq.bar_count(F.col("text"))
     return _sections(corpus).select(*KEYS, n.alias("n_bars"), (n == 8).alias("matches"))
 
 
@@ -107,7 +106,7 @@ def b07(corpus):
 )
 def b08(corpus):
     header = F.get("bars", 0)
-    forced = sq.forced_length(header, sq.new_text(header, T), 4)
+    forced = sq.forced_length(header, sq.new_text(header, F.col("text")), 4)
     return _with_bars(corpus).select(*KEYS, forced.alias("forced")).select(*KEYS, "forced.text", "forced.ok")
 
 
@@ -126,7 +125,7 @@ def b08(corpus):
 )
 def b09(corpus):
     key = F.concat_ws("-", F.col("piece_id").cast("string"), F.col("section").cast("string"))
-    return _section_pieces(corpus).select("piece_id", "section", sq.within_budget(T, key).alias("text"))
+    return _section_pieces(corpus).select("piece_id", "section", sq.within_budget(F.col("text"), key).alias("text"))
 
 
 _VOCABULARY = """

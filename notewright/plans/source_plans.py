@@ -193,17 +193,6 @@ def s15(corpus):
     return errors.select("piece_id", "track_id", "pitch", "start_u", "reason")
 
 
-def parse_note_lines(path: str, content: bytes):
-    """Stand-in parser: one note per line, ``program pitch velocity start end``."""
-    piece, track = path.rsplit("/", 1)[-1].removesuffix(".notes").split("-")
-    for line in content.decode().split("\n"):
-        program, pitch, velocity, start, end = map(int, line.split())
-        yield {
-            "piece_id": piece, "track_id": int(track), "program": program, "pitch": pitch, "velocity": velocity,
-            "start_u": start, "end_u": end,
-        }
-
-
 @query(
     "S16",
     """
@@ -216,7 +205,7 @@ def s16(corpus):
     name = F.concat_ws("-", F.col("piece_id").cast("string"), F.col("track_id").cast("string"))
     content = F.encode(F.array_join(F.collect_list(line), "\n"), "UTF-8")
     files = corpus.notes.groupBy(F.concat(F.lit("/raw/"), name, F.lit(".notes")).alias("path")).agg(content.alias("content"))
-    return fl.ingest(files, parse_note_lines).select(
+    return fl.ingest(files, fl.parse_note_lines).select(
         "piece_id", "track_id", "program", "pitch", "velocity", "start_u", "end_u", "error"
     )
 

@@ -1,10 +1,8 @@
-"""Explicit schemas of the corpus tables and of the file formats the engine reads."""
+"""Explicit schemas, as DDL, of the file formats the engine reads."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-STATISTICS = T.StructType.fromDDL(
+STATISTICS = (
     "md5 STRING, n_instruments INT, n_unique_instruments INT, instrument_names ARRAY<STRING>, "
     "instrument_families ARRAY<STRING>, number_of_instrument_families INT, n_notes BIGINT, n_unique_notes INT, "
     "average_n_unique_notes_per_instrument DOUBLE, average_note_duration DOUBLE, average_note_velocity DOUBLE, "
@@ -17,19 +15,19 @@ STATISTICS = T.StructType.fromDDL(
     "lyrics_nb_words BIGINT, lyrics_unique_words BIGINT, lyrics_bool BOOLEAN"
 )
 
-TITLE_ARTIST = T.StructType.fromDDL("md5 STRING, title_artist ARRAY<ARRAY<STRING>>")
-GENRE = T.StructType.fromDDL("md5 STRING, genre ARRAY<ARRAY<STRING>>")
+TITLE_ARTIST = "md5 STRING, title_artist ARRAY<ARRAY<STRING>>"
+GENRE = "md5 STRING, genre ARRAY<ARRAY<STRING>>"
 
 TRACK_STATE = "STRUCT<label: STRING, instrument: STRING, density: INT, temperature: DOUBLE, bars: ARRAY<STRING>>"
 
 # Union of the three layouts in which a stored piece exists.
-STORED_PIECE = T.StructType.fromDDL(
+STORED_PIECE = (
     f"generated_midi STRING, generate_midi STRING, sequence STRING, hyperparameters_and_bars ARRAY<{TRACK_STATE}>, "
     "features STRUCT<model_identification: STRING, inst_list: ARRAY<STRING>, density_list: ARRAY<INT>, "
     "temperature: DOUBLE, max_seq_length: INT, generate_until: STRING>"
 )
 
-RAW_NOTE_ROW = T.StructType.fromDDL(
+RAW_NOTE_ROW = (
     "path STRING, piece_id STRING, track_id INT, program INT, is_drum BOOLEAN, name STRING, pitch INT, velocity INT, "
     "start_u INT, end_u INT, error STRING"
 )

@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from notewright.operators.windows import nth_row
 from notewright.schemas import RAW_NOTE_ROW
 
 
@@ -35,8 +35,10 @@ def ingest(files: DataFrame, parser: Callable[[str, bytes], Iterable[dict]], bat
     ``parser`` is the one place where bytes are read: it yields note rows as dicts. A file it cannot read gives one
     row with ``error`` set instead of failing the job.
     """
-    schema = to_arrow_schema(RAW_NOTE_ROW)
-    names = RAW_NOTE_ROW.fieldNames()
+    arrow_types = {"STRING": pa.string(), "INT": pa.int32(), "BOOLEAN": pa.bool_()}
+    fields = [part.split(" ") for part in RAW_NOTE_ROW.split(", ")]
+    schema = pa.schema([(name, arrow_types[kind]) for name, kind in fields])
+    names = schema.names
 
     def rows_of(path: str, content: bytes):
         try:
@@ -60,10 +62,19 @@ def ingest(files: DataFrame, parser: Callable[[str, bytes], Iterable[dict]], bat
     return files.select("path", "content").mapInArrow(run, RAW_NOTE_ROW)
 
 
+def parse_note_lines(path: str, content: bytes):
+    """Stand-in parser: one note per line, ``program pitch velocity start end``."""
+    piece, track = path.rsplit("/", 1)[-1].removesuffix(".notes").split("-")
+    for line in content.decode().split("\n"):
+        program, pitch, velocity, start, end = map(int, line.split())
+        yield {
+            "piece_id": piece, "track_id": int(track), "program": program, "pitch": pitch, "velocity": velocity,
+            "start_u": start, "end_u": end,
+        }
+
+
 def sample_line(rows: DataFrame, key: str, n: int, target: str) -> DataFrame:
     """Row ``n`` (0-based) by key, without the target column."""
-    from notewright.operators.windows import nth_row
-
     return nth_row(rows, key, n).drop(target)
 
 

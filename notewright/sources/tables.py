@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
@@ -21,11 +21,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*flat).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV by explicit schema; list columns are split again."""
-    flat = T.StructType([T.StructField(f.name, T.StringType() if _is_list(f) else f.dataType) for f in schema.fields])
+    fields = T.StructType.fromDDL(schema).fields
+    flat = T.StructType([T.StructField(f.name, T.StringType() if _is_list(f) else f.dataType) for f in fields])
     rows = spark.read.schema(flat).option("header", True).csv(path)
-    return rows.select(*[F.split(f.name, ", ").alias(f.name) if _is_list(f) else F.col(f.name) for f in schema.fields])
+    return rows.select(*[F.split(f.name, ", ").alias(f.name) if _is_list(f) else F.col(f.name) for f in fields])
 
 
 def write_token_rows(rows: DataFrame, path: str) -> None:
