@@ -45,12 +45,9 @@ def gross_units(notes: DataFrame) -> DataFrame:
 
 
 def _cell_mask(low: Column, high: Column) -> Column:
-    """Bits low..high-1 of one cell."""
-    one = F.lit(1).cast("long")
-    width = high - low
-    run = F.when(width >= CELL_UNITS, F.lit(-1).cast("long")).otherwise(
-        F.call_function("shiftleft", one, width.cast("int")) - one
-    )
+    """Bits low..high-1 of one cell; a cell note covers at least one unit."""
+    all_bits = F.lit(-1).cast("long")
+    run = F.call_function("shiftrightunsigned", all_bits, (F.lit(CELL_UNITS) - (high - low)).cast("int"))
     return F.call_function("shiftleft", run, low.cast("int"))
 
 

@@ -11,10 +11,11 @@ leader that its length and letters allow.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notewright.constants import DEFAULT_MATCH_THRESHOLD
 from notewright.functions.names import clean_name
@@ -41,28 +42,27 @@ def name_nodes(
 
 
 def _decide(threshold: float):
-    def choose(frontier: pd.DataFrame) -> pd.DataFrame:
-        ordered = frontier.sort_values("position")
+    def choose(frontier: pa.Table) -> pa.Table:
+        ordered = frontier.sort_by("position")
         index, chosen = LeaderIndex(threshold), []
-        texts = ordered["processed"].tolist()
-        for row, text in enumerate(texts):
+        for row, text in enumerate(ordered["processed"].to_pylist()):
             if index.first_of([text])[0] is None:
                 index.add(text)
                 chosen.append(row)
-        return ordered.iloc[chosen][["block", "processed", "position", "cleaned"]]
+        return ordered.take(chosen)
 
     return choose
 
 
 def _absorb(threshold: float):
-    def take(nodes: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-        ordered = leaders.sort_values("position")
+    def take(nodes: pa.Table, leaders: pa.Table) -> pa.Table:
+        ordered = leaders.sort_by("position")
         index = LeaderIndex(threshold)
-        for text in ordered["processed"]:
+        for text in ordered["processed"].to_pylist():
             index.add(text)
-        names = ordered["cleaned"].tolist()
-        found = index.first_of(nodes["processed"].tolist())
-        return nodes.assign(leader=[None if f is None else names[f] for f in found])
+        names = ordered["cleaned"].to_pylist()
+        found = index.first_of(nodes["processed"].to_pylist())
+        return nodes.append_column("leader", pa.array([None if f is None else names[f] for f in found], pa.string()))
 
     return take
 
@@ -86,13 +86,13 @@ def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD, fronti
             undecided.where("position IS NOT NULL").select("block", "processed", "position", "cleaned")
             .withColumn("place", F.row_number().over(head)).where(F.col("place") <= frontier).drop("place")
         )
-        chosen = earliest.groupBy("block").applyInPandas(_decide(threshold), leader_schema)
+        chosen = earliest.groupBy("block").applyInArrow(_decide(threshold), leader_schema)
         spread = chosen.join(undecided.select("block", "salts").distinct(), "block").withColumn(
             "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
         ).select("block", "salt", "processed", "position", "cleaned")
         absorbed = cut_lineage(
             undecided.groupBy("block", "salt").cogroup(spread.groupBy("block", "salt"))
-            .applyInPandas(_absorb(threshold), schema.simpleString()[7:-1] + ",leader:string")
+            .applyInArrow(_absorb(threshold), T.StructType([*schema.fields, T.StructField("leader", T.StringType())]))
         )
         done = absorbed.where("leader IS NOT NULL").select("block", "processed", "leader")
         finished = done if finished is None else finished.unionByName(done)
