@@ -25,7 +25,7 @@ STRUCTURAL_TYPES = ["Piece-Start", "Track-Start", "Track-End", "Instrument", "Ba
 
 def words(text: Column) -> Column:
     """Tokens of a text; runs of spaces leave no empty token."""
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def kind(token: Column) -> Column:

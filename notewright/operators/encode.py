@@ -73,7 +73,8 @@ def packed_sections(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFram
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last_bar / n_bar))).alias("section"),
     )
     n_bars = F.least(F.lit(n_bar), F.col("last_bar") + 1 - F.col("section") * n_bar).cast("int")
-    return sections.join(filled, keys, "left").select(
+    # A merge join keeps the packed events where they were grouped; broadcasting them would leave the text to few tasks.
+    return sections.join(filled.hint("merge"), keys, "left").select(
         *keys, n_bars.alias("n_bars"), F.coalesce("events", F.array().cast("array<int>")).alias("events")
     )
 

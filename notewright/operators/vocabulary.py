@@ -22,7 +22,7 @@ SHIPPED_WORDS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ _WORDS = "(SELECT unnest(string_split_regex(text, '\\s+')) AS word FROM document
 
 @query("W10", f"SELECT word, count(*) AS n FROM {_WORDS} WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 20")
 def w10(corpus):
-    words = corpus.documents.select(F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("word"))
+    words = corpus.documents.select(F.explode(F.array_remove(F.split("text", r"\s+"), "")).alias("word"))
     return wn.top_k(rp.counts(words, "word"), "n", "word", 20)
 
 

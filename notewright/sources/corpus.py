@@ -120,7 +120,7 @@ class TestdataCorpus:
     @cached_property
     def lyrics(self) -> DataFrame:
         """One row per lyric event."""
-        words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+        words = F.array_remove(F.split("text", r"\s+"), "")
         return self.table("documents").select(
             (F.col("doc_id") * F.col("doc_id") % self.n_pieces).alias("piece_id"), F.explode(words).alias("text")
         )
