@@ -18,7 +18,8 @@ from notewright.constants import (
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Constant array, given as one literal that the optimizer splits once."""
+    return F.split(F.lit("|".join(values)), "[|]")
 
 
 def family_number(program: Column) -> Column:

@@ -59,12 +59,14 @@ def fit(training: DataFrame, features: list[str] | None = None, trees: int = 20,
     Encoders are fitted first so that the inverse encoder knows the labels; the fitted stages form the model.
     """
     chosen = features or FEATURES
+    training = training.persist()
     category, target = (e.fit(training) for e in encoders())
     assembler = VectorAssembler(inputCols=[*chosen, f"{CATEGORICAL}_index"], outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed, labelCol="label", featuresCol="features")
     inverse = IndexToString(inputCol="prediction", outputCol="predicted_genre", labels=target.labels)
     encoded = target.transform(training)
     fitted = Pipeline(stages=[category, assembler, forest, inverse]).fit(encoded)
+    training.unpersist()
     return fitted, target
 
 

@@ -26,6 +26,8 @@ from notewright.session import cut_lineage
 
 FRONTIER = 1000  # within spark.sql.optimizer.windowGroupLimitThreshold, so the per-block head is cut before the shuffle
 NODES_PER_TASK = 20_000
+ROUNDS_PER_COMPACTION = 16
+_ORDER = [("position", "ascending"), ("processed", "ascending")]
 
 
 def name_nodes(
@@ -43,7 +45,7 @@ def name_nodes(
 
 def _decide(threshold: float):
     def choose(frontier: pa.Table) -> pa.Table:
-        ordered = frontier.sort_by("position")
+        ordered = frontier.sort_by(_ORDER)
         index, chosen = LeaderIndex(threshold), []
         for row, text in enumerate(ordered["processed"].to_pylist()):
             if index.first_of([text])[0] is None:
@@ -56,7 +58,7 @@ def _decide(threshold: float):
 
 def _absorb(threshold: float):
     def take(nodes: pa.Table, leaders: pa.Table) -> pa.Table:
-        ordered = leaders.sort_by("position")
+        ordered = leaders.sort_by(_ORDER)
         index = LeaderIndex(threshold)
         for text in ordered["processed"].to_pylist():
             index.add(text)
@@ -79,8 +81,8 @@ def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD, fronti
     undecided = cut_lineage(salted)
     schema = undecided.schema
     leader_schema = undecided.select("block", "processed", "position", "cleaned").schema
-    finished = None
-    head = Window.partitionBy("block").orderBy("position")
+    finished, rounds = None, 0
+    head = Window.partitionBy("block").orderBy("position", "processed")
     while not undecided.where("position IS NOT NULL").isEmpty():
         earliest = (
             undecided.where("position IS NOT NULL").select("block", "processed", "position", "cleaned")
@@ -97,6 +99,9 @@ def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD, fronti
         done = absorbed.where("leader IS NOT NULL").select("block", "processed", "leader")
         finished = done if finished is None else finished.unionByName(done)
         undecided = absorbed.where("leader IS NULL").drop("leader")
+        rounds += 1
+        if rounds % ROUNDS_PER_COMPACTION == 0:
+            finished = cut_lineage(finished)
     if finished is None:
         return undecided.select("block", "processed", F.lit(None).cast("string").alias("leader"))
     return finished

@@ -28,11 +28,11 @@ def read_whole(spark: SparkSession, folder: str) -> DataFrame:
 def lines_until_blank(files: DataFrame, key: str, skip_blanks: bool = False) -> DataFrame:
     """(key, line, text): lines of each text up to its first blank line, or all lines that are not blank."""
     lines = F.split("text", "\n")
-    numbered = files.select(key, lines.alias("lines"), F.array_position(lines, "").alias("blank"))
-    rows = numbered.select(key, "blank", F.posexplode("lines").alias("line", "text"))
     if skip_blanks:
-        return rows.where("text <> ''").drop("blank")
-    return rows.where((F.col("blank") == 0) | (F.col("line") < F.col("blank") - 1)).drop("blank")
+        return files.select(key, F.posexplode(lines).alias("line", "text")).where("text <> ''")
+    blank = F.array_position(lines, "").cast("int")
+    kept = F.when(blank > 0, F.slice(lines, F.lit(1), blank - 1)).otherwise(lines)
+    return files.select(key, F.posexplode(kept).alias("line", "text"))
 
 
 def write_pieces(pieces: DataFrame, folder: str, split: str | None = None, compression: str | None = None) -> None:
