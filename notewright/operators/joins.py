@@ -60,6 +60,8 @@ def positional(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = left.select(key, F.split("text", " ").alias("a")).join(
         right.select(key, F.split("text", " ").alias("b")), key, "full"
     )
-    return both.select(key, F.posexplode(F.arrays_zip("a", "b")).alias("pos", "pair")).select(
+    none = F.array().cast("array<string>")
+    zipped = F.arrays_zip(F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    return both.select(key, F.posexplode(zipped).alias("pos", "pair")).select(
         key, "pos", F.col("pair.a").alias("left_word"), F.col("pair.b").alias("right_word")
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notewright.functions import tokens as tk
-from notewright.functions.instruments import draw_family_programs
 from notewright.operators import decode as dec
 from notewright.operators import encode as enc
 from notewright.plans.registry import query
+from notewright.plans.scalar_plans import PROGRAMS
+from notewright.plans.views import sql_list
 
 
 def texts(corpus):
@@ -131,26 +132,22 @@ def d09(corpus):
 
 @query(
     "D10",
-    """
-    SELECT i.piece_id, i.channel, CASE WHEN i.instrument = 'DRUMS' THEN 0 ELSE TRY_CAST(i.instrument AS INT) END AS program,
-           i.instrument = 'DRUMS' AS is_drum,
-           CASE WHEN i.instrument = 'DRUMS' THEN 0 ELSE f.program END AS program_of_family
-    FROM v_trackinst i LEFT JOIN v_family_program f
-         ON TRY_CAST(i.instrument AS INT) // 8 = f.family_number
-    WHERE i.instrument = 'DRUMS' OR TRY_CAST(i.instrument AS INT) // 8 <= 10""",
+    f"""
+    SELECT piece_id, channel, CASE WHEN instrument = 'DRUMS' THEN 0 ELSE TRY_CAST(instrument AS INT) END AS program,
+           instrument = 'DRUMS' AS is_drum, CASE WHEN instrument = 'DRUMS' THEN 0
+               ELSE CAST(({sql_list(PROGRAMS)})[TRY_CAST(instrument AS INT) // 8 + 1] AS INT) END AS program_of_family
+    FROM v_trackinst""",
 )
 def d10(corpus):
-    """Both readings of the instrument token; families with a fixed program only (the others are a draw)."""
+    """Both readings of the instrument token: a program, or a family replaced by the program drawn for it."""
     tracks = dec.track_texts(texts(corpus))
-    direct = dec.track_instruments(tracks)
     family = F.when(F.col("instrument") == "DRUMS", F.col("instrument")).otherwise(
         F.floor(F.col("instrument").try_cast("int") / 8).cast("string")
     )
-    by_family = dec.track_instruments(tracks.withColumn("instrument", family), draw_family_programs(seed=1)).select(
+    by_family = dec.track_instruments(tracks.withColumn("instrument", family), PROGRAMS).select(
         "piece_id", "channel", F.col("program").alias("program_of_family")
     )
-    fixed = F.col("is_drum") | (F.col("program") < 88)
-    return direct.join(by_family, ["piece_id", "channel"]).where(fixed)
+    return dec.track_instruments(tracks).join(by_family, ["piece_id", "channel"])
 
 
 @query(

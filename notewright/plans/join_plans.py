@@ -109,16 +109,19 @@ def j09(corpus):
     """
     WITH a AS (SELECT piece_id, channel, string_agg(word, ' ' ORDER BY pos) AS text FROM v_tracked
                WHERE kind <> 'PIECE_START' GROUP BY ALL),
-    l AS (SELECT piece_id, string_split(text, ' ') AS x FROM a WHERE channel = 0),
-    r AS (SELECT piece_id, string_split(text, ' ') AS y FROM a WHERE channel = 1)
-    SELECT piece_id, CAST(unnest(range(greatest(len(x), len(y)))) AS INT) AS pos,
-           unnest(list_transform(list_zip(x, y), lambda z: z[1])) AS left_word,
-           unnest(list_transform(list_zip(x, y), lambda z: z[2])) AS right_word
-    FROM l JOIN r USING (piece_id)""",
+    l AS (SELECT piece_id, channel, string_split(text, ' ') AS x FROM a),
+    r AS (SELECT piece_id, channel - 1 AS channel, string_split(text, ' ') AS y FROM a WHERE channel > 0),
+    z AS (SELECT piece_id, channel, list_zip(coalesce(x, []), coalesce(y, [])) AS z FROM l LEFT JOIN r USING (piece_id, channel))
+    SELECT piece_id, channel, CAST(unnest(range(len(z))) AS INT) AS pos,
+           unnest(list_transform(z, lambda p: p[1])) AS left_word, unnest(list_transform(z, lambda p: p[2])) AS right_word
+    FROM z""",
 )
 def j10(corpus):
-    """The first two tracks of every piece, word by word."""
+    """Each track of a piece beside the next one, word by word."""
     tracks = dec.track_texts(enc.encode(corpus.notes, corpus.tracks))
     text = F.trim(F.regexp_replace("text", " PIECE_START", ""))
-    clean = tracks.select("piece_id", "channel", text.alias("text"))
-    return jn.positional(clean.where("channel = 0"), clean.where("channel = 1"), "piece_id")
+    left = tracks.select(F.struct("piece_id", "channel").alias("key"), text.alias("text"))
+    following = tracks.where("channel > 0").select(
+        F.struct("piece_id", (F.col("channel") - 1).alias("channel")).alias("key"), text.alias("text")
+    )
+    return jn.positional(left, following, "key").select("key.*", "pos", "left_word", "right_word")

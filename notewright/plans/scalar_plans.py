@@ -43,15 +43,15 @@ def p03(corpus):
 
 @query(
     "P04",
-    """
-    SELECT t.piece_id, t.track_id, f.family_number, f.program AS chosen_program
-    FROM v_tracks t JOIN v_family_program f ON t.program // 8 = f.family_number""",
+    f"""
+    SELECT piece_id, track_id, CAST(program // 8 AS INT) AS family_number,
+           CAST(({sql_list(PROGRAMS)})[program // 8 + 1] AS INT) AS chosen_program FROM v_tracks""",
 )
 def p04(corpus):
+    """One draw per run: the list drawn at import serves both sides."""
     family = inst.family_number(F.col("program"))
-    return corpus.tracks.where("program < 88").select(
-        "piece_id", "track_id", family.alias("family_number"),
-        inst.family_program(family, inst.draw_family_programs(seed=7)).alias("chosen_program"),
+    return corpus.tracks.select(
+        "piece_id", "track_id", family.alias("family_number"), inst.family_program(family, PROGRAMS).alias("chosen_program")
     )
 
 

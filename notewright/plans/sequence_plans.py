@@ -181,19 +181,20 @@ def b12(corpus):
 @query(
     "B13",
     """
-    WITH l AS (SELECT piece_id, section, string_split(text, ' ') AS x FROM v_sections WHERE track_id = 1),
-    r AS (SELECT piece_id, section, string_split(text, ' ') AS y FROM v_sections WHERE track_id = 2)
-    SELECT l.piece_id, CAST(l.section AS BIGINT) AS section, x = y AS equal, len(x) = len(y) AS same_length,
+    WITH l AS (SELECT piece_id, section, track_id, string_split(text, ' ') AS x FROM v_sections),
+    r AS (SELECT piece_id, section, track_id - 1 AS track_id, string_split(text, ' ') AS y FROM v_sections)
+    SELECT piece_id, track_id, CAST(section AS BIGINT) AS section, x = y AS equal, len(x) = len(y) AS same_length,
            CASE WHEN len(x) = len(y) THEN CAST(len(list_filter(list_zip(x, y), lambda z:
                CASE WHEN contains(z[1], 'NOTE') THEN string_split(z[1], '=')[1] ELSE z[1] END
                <> CASE WHEN contains(z[2], 'NOTE') THEN string_split(z[2], '=')[1] ELSE z[2] END)) AS INT) END AS n_different
-    FROM l JOIN r ON l.piece_id = r.piece_id AND l.section = r.section""",
+    FROM l JOIN r USING (piece_id, section, track_id)""",
 )
 def b13(corpus):
-    """Track 1 against track 2 of every section; the encode/decode comparison itself is a test."""
-    keyed = _sections(corpus).withColumn("key", F.struct("piece_id", "section"))
-    rows = sq.compared(keyed.where("track_id = 1"), keyed.where("track_id = 2"), "key")
-    return rows.select("key.piece_id", "key.section", "equal", "same_length", "n_different")
+    """Each track against the next one in every section; the encode/decode comparison itself is a test."""
+    sections = _sections(corpus)
+    left = sections.withColumn("key", F.struct("piece_id", "track_id", "section"))
+    right = sections.withColumn("key", F.struct("piece_id", (F.col("track_id") - 1).alias("track_id"), "section"))
+    return sq.compared(left, right, "key").select("key.*", "equal", "same_length", "n_different")
 
 
 @query(
@@ -210,19 +211,17 @@ def b14(corpus):
     "B15",
     f"""
     WITH {_BARS}
-    SELECT piece_id, track_id, 'track_' || (track_id - 1) AS label, CASE WHEN track_id = 3 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END
-           AS temperature, CAST(len(bars) AS INT) AS n_items FROM b WHERE section = 0 AND track_id <> 2
-    UNION ALL SELECT piece_id, 8, 'track_7', 0.9::DOUBLE, 0 FROM v_pieces""",
+    SELECT {_KEYS}, 'track_' || (track_id - 1) AS label, CASE WHEN track_id = 3 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END
+           AS temperature, CAST(len(bars) AS INT) AS n_items FROM b WHERE track_id <> 2
+    UNION ALL SELECT piece_id, 8, 0::BIGINT, 'track_7', 0.9::DOUBLE, 0 FROM v_pieces""",
 )
 def b15(corpus):
-    """A track appended, one deleted, one re-set, in the first section of every piece."""
+    """A track appended, one deleted, one re-set, in every piece."""
     label = F.concat(F.lit("track_"), (F.col("track_id") - 1).cast("string"))
-    state = _with_bars(corpus).where("section = 0").select(
-        "piece_id", "track_id", label.alias("label"), F.lit(0.7).alias("temperature"), "bars"
-    )
+    state = _with_bars(corpus).select(*KEYS, label.alias("label"), F.lit(0.7).alias("temperature"), "bars")
     added = corpus.pieces.select(
-        "piece_id", F.lit(8).alias("track_id"), F.lit("track_7").alias("label"), F.lit(0.9).alias("temperature"),
-        F.array().cast("array<string>").alias("bars"),
+        "piece_id", F.lit(8).alias("track_id"), F.lit(0).cast("long").alias("section"), F.lit("track_7").alias("label"),
+        F.lit(0.9).alias("temperature"), F.array().cast("array<string>").alias("bars"),
     )
     changed = sq.reset_temperature(sq.delete_track(sq.append_track(state, added), 2), 3, 0.5)
-    return changed.select("piece_id", "track_id", "label", "temperature", F.size("bars").alias("n_items"))
+    return changed.select(*KEYS, "label", "temperature", F.size("bars").alias("n_items"))
