@@ -5,9 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import packing, quality, secret_scan, sharding
+from notewright.llm import bpe, fingerprints, packing, quality, secret_scan, sharding
 from notewright.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,16 @@ def op1_shards(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+@query
+def op2_fingerprints(spark, folder):
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
+@query
+def op3_bpe(spark, folder):
+    return bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op5_pack(spark, folder):
     return packing.pack(packing.word_lengths(table(spark, folder, "documents")))
