@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import bpe, fingerprints, packing, quality, secret_scan, sharding
+from notewright.llm import bpe, fingerprints, language_model, packing, quality, secret_scan, sharding
 from notewright.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op3_bpe(spark, folder):
     return bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op4_language_model(spark, folder):
+    return language_model.score_documents(table(spark, folder, "documents"))
+
+
 @query
 def op5_pack(spark, folder):
     return packing.pack(packing.word_lengths(table(spark, folder, "documents")))
