@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import bpe, fingerprints, language_model, packing, quality, secret_scan, sharding
+from notewright.llm import bpe, fingerprints, language_model, packing, quality, secret_scan, sharding, toxicity
 from notewright.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op5_pack(spark, folder):
     return packing.pack(packing.word_lengths(table(spark, folder, "documents")))
 
 
+@query
+def op6_toxicity(spark, folder):
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op7_quality(spark, folder):
     rows = quality.rate(table(spark, folder, "documents"))
