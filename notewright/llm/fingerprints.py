@@ -22,19 +22,7 @@ BASES = (1_000_003, 746_153_957)
 WINDOW = 16
 KEPT = 48
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_P, _S = np.uint64(PRIME), np.uint64(31)
-
-
-def mod(x: np.ndarray) -> np.ndarray:
-    """x modulo the Mersenne prime, for x below 2^62."""
-    high = x >> _S
-    low = x & _P
-    low += high
-    np.right_shift(low, _S, out=high)
-    low &= _P
-    low += high
-    np.subtract(low, _P, out=high)  # wraps round to a large number below the prime
-    return np.minimum(low, high, out=low)
+_P = np.uint64(PRIME)
 
 
 class Powers:
@@ -49,7 +37,7 @@ class Powers:
     def _table(base: int, size: int) -> np.ndarray:
         table = np.ones(1, dtype=np.uint64)
         while len(table) < size:
-            table = np.concatenate([table, mod(table * np.uint64(pow(base, len(table), PRIME)))])
+            table = np.concatenate([table, table * np.uint64(pow(base, len(table), PRIME)) % _P])
         return table
 
     def grow(self, size: int) -> None:
@@ -73,8 +61,8 @@ class PrefixHash:
         arrays = []
         for p in POWERS:
             p.grow(len(codes) + 2)
-            sums = np.cumsum(mod(codes * p.up[: len(codes)]))
-            arrays.append(np.concatenate([np.zeros(1, dtype=np.uint64), mod(sums)]))
+            sums = np.cumsum(codes * p.up[: len(codes)] % _P)
+            arrays.append(np.concatenate([np.zeros(1, dtype=np.uint64), sums % _P]))
         return cls(tuple(arrays))
 
     def spliced(self, keep: int, other: PrefixHash, take: int) -> PrefixHash:
@@ -82,7 +70,7 @@ class PrefixHash:
         arrays = []
         for p, a, b in zip(POWERS, self.arrays, other.arrays):
             p.grow(keep + take + 2)
-            arrays.append(np.concatenate([a[: keep + 1], mod(a[keep] + mod(b[1 : take + 1] * p.up[keep]))]))
+            arrays.append(np.concatenate([a[: keep + 1], (a[keep] + b[1 : take + 1] * p.up[keep]) % _P]))
         return PrefixHash(tuple(arrays))
 
     def span(self, start: int, length: int) -> tuple[int, ...]:
@@ -95,7 +83,7 @@ class PrefixHash:
             return np.zeros(0, dtype=np.uint64)
         w = min(WINDOW, self.n)
         a = self.arrays[0]
-        return mod((a[w:] + _P - a[:-w]) * POWERS[0].down[: self.n - w + 1])
+        return (a[w:] + _P - a[:-w]) % _P * POWERS[0].down[: self.n - w + 1] % _P
 
     def sketch(self) -> list[int]:
         """The least mixed hashes of distinct windows: a sample of the windows that is the same for the same set."""
@@ -189,8 +177,10 @@ def in_descending_stretches(docs: DataFrame) -> DataFrame:
     edges = [(tops[order[k - 1]] if k else tops[order[-1]], order[k]) for k in range(len(order))]
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.withColumns({"s": stretch(F.col("doc_id"), bounds), "edge": F.lit(False)})
+    # Only the few documents at the borders go into the join.
+    heads = docs.filter(F.coalesce(F.col("doc_id").isin([top for top, _ in edges if top is not None]), F.lit(None in tops.values())))
     following = (
-        docs.join(spark.createDataFrame(edges, f"top {kind}, s int").coalesce(1), F.col("doc_id").eqNullSafe(F.col("top")))
+        heads.join(spark.createDataFrame(edges, f"top {kind}, s int"), F.col("doc_id").eqNullSafe(F.col("top")))
         .groupBy("s")
         .agg(F.min_by(F.struct("doc_id", "text"), F.xxhash64("text")).alias("d"))
         .select("d.doc_id", "d.text", "s", F.lit(True).alias("edge"))
