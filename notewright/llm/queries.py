@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import bpe, fingerprints, language_model, packing, quality, secret_scan, sharding, toxicity
+from notewright.llm import bpe, fingerprints, language_model, packing, quality, secret_scan, set_join, sharding, toxicity
 from notewright.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op7_quality(spark, folder):
 @query
 def op8_secrets(spark, folder):
     return secret_scan.scan_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op9_jaccard_join(spark, folder):
+    return set_join.join_documents(table(spark, folder, "documents"))
