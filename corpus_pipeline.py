@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import packing, quality, secret_scan
+from notewright.llm import packing, quality, secret_scan, set_join, toxicity
 from notewright.session import fresh_path, ship_package
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier scores below 0.5."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep(docs)
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (five-word n-grams, similarity 0.8)."""
+    return set_join.one_of_each(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by a mark, and n_chars of the new text."""
     return secret_scan.redact_documents(docs)
@@ -24,12 +34,14 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", near_duplicates_stage),
     ("secret_scans", secrets_stage),
     ("best_fit_packing", packing_stage),
 ]
 
-#: Limits come from sketches and bins from a greedy search, which SQL does not express; tests/llm compares with brute force.
+#: The classifier, the sketches and the greedy packing are not SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

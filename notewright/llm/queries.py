@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from notewright.llm import bpe, fingerprints, language_model, packing, quality, secret_scan, set_join, sharding, toxicity
+from notewright.llm import bpe, fingerprints, html_extract, language_model, packing, quality, secret_scan, set_join, sharding, toxicity
 from notewright.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op8_secrets(spark, folder):
 @query
 def op9_jaccard_join(spark, folder):
     return set_join.join_documents(table(spark, folder, "documents"))
+
+
+@query
+def op10_html(spark, folder):
+    return html_extract.extract_pages(table(spark, folder, "pages"))
