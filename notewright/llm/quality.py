@@ -21,6 +21,8 @@ FENCE = 4.0
 #: Pairs and languages with fewer rows than this use the next wider sketch.
 LEAST_ROWS = 200
 LEAST_WORDS = 50
+#: Pairs of language and source, of about 100 bytes each, up to which their limits are broadcast.
+MOST_SHIPPED = 50_000
 
 
 def text_measures(docs: DataFrame) -> DataFrame:
@@ -99,10 +101,14 @@ def judge(rows: DataFrame, found: DataFrame) -> DataFrame:
     """`rows` with kept: false if base_failed, else whether every measure is within the limits of the row's language and source."""
     found = found.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    within = F.lit(True)
+    # One sum under coalesce, not a conjunction: a filter on it stays above the join and does not repeat the measures below it.
+    against = F.col("base_failed").cast("int")
     for m in SLACK:
-        within = within & F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
-    return rows.join(found, same, "left").withColumn("kept", ~F.col("base_failed") & within).drop("_lang", "_source", *[f"max_{m}" for m in SLACK])
+        against = against + F.when(F.col(m) > F.col(f"max_{m}"), 1).otherwise(0)
+    # Few pairs go to the rows; many are joined as Spark sees fit.
+    found = cut_lineage(found)
+    found = F.broadcast(found) if found.count() <= MOST_SHIPPED else found
+    return rows.join(found, same, "left").withColumn("kept", F.coalesce(against, F.lit(1)) == 0).drop("_lang", "_source", *[f"max_{m}" for m in SLACK])
 
 
 def rate(docs: DataFrame) -> DataFrame:
@@ -121,7 +127,6 @@ def keep(docs: DataFrame) -> DataFrame:
     The measures are computed twice, for the limits and for the verdicts, so that texts are neither stored again nor shuffled.
     """
     own = docs.columns
-    rows = shares(text_measures(docs.select("doc_id", "text", "lang", "source")).drop("doc_id", "text"))
-    found = limits(rows)
+    found = limits(cut_lineage(shares(text_measures(docs.select("text", "lang", "source")).drop("text"))))
     measured = judge(shares(text_measures(docs.withColumns({f"_own{i}": F.col(c) for i, c in enumerate(own)}))), found)
     return measured.filter("kept").select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(own)])
