@@ -144,7 +144,11 @@ def spelled(spans: str) -> Column:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document; one row per input row."""
     rows = find_secrets(docs.select("doc_id", "text")).withColumn("_base", F.sort_array("_base"))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def number_of(k: int) -> Column:
+        return F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [number_of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(spelled("_base").cast("binary"), 256).alias("base_sha256"), spelled("_spans").alias("spans"))
 
 
