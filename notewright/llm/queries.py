@@ -73,7 +73,25 @@ def op8_secrets(spark, folder):
 
 @query
 def op9_jaccard_join(spark, folder):
-    return set_join.join_documents(table(spark, folder, "documents"))
+    return set_join.join_documents(table(spark, folder, "documents")).drop("text_hash")
+
+
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [''] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+),
+u AS (SELECT doc_id, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+    SELECT p.a, p.b FROM p JOIN g ga ON ga.doc_id = p.a JOIN g gb ON gb.doc_id = p.b
+    WHERE p.c * 9 >= 4 * (len(ga.s) + len(gb.s))
+),
+r(v, l) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.v),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT r.v AS doc_id, min(r.l) AS class_id, coalesce(any_value(n.n_links), 0) AS n_links FROM r LEFT JOIN n ON n.a = r.v GROUP BY r.v
+"""
 
 
 @query
