@@ -76,7 +76,6 @@ VERSION_WORDS = ["karaoke", "reprise", "solo", "acoustic"]
 SPECIAL_TOKENS = ["[UNK]", "[PAD]", "[MASK]"]
 UNK_ID, PAD_ID, MASK_ID = 0, 1, 2
 IGNORED_LABEL = -100
-DEFAULT_VOCABULARY_SIZE = 30_000
 DEFAULT_MAX_TOKENS = 2048
 DEFAULT_PROMPT_WORDS = 1500
 DEFAULT_MATCH_THRESHOLD = 75

@@ -5,6 +5,8 @@ A text or a bar list is one row, so these are array expressions; only vocabulary
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,15 +102,20 @@ def _context(all_words: Column, position: Column, before: int, after: int) -> Co
     return F.array_join(F.slice(all_words, start + 1, position + after - start), " ")
 
 
+def _hits(listed: DataFrame, key: str, test: Callable[[Column, Column], Column], around: int) -> DataFrame:
+    """Position, word and context of the words that pass; only these leave the row."""
+
+    def hit(w: Column, i: Column) -> Column:
+        return F.when(test(w, i), F.struct(i.alias("pos"), w.alias("word"), _context(F.col("words"), i, around, around).alias("context")))
+
+    found = F.filter(F.transform("words", hit), lambda h: h.isNotNull())
+    return listed.select(key, F.explode(found).alias("hit")).select(key, "hit.pos", "hit.word", "hit.context")
+
+
 def repeated_words(texts: DataFrame, key: str) -> DataFrame:
     """Words equal to the next word, with a little context."""
     listed = texts.select(key, F.split("text", " ").alias("words"))
-    at = F.filter(
-        F.transform("words", lambda w, i: F.when(w == F.get("words", i + 1), i)), lambda i: i.isNotNull()
-    )
-    return listed.select(key, "words", F.explode(at).alias("pos")).select(
-        key, "pos", F.get("words", F.col("pos")).alias("word"), _context(F.col("words"), F.col("pos"), 3, 3).alias("context")
-    )
+    return _hits(listed, key, lambda w, i: w == F.get("words", i + 1), 3)
 
 
 def unknown_words(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
@@ -120,12 +127,7 @@ def unknown_words(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFram
     missing = distinct.join(vocabulary.where("word <> '[UNK]'").select("word"), "word", "left_anti")
     per_text = missing.groupBy(key).agg(F.collect_set("word").alias("unknown"))
     listed = texts.select(key, F.split("text", " ").alias("words")).join(per_text, key)
-    at = F.filter(
-        F.transform("words", lambda w, i: F.when(F.array_contains("unknown", w), i)), lambda i: i.isNotNull()
-    )
-    return listed.select(key, "words", F.explode(at).alias("pos")).select(
-        key, "pos", F.get("words", F.col("pos")).alias("word"), _context(F.col("words"), F.col("pos"), 5, 5).alias("context")
-    )
+    return _hits(listed, key, lambda w, i: F.array_contains("unknown", w), 5)
 
 
 def missing_instruments(prompts: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from notewright.constants import (
-    DEFAULT_MAX_TOKENS,
-    DEFAULT_VOCABULARY_SIZE,
-    IGNORED_LABEL,
-    PAD_ID,
-    SPECIAL_TOKENS,
-    UNK_ID,
-)
+from notewright.constants import DEFAULT_MAX_TOKENS, IGNORED_LABEL, PAD_ID, SPECIAL_TOKENS, UNK_ID
+from notewright.session import cut_lineage
 
-# Above this many words the lookup is a join instead of a table shipped to the tasks.
-SHIPPED_WORDS = 200_000
+# The first entries are the most frequent words. This many go to every task; all others are found by a shuffled join.
+FREQUENT = 1000
+_IN_PARTITION = (1 << 33) - 1
 
 
 def words(text: Column) -> Column:
@@ -29,17 +21,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def ranked_words(counts: DataFrame, size: int) -> DataFrame:
-    """The ``size`` most frequent words, ties by code point, ranked from 0; only these rows are ever ranked."""
-    top = counts.orderBy(F.desc("n"), "word").limit(size)
-    order = Window.orderBy(F.desc("n"), "word")
-    return top.select("word", "n", (F.row_number().over(order) - 1).alias("rank"))
+def ranked_words(counts: DataFrame, size: int | None = None) -> DataFrame:
+    """(word, n, rank): words by frequency, ties by code point, ranked from 0; all of them, or the first ``size``.
 
-
-def build(texts: DataFrame, size: int = DEFAULT_VOCABULARY_SIZE) -> DataFrame:
-    """(word, id): the special tokens, then words by frequency, ``size`` entries at most."""
+    Ranges of the order are numbered where they lie; only the sizes of the ranges meet in one task.
+    """
+    order = [F.desc("n"), F.asc("word")]
+    placed = counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION))
+    placed = cut_lineage(placed.select("word", "n", F.spark_partition_id().alias("part"), place.alias("place")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    ranked = placed.join(starts, "part").select("word", "n", (F.col("start") + F.col("place")).alias("rank"))
+    return ranked if size is None else ranked.where(F.col("rank") < size)
+
+
+def build(texts: DataFrame, size: int | None = None) -> DataFrame:
+    """(word, id): the special tokens, then words by frequency; all of them, or ``size`` entries at most."""
     counted = word_counts(texts).where(~F.col("word").isin(SPECIAL_TOKENS))
-    ranked = ranked_words(counted, size - len(SPECIAL_TOKENS)).select(
+    ranked = ranked_words(counted, None if size is None else size - len(SPECIAL_TOKENS)).select(
         "word", (F.col("rank") + len(SPECIAL_TOKENS)).cast("int").alias("id")
     )
     special = texts.sparkSession.range(len(SPECIAL_TOKENS)).select(
@@ -49,41 +49,35 @@ def build(texts: DataFrame, size: int = DEFAULT_VOCABULARY_SIZE) -> DataFrame:
     return special.unionByName(ranked)
 
 
-def _by_join(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    exploded = texts.select(key, F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
-    found = exploded.join(vocabulary, "word", "left").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))).alias("found")
-    )
-    return found.select(key, F.transform("found", lambda x: x["id"]).alias("input_ids"))
-
+def _looked_up(tokens: DataFrame, vocabulary: DataFrame, column: str, wanted: str, filler: Column) -> DataFrame:
+    """``tokens`` with ``wanted`` of the vocabulary entry that equals ``column``, null if there is none.
 
-def _lookup(table: pa.Array, ids: pa.Array):
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            place = pc.index_in(lists.flatten(), value_set=table)
-            flat = pc.fill_null(ids.take(place), UNK_ID)
-            offsets = pc.subtract(lists.offsets, lists.offsets[0])
-            column = pa.ListArray.from_arrays(offsets.cast(pa.int32()), flat.cast(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], "input_ids"])
+    Frequent words meet their entry in a broadcast of at most FREQUENT rows; they then carry ``filler``, a value that no
+    entry has, into the shuffled join with the rest, so that no frequent word is one key there.
+    """
+    entries = vocabulary.select(column, wanted)
+    head = entries.where(F.col("id") < FREQUENT).select(F.col(column).alias("_head"), F.col(wanted).alias("_found"))
+    tail = entries.where(F.col("id") >= FREQUENT).select(F.col(column).alias("_tail"), F.col(wanted).alias("_rest"))
+    known = tokens.join(F.broadcast(head), F.col(column) == F.col("_head"), "left")
+    known = known.withColumn("_key", F.when(F.col("_head").isNull() & F.col(column).isNotNull(), F.col(column)).otherwise(filler))
+    joined = known.join(tail, F.col("_key") == F.col("_tail"), "left")
+    return joined.withColumn(wanted, F.coalesce("_found", "_rest")).drop("_head", "_found", "_key", "_tail", "_rest")
 
-    return run
 
+def _listed(tokens: DataFrame, key: str, value: str) -> DataFrame:
+    """The values of each row in order; a row of its own for every input row, also where keys repeat."""
+    pairs = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value))))
+    listed = tokens.groupBy("_row").agg(F.first(key).alias(key), pairs.alias("pairs"))
+    return listed.select(key, F.transform("pairs", lambda p: p[value]).alias("listed"))
 
-def encode(texts: DataFrame, key: str, vocabulary: DataFrame, shipped: int = SHIPPED_WORDS) -> DataFrame:
-    """(key, input_ids): ids of the words of each text, unknown words as [UNK].
 
-    A vocabulary is bounded by its size parameter; up to ``shipped`` words it goes to the tasks once and texts are
-    encoded in place, without a shuffle. A larger one is joined.
-    """
-    rows = vocabulary.limit(shipped + 1).collect()
-    if len(rows) > shipped:
-        return _by_join(texts, key, vocabulary)
-    table = pa.array([r["word"] for r in rows], pa.string())
-    ids = pa.array([r["id"] for r in rows], pa.int32())
-    listed = texts.select(key, words(F.coalesce("text", F.lit(""))).alias("words"))
-    schema = T.StructType([listed.schema[0], T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
-    return listed.mapInArrow(_lookup(table, ids), schema)
+def encode(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    """(key, input_ids): ids of the words of each text, unknown words as [UNK]; null and empty texts have no ids."""
+    rows = texts.select(key, F.monotonically_increasing_id().alias("_row"), words(F.col("text")).alias("words"))
+    tokens = rows.select(key, "_row", F.posexplode_outer("words").alias("pos", "word"))
+    filler = F.concat(F.lit("\u0000 "), F.pmod(F.xxhash64("_row", "pos"), F.lit(1009)).cast("string"))
+    found = _looked_up(tokens, vocabulary, "word", "id", filler).withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
+    return _listed(found, key, "id").withColumnRenamed("listed", "input_ids")
 
 
 def truncate(rows: DataFrame, n: int = DEFAULT_MAX_TOKENS) -> DataFrame:
@@ -107,32 +101,13 @@ def labels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("labels", ignored)
 
 
-def _word_lookup(table: pa.Array, ids: pa.Array):
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            flat = table.take(pc.index_in(lists.flatten().cast(pa.int32()), value_set=ids))
-            offsets = pc.subtract(lists.offsets, lists.offsets[0])
-            found = pa.ListArray.from_arrays(offsets.cast(pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pc.binary_join(found, " ")], names=[*batch.schema.names[:-1], "text"]
-            )
-
-    return run
-
-
-def to_text(rows: DataFrame, key: str, vocabulary: DataFrame, shipped: int = SHIPPED_WORDS) -> DataFrame:
-    """(key, text): the words of each id row."""
-    entries = vocabulary.limit(shipped + 1).collect()
-    if len(entries) > shipped:
-        exploded = rows.select(key, F.posexplode_outer("input_ids").alias("pos", "id")).join(vocabulary, "id", "left")
-        ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
-        return exploded.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("text"))
-    table = pa.array([r["word"] for r in entries], pa.string())
-    ids = pa.array([r["id"] for r in entries], pa.int32())
-    listed = rows.select(key, "input_ids")
-    schema = T.StructType([listed.schema[0], T.StructField("text", T.StringType())])
-    return listed.mapInArrow(_word_lookup(table, ids), schema)
+def to_text(rows: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    """(key, text): the words of each id row; an id that the vocabulary lacks is left out."""
+    numbered = rows.select(key, F.monotonically_increasing_id().alias("_row"), "input_ids")
+    tokens = numbered.select(key, "_row", F.posexplode_outer("input_ids").alias("pos", "id"))
+    filler = (-1 - F.pmod(F.xxhash64("_row", "pos"), F.lit(1009))).cast("int")
+    found = _looked_up(tokens, vocabulary, "id", "word", filler)
+    return _listed(found, key, "word").select(key, F.array_join("listed", " ").alias("text"))
 
 
 def checked(rows: DataFrame) -> DataFrame:

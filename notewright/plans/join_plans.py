@@ -10,6 +10,7 @@ from notewright.operators import encode as enc
 from notewright.operators import joins as jn
 from notewright.operators import metadata as md
 from notewright.operators import vocabulary as vo
+from notewright.operators.genre_model import with_split
 from notewright.plans.registry import query
 from notewright.plans.scalar_plans import _clean_sql
 
@@ -92,16 +93,13 @@ _LINES = """
     "J09",
     f"""
     WITH w AS (SELECT doc_id, unnest(words) AS word FROM ({_LINES})), c AS (SELECT doc_id, word FROM w WHERE word <> ''),
-    v AS (SELECT word FROM c GROUP BY word ORDER BY count(*) DESC, word LIMIT 500)
+    v AS (SELECT DISTINCT word FROM c WHERE md5('42:' || doc_id) < '1999999a')
     SELECT word, count(*) AS n, word IN (SELECT word FROM v) AS known FROM c GROUP BY word""",
 )
 def j09(corpus):
-    """Words inside and outside a vocabulary of 500 words."""
-    words = vo.word_counts(corpus.documents)
-    known = vo.ranked_words(words, 500).select("word")
-    inside = words.join(known, "word", "left_semi").withColumn("known", F.lit(True))
-    outside = words.join(known, "word", "left_anti").withColumn("known", F.lit(False))
-    return inside.unionByName(outside)
+    """Words of the corpus inside and outside the vocabulary of a tenth of its texts."""
+    part = vo.build(with_split(corpus.documents, "doc_id").where("is_test")).select("word", F.lit(True).alias("hit"))
+    return vo.word_counts(corpus.documents).join(part, "word", "left").select("word", "n", F.coalesce("hit", F.lit(False)).alias("known"))
 
 
 @query(

@@ -12,6 +12,7 @@ from notewright.plans.registry import query
 from notewright.plans.scalar_plans import _TO_FAMILY
 from notewright.plans.statistics_plans import _LIST_COLUMNS, _WHOLE, statistics_report
 from notewright.operators import piece_stats as ps
+from notewright.plans.vocabulary_plans import IDS
 from notewright.schemas import GENRE, STATISTICS, TITLE_ARTIST
 from notewright.session import fresh_path
 from notewright.sources import files as fl
@@ -171,16 +172,12 @@ def s13(corpus):
     return corpus.spark.read.text(target).select(F.col("value").alias("text"))
 
 
-@query(
-    "S14",
-    """
-    WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS words FROM documents)
-    SELECT doc_id, CAST(len(words) AS INT) AS n_ids FROM w""",
-)
+@query("S14", f"{IDS} SELECT doc_id, array_to_string(ids, ' ') AS input_ids FROM x")
 def s14(corpus):
     path = fresh_path(corpus.spark, "ids")
-    tb.write_token_rows(vo.encode(corpus.documents, "doc_id", vo.build(corpus.documents, 5000)), path)
-    return tb.read_token_rows(corpus.spark, path).select("doc_id", F.size("input_ids").alias("n_ids"))
+    tb.write_token_rows(vo.encode(corpus.documents, "doc_id", vo.build(corpus.documents)), path)
+    ids = F.array_join(F.col("input_ids").cast("array<string>"), " ")
+    return tb.read_token_rows(corpus.spark, path).select("doc_id", ids.alias("input_ids"))
 
 
 @query(

@@ -9,22 +9,19 @@ from notewright.operators import vocabulary as vo
 from notewright.operators import windows as wn
 from notewright.plans.registry import query
 
-SMALL = 5000
-
-_WORDS = """
+WORDS = """
     w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS words FROM documents)"""
 
 
-def _vocabulary_sql(size):
-    return f"""
+VOCABULARY = """
     c AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM w) GROUP BY word),
     v AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 2 AS INT) AS id FROM c
-          WHERE word NOT IN ('[UNK]', '[PAD]', '[MASK]') ORDER BY n DESC, word LIMIT {size - 3}),
+          WHERE word NOT IN ('[UNK]', '[PAD]', '[MASK]')),
     voc AS (SELECT * FROM v UNION ALL SELECT * FROM (VALUES ('[UNK]', 0), ('[PAD]', 1), ('[MASK]', 2)) AS s(word, id))"""
 
 
-_IDS = f"""
-    WITH {_WORDS}, {_vocabulary_sql(SMALL)},
+IDS = f"""
+    WITH {WORDS}, {VOCABULARY},
     e AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w),
     i AS (SELECT e.doc_id, list(coalesce(voc.id, 0) ORDER BY pos) AS ids FROM e LEFT JOIN voc USING (word) GROUP BY e.doc_id),
     x AS (SELECT w.doc_id, coalesce(i.ids, []) AS ids FROM w LEFT JOIN i USING (doc_id))"""
@@ -34,24 +31,24 @@ def _joined(column):
     return F.array_join(F.col(column).cast("array<string>"), " ")
 
 
-def _vocabulary(corpus, size=SMALL):
-    return vo.build(corpus.documents, size)
+def _vocabulary(corpus):
+    return vo.build(corpus.documents)
 
 
 def _ids(corpus):
     return vo.encode(corpus.documents, "doc_id", _vocabulary(corpus))
 
 
-@query("V01", f"WITH {_WORDS} SELECT doc_id, CAST(len(words) AS INT) AS n_words, array_to_string(words, ' ') AS words FROM w")
+@query("V01", f"WITH {WORDS} SELECT doc_id, CAST(len(words) AS INT) AS n_words, array_to_string(words, ' ') AS words FROM w")
 def v01(corpus):
     return corpus.documents.withColumn("words", vo.words(F.col("text"))).select(
         "doc_id", F.size("words").alias("n_words"), F.array_join("words", " ").alias("words")
     )
 
 
-@query("V02", f"WITH {_WORDS}, {_vocabulary_sql(30000)} SELECT word, id FROM voc")
+@query("V02", f"WITH {WORDS}, {VOCABULARY} SELECT word, id FROM voc")
 def v02(corpus):
-    return _vocabulary(corpus, 30_000)
+    return _vocabulary(corpus)
 
 
 @query(
@@ -69,19 +66,19 @@ def v03(corpus):
     return counts.select("word", "n", size.alias("vocabulary_size")).orderBy("word")
 
 
-@query("V04", f"{_IDS} SELECT doc_id, array_to_string(ids, ' ') AS input_ids FROM x")
+@query("V04", f"{IDS} SELECT doc_id, array_to_string(ids, ' ') AS input_ids FROM x")
 def v04(corpus):
     return _ids(corpus).select("doc_id", _joined("input_ids").alias("input_ids"))
 
 
-@query("V05", f"{_IDS} SELECT doc_id, CAST(len(ids[1:2048]) AS INT) AS size, array_to_string(ids[1:2048], ' ') AS input_ids FROM x")
+@query("V05", f"{IDS} SELECT doc_id, CAST(len(ids[1:2048]) AS INT) AS size, array_to_string(ids[1:2048], ' ') AS input_ids FROM x")
 def v05(corpus):
     cut = vo.truncate(_ids(corpus))
     return cut.select("doc_id", F.size("input_ids").alias("size"), _joined("input_ids").alias("input_ids"))
 
 
 _PADDED = f"""
-    {_IDS}, t AS (SELECT doc_id, doc_id // 100 AS batch_id, ids[1:2048] AS ids FROM x),
+    {IDS}, t AS (SELECT doc_id, doc_id // 100 AS batch_id, ids[1:2048] AS ids FROM x),
     m AS (SELECT batch_id, max(len(ids)) AS longest FROM t GROUP BY batch_id),
     p AS (SELECT doc_id, ids || list_transform(range(longest - len(ids)), lambda i: 1) AS ids, len(ids) AS kept
           FROM t JOIN m USING (batch_id))"""
@@ -103,7 +100,7 @@ def v06(corpus):
 @query(
     "V07",
     f"""
-    {_IDS} SELECT w.doc_id, array_to_string(list_transform(words, lambda o: o), ' ') AS text FROM w WHERE false
+    {IDS} SELECT w.doc_id, array_to_string(list_transform(words, lambda o: o), ' ') AS text FROM w WHERE false
     UNION ALL SELECT e.doc_id, string_agg(CASE WHEN voc.word IS NULL THEN '[UNK]' ELSE e.word END, ' ' ORDER BY pos)
     FROM e LEFT JOIN voc USING (word) GROUP BY e.doc_id""",
 )
@@ -124,7 +121,7 @@ def v08(corpus):
 @query(
     "V09",
     f"""
-    {_IDS}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)
+    {IDS}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)
     SELECT r.doc_id, CAST(rn AS INT) AS row, array_to_string(ids, ' ') AS input_ids
     FROM r JOIN x USING (doc_id) WHERE rn < 100 AND rn % 20 = 0""",
 )
@@ -135,7 +132,7 @@ def v09(corpus):
     return sample.select("doc_id", "row").join(ids, "doc_id").select("doc_id", "row", _joined("input_ids").alias("input_ids"))
 
 
-@query("V10", f"{_IDS} SELECT doc_id, array_to_string(ids, ' ') AS input_ids FROM x ORDER BY doc_id LIMIT 100")
+@query("V10", f"{IDS} SELECT doc_id, array_to_string(ids, ' ') AS input_ids FROM x ORDER BY doc_id LIMIT 100")
 def v10(corpus):
     """Only the first 100 texts are encoded; the limit is the operator's parameter."""
     head = corpus.documents.orderBy("doc_id").limit(100)

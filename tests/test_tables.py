@@ -126,21 +126,23 @@ def test_vocabulary_matches_public_library(spark, corpus):
         assert ids[r["doc_id"]] == tokenizer.encode(r["text"]).ids
 
 
-def test_join_route_gives_the_same_ids(spark, corpus):
-    vocabulary = vo.build(corpus.documents, 300)
-    shipped = vo.encode(corpus.documents, "doc_id", vocabulary)
-    joined = vo.encode(corpus.documents, "doc_id", vocabulary, shipped=10)
-    assert shipped.exceptAll(joined).count() == 0 and joined.exceptAll(shipped).count() == 0
-    words = vo.to_text(shipped, "doc_id", vocabulary)
-    assert words.exceptAll(vo.to_text(shipped, "doc_id", vocabulary, shipped=10)).count() == 0
-
-
-def test_ids_of_empty_text(spark):
-    texts = spark.createDataFrame([(1, ""), (2, None), (3, "a  b")], "doc_id LONG, text STRING")
-    vocabulary = spark.createDataFrame([("[UNK]", 0), ("b", 3)], "word STRING, id INT")
-    for shipped in (100, 1):
-        got = {r["doc_id"]: r["input_ids"] for r in vo.encode(texts, "doc_id", vocabulary, shipped).collect()}
-        assert got == {1: [], 2: [], 3: [0, 3]}
+@pytest.mark.parametrize("frequent", [1000, 4, 0])
+def test_one_result_however_many_words_are_frequent(spark, monkeypatch, frequent):
+    monkeypatch.setattr(vo, "FREQUENT", frequent)
+    texts = spark.createDataFrame([(1, ""), (2, None), (3, "a  b"), (3, "b c"), (3, "b c"), (4, "[UNK] b")], "doc_id LONG, text STRING")
+    vocabulary = spark.createDataFrame([("[UNK]", 0), ("b", 3), ("c", 4)], "word STRING, id INT")
+    got = sorted((r["doc_id"], r["input_ids"]) for r in vo.encode(texts, "doc_id", vocabulary).collect())
+    assert got == [(1, []), (2, []), (3, [0, 3]), (3, [3, 4]), (3, [3, 4]), (4, [0, 3])]
+    ids = spark.createDataFrame([(1, [3, 99, 4]), (1, [4]), (2, []), (3, None)], "doc_id LONG, input_ids ARRAY<INT>")
+    words = sorted((r["doc_id"], r["text"]) for r in vo.to_text(ids, "doc_id", vocabulary).collect())
+    assert words == [(1, "b c"), (1, "c"), (2, ""), (3, "")]
+
+
+def test_ranks_of_all_words(spark):
+    counts = spark.createDataFrame([(f"w{k:04d}", 1 + (k * 7919) % 40) for k in range(2000)], "word STRING, n LONG").repartition(7)
+    got = [(r["word"], r["n"]) for r in sorted(vo.ranked_words(counts).collect(), key=lambda r: r["rank"])]
+    assert got == sorted(((r["word"], r["n"]) for r in counts.collect()), key=lambda r: (-r[1], r[0]))
+    assert sorted(r["rank"] for r in vo.ranked_words(counts, 5).collect()) == [0, 1, 2, 3, 4]
 
 
 def test_unseen_label_is_an_error(spark):
