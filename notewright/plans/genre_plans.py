@@ -6,44 +6,59 @@ from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.sql import functions as F
 
 from notewright.operators import genre_model as gm
-from notewright.operators import joins as jn
 from notewright.operators import piece_stats as ps
 from notewright.operators.windows import with_group_mode
 from notewright.plans.registry import query
-from notewright.session import fresh_path
+from notewright.plans.statistics_plans import _WHOLE
+from notewright.session import cut_lineage, fresh_path
 
-CATALOG_FEATURES = ["n_instruments", "number_of_notes_per_second", "n_time_signature_changes"]
+# The numbers of the statistics table, stated for the SQL side.
+_NUMBERS = (
+    "n_instruments n_unique_instruments number_of_instrument_families n_notes n_unique_notes "
+    "average_n_unique_notes_per_instrument average_note_duration average_note_velocity average_note_pitch "
+    "range_of_note_pitches average_range_of_note_pitches_per_instrument number_of_note_pitch_classes "
+    "average_number_of_note_pitch_classes_per_instrument number_of_octaves average_number_of_octaves_per_instrument "
+    "number_of_notes_per_second shortest_note_length longest_note_length main_key_signature n_key_changes "
+    "n_tempo_changes tempo_estimate n_time_signature_changes track_length_in_seconds lyrics_nb_words lyrics_unique_words"
+).split()
 
 
-def _catalog_rows(corpus):
-    """Statistics with names and genres: two rows per md5, so that preparation has duplicates to drop."""
-    return jn.statistics_with_names(corpus.statistics, jn.names_with_genres(corpus.raw_names, corpus.raw_genres))
+def labelled_statistics(corpus):
+    """The statistics table with a label that depends on the first track's program, which every piece has."""
+    first = corpus.tracks.groupBy("piece_id").agg(F.min_by("program", "track_id").alias("program"))
+    label = first.select("piece_id", F.concat(F.lit("g"), (F.col("program") % 4).cast("string")).alias("genre"))
+    return ps.piece_statistics(corpus).join(label, "piece_id")
 
 
-def labelled_statistics(corpus):
-    """The statistics table with a label that depends on the second track's program."""
-    second = corpus.tracks.where("track_id = 2").select(
-        "piece_id", F.concat(F.lit("g"), (F.col("program") % 4).cast("string")).alias("genre")
-    )
-    return ps.piece_statistics(corpus).join(second, "piece_id")
+_FIT = f"""
+    SELECT md5, {", ".join(f"round(coalesce(CAST({c} AS DOUBLE), avg(CASE WHEN NOT is_test THEN {c} END) OVER (), 0), 6) AS {c}" for c in _NUMBERS)},
+           CASE WHEN lyrics_bool THEN 'true' ELSE 'false' END AS lyrics_bool, genre, is_test
+    FROM (SELECT w.*, g.genre, md5('42:' || md5) < '1999999a' AS is_test FROM ({_WHOLE}) w
+          JOIN (SELECT CAST(piece_id AS VARCHAR) AS md5, 'g' || CAST(arg_min(program, track_id) % 4 AS VARCHAR) AS genre
+                FROM v_tracks GROUP BY piece_id) g USING (md5))"""
+
 
+def _prepared(corpus):
+    """Complete rows; every feature is filled from the training part."""
+    rows = cut_lineage(gm.prepare(labelled_statistics(corpus)))
+    return gm.imputed(rows, gm.means(rows.where(~F.col("is_test"))))
 
-_FIT = """
-    SELECT md5, CAST(n_instruments AS DOUBLE) AS n_instruments, number_of_notes_per_second,
-           CAST(n_time_signature_changes AS DOUBLE) AS n_time_signature_changes,
-           CASE WHEN lyrics_bool THEN 'true' ELSE 'false' END AS lyrics_bool, min(g.genre) AS genre,
-           md5('42:' || md5) < '1999999a' AS is_test
-    FROM v_statistics s JOIN v_genres g USING (md5) GROUP BY ALL"""
+
+def _rounded(rows):
+    return rows.withColumns({c: F.round(c, 6) for c in gm.FEATURES})
 
 
 @query("G01", _FIT)
 def g01(corpus):
-    return gm.prepare(_catalog_rows(corpus), features=CATALOG_FEATURES)
+    return _rounded(_prepared(corpus))
 
 
 @query("G02", f"SELECT * EXCLUDE (genre, is_test) FROM ({_FIT})")
 def g02(corpus):
-    return gm.prepare(_catalog_rows(corpus), predict_only=True, features=CATALOG_FEATURES)
+    """Rows to predict, filled with the means of the training part."""
+    statistics = labelled_statistics(corpus)
+    known = gm.means(gm.prepare(statistics).where(~F.col("is_test")))
+    return _rounded(gm.imputed(gm.prepare(statistics, predict_only=True), known))
 
 
 @query("G03", "SELECT doc_id, md5('42:' || doc_id) < '1999999a' AS is_test FROM documents")
@@ -78,25 +93,29 @@ def g05(corpus):
 
 
 def _trained(corpus):
-    rows = gm.prepare(labelled_statistics(corpus))
+    rows = _prepared(corpus)
     model, _ = gm.fit(rows.where(~F.col("is_test")))
     return model, rows
 
 
-@query("G06")
+_LABELS = f"SELECT md5, is_test, genre, true AS {{}} FROM ({_FIT})"
+
+
+@query("G06", "SELECT CAST(range AS INT) AS tree, true AS within_depth, true AS two_children FROM range(20)")
 def g06(corpus):
-    """Trees of the fitted forest with their importance-weighted size."""
+    """Every tree of the fitted forest, against the depth allowed and the shape of a binary tree."""
     model, _ = _trained(corpus)
-    forest = model.stages[2]
-    return corpus.spark.createDataFrame(
-        [(i, t.numNodes, t.depth) for i, t in enumerate(forest.trees)], "tree INT, nodes INT, depth INT"
-    )
+    trees = [(i, t.depth <= 15, t.numNodes % 2 == 1) for i, t in enumerate(model.stages[2].trees)]
+    return corpus.spark.createDataFrame(trees, "tree INT, within_depth BOOLEAN, two_children BOOLEAN")
 
 
-@query("G07")
+@query("G07", _LABELS.format("of_training"))
 def g07(corpus):
+    """A prediction for every piece, and whether it is a label of the training part."""
     model, rows = _trained(corpus)
-    return gm.predict(model, rows).select("md5", "is_test", "genre", "prediction", "predicted_genre")
+    labels = rows.where(~F.col("is_test")).select(F.col("genre").alias("predicted_genre")).distinct().withColumn("hit", F.lit(True))
+    found = gm.predict(model, rows).join(labels, "predicted_genre", "left")
+    return found.select("md5", "is_test", "genre", F.coalesce("hit", F.lit(False)).alias("of_training"))
 
 
 @query(
@@ -122,10 +141,12 @@ def g08(corpus):
     return report.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
-@query("G09")
+@query("G09", _LABELS.format("same"))
 def g09(corpus):
-    """Predictions of the model after it was saved and loaded."""
+    """Whether a model that was saved and loaded predicts what it did before, piece by piece."""
     model, rows = _trained(corpus)
     path = fresh_path(corpus.spark, "genre-model")
     gm.save(model, path)
-    return gm.predict(gm.load(path), rows).select("md5", "is_test", "genre", "predicted_genre")
+    before = gm.predict(model, rows).select("md5", "is_test", "genre", F.col("predicted_genre").alias("before"))
+    after = gm.predict(gm.load(path), rows).select("md5", F.col("predicted_genre").alias("after"))
+    return before.join(after, "md5").select("md5", "is_test", "genre", (F.col("before") == F.col("after")).alias("same"))
