@@ -72,6 +72,10 @@ PROGRAM_NAMES = [
 ]
 
 # --- fixed values: words that mark a title as a derived version, special vocabulary entries, limits ---
+# What cleaning takes out of a scraped name. Digits are those of any script.
+NAME_SEPARATORS = ",_\n"
+BRACKETED_PART = r"\([^)]*\)"
+NUMBER_AFTER_DOT = r"\.\p{Nd}+"
 VERSION_WORDS = ["karaoke", "reprise", "solo", "acoustic"]
 SPECIAL_TOKENS = ["[UNK]", "[PAD]", "[MASK]"]
 UNK_ID, PAD_ID, MASK_ID = 0, 1, 2

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from notewright.constants import BRACKETED_PART, NAME_SEPARATORS, NUMBER_AFTER_DOT
+
 
 def clean_name(name: Column) -> Column:
-    """Drop ``, _`` and newlines, parenthesised parts and ``.digits``; put a space before each non-initial capital."""
-    plain = F.regexp_replace(name, "[,_\n]", "")
-    plain = F.regexp_replace(plain, r"\([^)]*\)", "")
-    plain = F.regexp_replace(plain, r"\.[0-9]+", "")
-    return F.regexp_replace(plain, "(?<!^)(?=[A-Z])", " ")
+    """Name without separators, bracketed parts and numbers after dots, with a space before every capital but a leading one."""
+    kept = F.translate(name, NAME_SEPARATORS, "")
+    for part in (BRACKETED_PART, NUMBER_AFTER_DOT):
+        kept = F.regexp_replace(kept, part, "")
+    rest = F.regexp_replace(F.substr(kept, F.lit(2)), "[A-Z]", " $0")
+    return F.concat(F.left(kept, F.lit(1)), rest)
 
 
 def file_stem(path: Column) -> Column:

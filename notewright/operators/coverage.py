@@ -157,7 +157,6 @@ def piano_roll(notes: DataFrame) -> DataFrame:
     )
 
 
-def bar_grid(notes: DataFrame) -> DataFrame:
-    """Start of every bar up to the end of the piece."""
-    grid = F.sequence(F.lit(0), F.col("max_end_u"), F.lit(UNITS_PER_BAR))
-    return piece_length(notes).select("piece_id", F.explode(grid).alias("bar_start_u"))
+def on_bar_grid(frame: Column) -> Column:
+    """Whether a frame begins a bar."""
+    return frame % UNITS_PER_BAR == 0

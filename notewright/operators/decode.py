@@ -183,14 +183,17 @@ def with_velocity(event_rows: DataFrame) -> DataFrame:
     return event_rows.withColumn("velocity", F.when(F.col("type") == "Note-On", F.lit(DEFAULT_VELOCITY)))
 
 
-def track_instruments(tracks: DataFrame, programs: list[int] | None = None) -> DataFrame:
-    """Program and drum flag per track; with ``programs`` the number is a family and is replaced by its program."""
-    drum = F.lower("instrument") == "drums"
-    number = F.col("instrument").try_cast("int")
+def instrument_columns(instrument: Column, programs: list[int] | None = None) -> tuple[Column, Column]:
+    """Program and drum flag of an instrument token; with ``programs`` its number is a family, replaced by its program."""
+    drum = F.lower(instrument) == "drums"
+    number = instrument.try_cast("int")
     number = family_program(number, programs) if programs is not None else number
-    return tracks.select(
-        "piece_id", "channel", F.when(drum, F.lit(0)).otherwise(number).alias("program"), drum.alias("is_drum")
-    )
+    return F.when(drum, F.lit(0)).otherwise(number), drum
+
+
+def track_instruments(tracks: DataFrame, programs: list[int] | None = None) -> DataFrame:
+    program, drum = instrument_columns(F.col("instrument"), programs)
+    return tracks.select("piece_id", "channel", program.alias("program"), drum.alias("is_drum"))
 
 
 def repeated_events(segment_rows: DataFrame) -> DataFrame:

@@ -7,16 +7,15 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from notewright.operators.windows import best_row, hash_order
-from notewright.schemas import STATISTICS
+from notewright.schemas import STATISTICS_FIELDS
 
 # First eight hex digits of the hash below this value: one tenth of all hashes.
 TEST_BOUND = "1999999a"
 
 # All numbers of the statistics table.
-FEATURES = [f.name for f in T.StructType.fromDDL(STATISTICS).fields if isinstance(f.dataType, T.NumericType)]
+FEATURES = [name for name, kind in STATISTICS_FIELDS.items() if kind in ("INT", "BIGINT", "DOUBLE")]
 CATEGORICAL = "lyrics_bool"
 TARGET = "genre"
 

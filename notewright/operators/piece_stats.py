@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.functions.instruments import family_name, family_number, program_name
+from notewright.schemas import STATISTICS_FIELDS
 
 ONSET_CHUNK_SECONDS = 256.0
 
@@ -227,17 +228,8 @@ def piece_statistics(corpus, drums_as_family: bool = False) -> DataFrame:
     )
 
 
-STATISTICS_COLUMNS = [
-    "md5", "n_instruments", "n_unique_instruments", "instrument_names", "instrument_families",
-    "number_of_instrument_families", "n_notes", "n_unique_notes", "average_n_unique_notes_per_instrument",
-    "average_note_duration", "average_note_velocity", "average_note_pitch", "range_of_note_pitches",
-    "average_range_of_note_pitches_per_instrument", "number_of_note_pitch_classes",
-    "average_number_of_note_pitch_classes_per_instrument", "number_of_octaves",
-    "average_number_of_octaves_per_instrument", "number_of_notes_per_second", "shortest_note_length",
-    "longest_note_length", "main_key_signature", "n_key_changes", "n_tempo_changes", "tempo_estimate",
-    "main_time_signature", "all_time_signatures", "four_to_the_floor", "n_time_signature_changes",
-    "track_length_in_seconds", "lyrics_nb_words", "lyrics_unique_words", "lyrics_bool",
-]
+# --- fixed values: the column names and order of the statistics file ---
+STATISTICS_COLUMNS = list(STATISTICS_FIELDS)
 
 
 def max_time(notes: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -114,8 +114,6 @@ def c08(corpus):
     GROUP BY piece_id, frame, pitch""",
 )
 def c09(corpus):
-    grid = cov.bar_grid(corpus.notes).select("piece_id", F.col("bar_start_u").alias("frame"), F.lit(True).alias("hit"))
-    return (
-        cov.piano_roll(corpus.notes).join(grid, ["piece_id", "frame"], "left")
-        .select("piece_id", "frame", "pitch", "velocity", F.coalesce("hit", F.lit(False)).alias("on_bar_grid"))
+    return cov.piano_roll(corpus.notes).withColumn("on_bar_grid", cov.on_bar_grid(F.col("frame"))).select(
+        "piece_id", "frame", "pitch", "velocity", "on_bar_grid"
     )

@@ -144,10 +144,11 @@ def d10(corpus):
     family = F.when(F.col("instrument") == "DRUMS", F.col("instrument")).otherwise(
         F.floor(F.col("instrument").try_cast("int") / 8).cast("string")
     )
-    by_family = dec.track_instruments(tracks.withColumn("instrument", family), PROGRAMS).select(
-        "piece_id", "channel", F.col("program").alias("program_of_family")
+    program, is_drum = dec.instrument_columns(F.col("instrument"))
+    of_family, _ = dec.instrument_columns(family, PROGRAMS)
+    return tracks.select(
+        "piece_id", "channel", program.alias("program"), is_drum.alias("is_drum"), of_family.alias("program_of_family")
     )
-    return dec.track_instruments(tracks).join(by_family, ["piece_id", "channel"])
 
 
 @query(

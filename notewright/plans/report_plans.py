@@ -23,8 +23,9 @@ def r01(corpus):
 _KEPT = "(SELECT * FROM v_catalog WHERE genre IN (SELECT genre FROM v_catalog GROUP BY genre HAVING count(*) >= 30))"
 
 
-def _kept(corpus):
-    return jn.drop_small_groups(corpus.catalog, "genre", 30)
+def _kept(corpus, least: int = 30):
+    """Songs of genres with at least ``least`` songs."""
+    return jn.drop_small_groups(corpus.catalog, "genre", least)
 
 
 @query("R02", f"SELECT genre, count(*) AS n FROM {_KEPT} GROUP BY genre")
@@ -61,14 +62,14 @@ def r03(corpus):
     f"""
     WITH q AS (SELECT genre, quantile_cont(CAST(n_instruments AS DOUBLE), 0.25) AS q1,
                       quantile_cont(CAST(n_instruments AS DOUBLE), 0.5) AS q2,
-                      quantile_cont(CAST(n_instruments AS DOUBLE), 0.75) AS q3 FROM {_KEPT} GROUP BY genre),
+                      quantile_cont(CAST(n_instruments AS DOUBLE), 0.75) AS q3 FROM v_catalog GROUP BY genre),
     w AS (SELECT k.genre, min(CAST(n_instruments AS DOUBLE)) AS low_whisker, max(CAST(n_instruments AS DOUBLE)) AS high_whisker
-          FROM {_KEPT} k JOIN q USING (genre)
+          FROM v_catalog k JOIN q USING (genre)
           WHERE n_instruments BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY k.genre)
     SELECT genre, q1, q2, q3, low_whisker, high_whisker FROM q JOIN w USING (genre)""",
 )
 def r04(corpus):
-    return rp.box_plot(_kept(corpus), "genre", "n_instruments")
+    return rp.box_plot(corpus.catalog, "genre", "n_instruments")
 
 
 _MEDIAN_OF = ["n_instruments", "number_of_notes_per_second", "n_time_signature_changes"]
@@ -77,12 +78,12 @@ _MEDIAN_OF = ["n_instruments", "number_of_notes_per_second", "n_time_signature_c
 @query(
     "R05",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS statistic, genre, round(median(CAST({c} AS DOUBLE)), 6) AS median FROM {_KEPT} GROUP BY genre"
+        f"SELECT '{c}' AS statistic, genre, round(median(CAST({c} AS DOUBLE)), 6) AS median FROM v_catalog GROUP BY genre"
         for c in _MEDIAN_OF
     ),
 )
 def r05(corpus):
-    rows = _kept(corpus)
+    rows = corpus.catalog
     parts = [rp.medians(rows, "genre", c).withColumn("statistic", F.lit(c)) for c in _MEDIAN_OF]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return whole.withColumn("median", F.round("median", 6)).orderBy("statistic", F.desc("median"), "genre")

@@ -212,7 +212,7 @@ def p18(corpus):
 def _clean_sql(c):
     plain = (
         f"regexp_replace(regexp_replace(regexp_replace({c}, '[,_\\n]', '', 'g'), '\\([^)]*\\)', '', 'g'), "
-        "'\\.[0-9]+', '', 'g')"
+        "'\\.\\p{Nd}+', '', 'g')"
     )
     spaced = f"regexp_replace({plain}, '([A-Z])', ' \\1', 'g')"
     return f"CASE WHEN regexp_matches({plain}, '^[A-Z]') THEN {spaced}[2:] ELSE {spaced} END"

@@ -16,6 +16,7 @@ from notewright.plans.vocabulary_plans import IDS
 from notewright.schemas import GENRE, STATISTICS, TITLE_ARTIST
 from notewright.session import fresh_path
 from notewright.sources import files as fl
+from notewright.sources.corpus import TABLES
 from notewright.sources import tables as tb
 from notewright.sources import text as tx
 from notewright.sources.quarantine import split_good_and_errors
@@ -34,24 +35,40 @@ def _written_texts(corpus, **options):
     return path
 
 
-@query("S01")
+_SPLIT_TEXT = "SELECT text, CASE WHEN piece_id % 10 = 0 THEN 'validate' ELSE 'train' END AS split FROM v_text"
+
+
+def _rows_per_file(spark, files):
+    """(name, n_rows) of listed table files. The list is what the operator returns: a few paths."""
+    counts = None
+    for r in files.select("path").collect():
+        one = spark.read.parquet(r["path"]).agg(F.count("*").alias("n_rows")).select(file_stem(F.lit(r["path"])).alias("name"), "n_rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+def _rows_sql(tables):
+    return " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in tables)
+
+
+@query("S01", _rows_sql(TABLES))
 def s01(corpus):
-    """All table files of the input folder."""
-    return fl.list_files(corpus.spark, corpus.folder, "*.parquet", recursive=True).select(
-        file_stem(F.col("path")).alias("name"), "length"
-    )
+    """Rows of all table files of the input folder."""
+    return _rows_per_file(corpus.spark, fl.list_files(corpus.spark, corpus.folder, "*.parquet", recursive=True))
 
 
-@query("S02")
+@query("S02", f"SELECT text FROM ({_SPLIT_TEXT}) WHERE split = 'train'")
 def s02(corpus):
-    """Files of one folder only: a written corpus, without its sub-folders' files."""
-    path = _written_texts(corpus)
-    return fl.list_files(corpus.spark, path, "*.txt").select(F.lit("txt").alias("kind"), "length")
+    """Texts of the files of one folder only: a written corpus has other files beside it, in a folder of its own each."""
+    path = _written_texts(corpus, split="split") + "/split=train"
+    lines = fl.raw_files(corpus.spark, path, "*.txt").select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("text"))
+    return lines.where("text <> ''")
 
 
-@query("S03")
+@query("S03", _rows_sql(sorted(TABLES)[:5]))
 def s03(corpus):
-    return fl.first_files(corpus.spark, corpus.folder, 5, "*.parquet").select(file_stem(F.col("path")).alias("name"), "length")
+    """Rows of the first five table files by path."""
+    return _rows_per_file(corpus.spark, fl.first_files(corpus.spark, corpus.folder, 5, "*.parquet"))
 
 
 @query(
@@ -105,7 +122,6 @@ def s06(corpus):
     return lines.agg(F.count("*").alias("n_lines"), F.count_distinct("md5").alias("n_md5"))
 
 
-_SPLIT_TEXT = "SELECT text, CASE WHEN piece_id % 10 = 0 THEN 'validate' ELSE 'train' END AS split FROM v_text"
 
 
 @query("S07", _SPLIT_TEXT)

@@ -15,6 +15,8 @@ STATISTICS = (
     "lyrics_nb_words BIGINT, lyrics_unique_words BIGINT, lyrics_bool BOOLEAN"
 )
 
+STATISTICS_FIELDS = {name: kind for name, kind in (field.split(" ") for field in STATISTICS.split(", "))}
+
 TITLE_ARTIST = "md5 STRING, title_artist ARRAY<ARRAY<STRING>>"
 GENRE = "md5 STRING, genre ARRAY<ARRAY<STRING>>"
 
