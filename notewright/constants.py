@@ -7,6 +7,8 @@ UNITS_PER_BEAT = 8
 BEATS_PER_BAR = 4
 UNITS_PER_BAR = UNITS_PER_BEAT * BEATS_PER_BAR
 UNITS_PER_DELTA = 2
+# The encoder's usual pitch range: the keys of a piano.
+LOWEST_PITCH, HIGHEST_PITCH = 21, 108
 MAX_DELTAS_PER_BAR = UNITS_PER_BAR // UNITS_PER_DELTA
 BARS_PER_SECTION = 8
 DEFAULT_VELOCITY = 99

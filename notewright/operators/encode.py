@@ -4,7 +4,8 @@ One shuffle brings the events of an eight-bar section of a track together, each
 the section (bars, empty bars, shifts, densities) is array work on that row. A second, much smaller shuffle strings the
 sections of a piece together. A long piece is spread over its sections.
 
-Preconditions: times are in units, ``end_u > start_u``; at equal time a Note-Off precedes a Note-On.
+Times are in units; at equal time a Note-Off precedes a Note-On. Notes that cannot be encoded (empty, outside the pitch range,
+before the piece, missing values) are left out everywhere here; ``encode_with_errors`` returns them with the reason.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.constants import BARS_PER_SECTION, BEATS_PER_BAR, UNITS_PER_BAR, UNITS_PER_DELTA
+from notewright.constants import BARS_PER_SECTION, BEATS_PER_BAR, HIGHEST_PITCH, LOWEST_PITCH, UNITS_PER_BAR, UNITS_PER_DELTA
 from notewright.functions.instruments import instrument_label
 from notewright.operators.windows import shifts_between
+from notewright.sources.quarantine import split_good_and_errors
 
 # Layout of a packed event, high to low: bar in section | time in bar (0..32, 6 bits) | is Note-On (1 bit) | pitch (7 bits).
 _PITCH_BITS, _KIND_BITS, _TIME_BITS = 7, 1, 6
@@ -56,6 +58,7 @@ def _pitch_of(event: Column) -> Column:
 
 def packed_sections(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
     """(piece_id, track_id, section, n_bars, events): every section of a track, its events packed and sorted."""
+    notes, _ = split_good_and_errors(notes)
     events = note_events(notes).select(
         "piece_id", "track_id", F.floor(F.col("bar") / n_bar).alias("section"), _packed(n_bar).alias("event"), "bar"
     )
@@ -178,6 +181,15 @@ def encode(notes: DataFrame, tracks: DataFrame, n_bar: int = BARS_PER_SECTION, f
     return piece_text(section_text(notes, tracks, n_bar, familize))
 
 
+def encode_with_errors(
+    notes: DataFrame, tracks: DataFrame, lowest: int = LOWEST_PITCH, highest: int = HIGHEST_PITCH, latest_u: int | None = None,
+    n_bar: int = BARS_PER_SECTION, familize: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Texts of the notes within a pitch range (and time limit), and the rejected notes with ``reason``."""
+    good, errors = split_good_and_errors(notes, lowest, highest, latest_u)
+    return encode(good, tracks, n_bar, familize), errors
+
+
 def ordered_events(notes: DataFrame) -> DataFrame:
     """On/off events per track with the shift since the previous event."""
     return shifts_between(note_events(notes), ["piece_id", "track_id"], "t", ["kind", "pitch"], UNITS_PER_BAR * 8)

@@ -13,6 +13,7 @@ from notewright.operators import vocabulary as vo
 from notewright.operators.genre_model import with_split
 from notewright.plans.registry import query
 from notewright.plans.scalar_plans import _clean_sql
+from notewright.session import fresh_path
 
 
 @query("J01", "SELECT n.md5, n.artist, n.title, g.genre FROM v_names n LEFT JOIN v_genres g USING (md5)")
@@ -52,7 +53,9 @@ def j04(corpus):
     path = F.concat(F.lit("/midi/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".mid"))
     files = corpus.table("documents").select(file_stem(path).alias("md5"), "source")
     reference = corpus.catalog.where("four_to_the_floor").select(F.col("md5").cast("string").alias("md5"))
-    return jn.pick(files, reference)
+    picked = fresh_path(corpus.spark, "picked")
+    jn.pick(files, reference).write.parquet(picked)
+    return corpus.spark.read.parquet(picked)
 
 
 @query(

@@ -164,7 +164,7 @@ def s11(corpus):
     return read.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
 
 
-@query("S12", "SELECT text, 7 AS n_settings FROM v_text")
+@query("S12", "SELECT text, 7 AS n_settings, 'run-1' AS run FROM v_text")
 def s12(corpus):
     """Piece texts with one settings entry per track, stored under a run stamp."""
     path = fresh_path(corpus.spark, "generated")
@@ -177,7 +177,7 @@ def s12(corpus):
     pieces = _texts(corpus).join(settings, "piece_id").select(F.col("text").alias("generated_midi"), "hyperparameters_and_bars")
     tx.write_piece_json(pieces, path, "run-1")
     read = tx.read_piece_json(corpus.spark, path)
-    return read.select("text", F.size("hyperparameters_and_bars").alias("n_settings"))
+    return read.select("text", F.size("hyperparameters_and_bars").alias("n_settings"), "run")
 
 
 @query("S13", f"SELECT {_TO_FAMILY} AS text FROM v_text")

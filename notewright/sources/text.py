@@ -57,8 +57,9 @@ def write_piece_json(pieces: DataFrame, folder: str, stamp: str) -> None:
 
 
 def read_piece_json(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
-    """Stored pieces of any layout; the text comes from whichever key the file uses."""
+    """Stored pieces of any layout; the text comes from whichever key the file uses, ``run`` is the stamp of the folder."""
     stored = spark.read.schema(STORED_PIECE).option("multiLine", str(multi_line).lower()).option(
         "recursiveFileLookup", "true"
     ).json(folder)
-    return stored.withColumn("text", F.coalesce("generated_midi", "generate_midi", "sequence"))
+    stamp = F.nullif(F.regexp_extract(F.input_file_name(), "/run=([^/]+)/", 1), F.lit(""))
+    return stored.withColumn("run", stamp).withColumn("text", F.coalesce("generated_midi", "generate_midi", "sequence"))

@@ -138,3 +138,38 @@ def test_repeated_events(spark):
     text = "TRACK_START INST=1 BAR_START NOTE_ON=3 NOTE_ON=3 BAR_END BAR_END TRACK_END"
     rows = dec.repeated_events(dec.segments(dec.track_texts(spark.createDataFrame([(1, text)], "piece_id LONG, text STRING"))))
     assert [(r["type"], r["value"]) for r in rows.collect()] == [("Note-On", "3")]
+
+
+def test_unusable_notes_are_returned_with_a_reason(spark):
+    good = [(1, 1, 60, 0, 8, 90), (1, 1, 21, 8, 16, 90), (1, 1, 108, 40, 44, 90)]
+    bad = [
+        (1, 1, -1, 0, 8, 90), (1, 1, 128, 0, 8, 90), (1, 1, 20, 0, 8, 90), (1, 1, 60, 8, 8, 90), (1, 1, 60, 9, 8, 90), (1, 1, 60, -4, 8, 90),
+        (1, 1, None, 0, 8, 90), (1, 1, 60, 4000, 4004, 90),
+    ]
+    tracks = spark.createDataFrame([(1, 1, 33, False)], TRACKS)
+    clean = spark.createDataFrame(good, NOTES)
+    for familize in (False, True):
+        texts, errors = enc.encode_with_errors(spark.createDataFrame(good + bad, NOTES), tracks, latest_u=1000, familize=familize)
+        wanted = enc.encode(clean, tracks, familize=familize)
+        assert [tuple(r) for r in texts.collect()] == [tuple(r) for r in wanted.collect()]
+        assert ("INST=4 " if familize else "INST=33 ") in texts.first()["text"]
+        reasons = Counter(r["reason"] for r in errors.collect())
+    assert reasons == {
+        "pitch out of range": 3, "empty note": 2, "starts before the piece": 1, "missing value": 1, "ends beyond the piece limit": 1,
+    }
+
+
+def test_no_pitch_spills_into_another_field(spark):
+    notes = spark.createDataFrame([(1, 1, 60, 0, 8, 90), (1, 1, 128, 0, 8, 90), (1, 1, 64, 8, 4, 90)], NOTES)
+    text = enc.encode(notes, spark.createDataFrame([(1, 1, 0, False)], TRACKS)).first()["text"]
+    assert text.count("NOTE_ON=60") == 1 and text.count("NOTE_ON") == 1 and text.count("NOTE_OFF") == 1
+
+
+def test_familized_text_decodes_to_a_program_of_the_family(spark):
+    notes = spark.createDataFrame([(1, 1, 60, 0, 8, 90), (1, 2, 40, 0, 8, 90)], NOTES)
+    tracks = spark.createDataFrame([(1, 1, 35, False), (1, 2, 0, True)], TRACKS)
+    texts = enc.encode(notes, tracks, familize=True)
+    found = {r["instrument"] for r in dec.track_texts(texts).select("instrument").collect()}
+    assert found == {"4", "DRUMS"}
+    programs = dec.track_instruments(dec.track_texts(texts), [8 * f + 3 for f in range(16)]).collect()
+    assert sorted((r["program"], r["is_drum"]) for r in programs) == [(0, True), (35, False)]
