@@ -11,6 +11,9 @@ leader that its length and letters allow.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -109,18 +112,27 @@ def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD, fronti
 
 def deduplicated(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD, frontier: int = FRONTIER) -> DataFrame:
     """(block, name, new_name) for every distinct name."""
+    nodes = cut_lineage(nodes)  # read by the rounds and by the join below
     taken = leaders(nodes, threshold, frontier)
     return nodes.join(taken, ["block", "processed"], "left").select(
         "block", "name", F.coalesce("leader", "cleaned").alias("new_name")
     )
 
 
+def _renamed(rows: DataFrame, mapping: DataFrame, keys: list[str], new: str) -> DataFrame:
+    """``rows`` with the new name of their keys; rows without a key bypass the join, where they would be one key."""
+    known = rows.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    unknown = rows.where(reduce(or_, [F.col(k).isNull() for k in keys]))
+    joined = known.join(mapping, keys, "left")
+    return joined.unionByName(unknown.withColumn(new, F.lit(None).cast("string")))
+
+
 def deduplicate_artists(rows: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> DataFrame:
     """Rename artist/title to *_old and add the deduplicated artist."""
     renamed = rows.withColumnsRenamed({"artist": "artist_old", "title": "title_old"})
     mapping = deduplicated(name_nodes(renamed, "artist_old", "md5", threshold=threshold), threshold)
     renaming = mapping.select(F.col("name").alias("artist_old"), F.col("new_name").alias("artist"))
-    return renamed.join(renaming, "artist_old", "left")
+    return _renamed(renamed, renaming, ["artist_old"], "artist")
 
 
 def deduplicate_genre(rows: DataFrame) -> DataFrame:
@@ -137,7 +149,7 @@ def deduplicate_titles(rows: DataFrame, threshold: float = DEFAULT_MATCH_THRESHO
     renaming = mapping.select(
         F.col("block").alias("artist_old"), F.col("name").alias("title_old"), F.col("new_name").alias("title")
     )
-    return rows.join(renaming, ["artist_old", "title_old"], "left")
+    return _renamed(rows, renaming, ["artist_old", "title_old"], "title")
 
 
 def extract(
@@ -145,7 +157,7 @@ def extract(
 ) -> DataFrame:
     """Statistics with one cleaned artist, title and genre per md5."""
     joined = statistics_with_names(statistics, names_with_genres(raw_names, raw_genres))
-    with_artists = deduplicate_artists(joined, threshold)
+    with_artists = cut_lineage(deduplicate_artists(joined, threshold))
     with_titles = deduplicate_titles(deduplicate_genre(with_artists), threshold)
     return with_titles.drop("artist_old", "title_old")
 
