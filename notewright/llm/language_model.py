@@ -27,10 +27,10 @@ from notewright.session import fresh_path
 #: Context of the first word, and the token after the last one.
 BEGIN, END = np.uint64(1), np.uint64(2)
 #: Bytes of training text for each bucket, about.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 #: Tokens that a task sums up before it sends; bytes of text that are scored at a time.
-HELD_TOKENS = 3_000_000
-SCORED_BYTES = 4 << 20
+HELD_TOKENS = 2_000_000
+SCORED_BYTES = 2 << 20
 #: Files that a worker keeps mapped.
 OPEN_FILES = 512
 
