@@ -2,8 +2,9 @@
 
 Pages of a host are made from a template. Tokens (element paths, and texts at a path where no element says what they are) that occur
 equally often on the same pages share an occurrence vector and form an equivalence class; large, frequent classes are the template,
-nested by their paths. The element that occurs once on each page and holds the most of what varies is the slot of the article. Vectors
-are summed up as hashes per (host, token), on the map side first, so a host with a third of all pages is a few rows per task.
+nested by their paths. On hosts whose elements do not say what the article is, the innermost once-per-page template element that holds
+all that varies is its slot. Vectors are summed up as hashes per (host, token), on the map side first, so a host with a third of all
+pages is a few rows per task.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from notewright.session import fresh_path
 LEAST_TOKENS = 2
 LEAST_SHARE = 0.3
 LEAST_PAGES = 3
-#: The slot is the innermost element with this share of the varying text.
-SLOT_SHARE = 0.9
 #: Texts on this share of the pages of a host belong to its template, where no element says that they are an article.
 TEXT_SHARE = 0.5
 
@@ -172,7 +171,7 @@ def text_token(block: Block) -> str:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, v1, v2, volume): on how many pages, how often, the vector's hash, varying text below.
+    """(host, token, pages, total, v1, v2, volume): on how many pages, how often, the vector's hash, undecided text below.
 
     The token '' stands for the page itself.
     """
@@ -187,10 +186,13 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 for path in paths:
                     counts[path] = counts.get(path, 0) + 1
                 for b in _undecided(blocks):
-                    if not b.article:
-                        token = text_token(b)
-                        counts[token] = counts.get(token, 0) + 1
+                    if b.article:
+                        continue
+                    token = text_token(b)
+                    counts[token] = counts.get(token, 0) + 1
                     path = b.path
+                    for t in ("", token):
+                        volume[t] = volume.get(t, 0) + len(b.text)
                     while path:
                         volume[path] = volume.get(path, 0) + len(b.text)
                         path = path.rpartition("/")[0]
@@ -213,17 +215,24 @@ def deduce(rows: pd.DataFrame) -> tuple[str, list[str]]:
     least = max(LEAST_PAGES, LEAST_SHARE * pages)
     frequent = rows[(rows["pages"] >= least) & (rows["token"] != "")]
     classes = frequent.groupby(["pages", "total", "v1", "v2"])["token"].agg(list)
-    # Valid classes, outermost first; a class nests in the last one before it whose path begins its own.
-    template = sorted((tokens for tokens in classes if len(tokens) >= LEAST_TOKENS), key=lambda t: min(len(x) for x in t))
-    valid = {token for tokens in template for token in tokens}
-    texts = sorted(frequent.loc[frequent["token"].str.contains("#") & (frequent["pages"] >= TEXT_SHARE * pages), "token"])
-    once = frequent[frequent["token"].isin(valid) & (frequent["pages"] == frequent["total"]) & (frequent["volume"] > 0)]
-    once = once[~once["token"].str.contains("#")]
-    if not len(once):
-        return "", texts
-    enough = once[once["volume"] >= SLOT_SHARE * once["volume"].max()]
-    slot = max(enough["token"], key=lambda t: (t.count("/"), t))
-    return slot, texts
+    valid = {token for tokens in classes if len(tokens) >= LEAST_TOKENS for token in tokens}
+    is_text = frequent["token"].str.contains("#")
+    known = frequent[is_text & (frequent["pages"] >= TEXT_SHARE * pages)]
+    texts = sorted(known["token"])
+    # What varies below an element is its undecided text without that of the template.
+    varying = frequent[~is_text & (frequent["volume"] > 0)].set_index("token")
+    left = varying["volume"].to_dict()
+    whole = int(rows.loc[rows["token"] == "", "volume"].sum())
+    for token, volume in zip(known["token"], known["volume"]):
+        whole -= volume
+        path = token.rpartition("#")[0]
+        while path:
+            if path in left:
+                left[path] -= volume
+            path = path.rpartition("/")[0]
+    once = varying.index[(varying["pages"] == varying["total"]) & varying.index.isin(valid)]
+    holds_all = [t for t in once if left[t] == whole > 0]
+    return max(holds_all, key=lambda t: (t.count("/"), t), default=""), texts
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -243,11 +252,11 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(html: str | None, slot: str | None, texts) -> str:
-    """The blocks of the slot, without what elements set aside and, outside articles, without the template's texts."""
+    """All blocks of articles, else those of the slot without the template's texts; what elements set aside is left out."""
     blocks, _ = parse(html or "")
     chosen = _undecided(blocks)
     if slot:
-        inside = [b for b in chosen if b.path == slot or b.path.startswith(slot + "/")]
+        inside = [b for b in chosen if b.article or b.path == slot or b.path.startswith(slot + "/")]
         chosen = inside or chosen
     if texts is not None and len(texts):
         known = set(texts)

@@ -275,6 +275,18 @@ def test_slot_of_a_template(spark):
         assert found[k].n_chars == len(found[k].text)
 
 
+def test_slot_drops_nothing_that_varies(spark):
+    """Title, lead and closing note beside a long body stay, in articles and where no element says so."""
+    rows = []
+    for k in range(12):
+        body = f"<h1>Title {k}</h1><p>Lead {k}</p><div class=body><p>{f'text{k} ' * 200}</p></div><p>Closing {k}</p>"
+        rows.append((k, f"https://a.example/{k}", page(k, f"<article>{body}</article>"), "", ""))
+        rows.append((100 + k, f"https://b.example/{k}", page(k, f"<div class=story>{body}</div>"), "", ""))
+    for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect():
+        k = r.page_id % 100
+        assert r.text == f"Title {k} Lead {k} {f'text{k} ' * 200}Closing {k}"
+
+
 def test_roles_of_elements():
     article = "<nav><a>m</a></nav><header>s</header><article class=post><header><h1>T</h1></header><p>a&nbsp;&lt;b&gt; c<br>d<section id=comments>no</section>"
     article += "<form>f</form><script>'</p>'</script><!-- c --><p>e</article><aside>x</aside><footer>f</footer>"
