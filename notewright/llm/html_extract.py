@@ -1,8 +1,9 @@
 """Main text of web pages by template deduction from equivalence classes of tokens.
 
-Pages of a host are made from a template. Tokens (element paths, and texts at a path where no element says what they are) that occur
-equally often on the same pages share an occurrence vector and form an equivalence class; large, frequent classes are the template,
-nested by their paths. On hosts whose elements do not say what the article is, the innermost once-per-page template element that holds
+Pages of a host are made from a template. Tokens (element paths, and texts at a path) that occur equally often on the same pages share
+an occurrence vector and form an equivalence class; classes of several tokens on several pages are the template. A text is the template's
+if it shares the class of its own element, also inside articles: an element that always says the same. Names of elements are evidence
+beside that. On hosts whose elements do not say what the article is, the innermost once-per-page template element that holds
 all that varies is its slot. Vectors are summed up as hashes per (host, token), on the map side first, so a host with a third of all
 pages is a few rows per task.
 """
@@ -18,13 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notewright.session import fresh_path
+from notewright.session import cut_lineage, fresh_path
 
-#: A class is part of the template if it has this many tokens and is on this share of the host's pages, and on LEAST_PAGES.
+#: A class is part of the template if it has this many tokens and is on this many pages.
 LEAST_TOKENS = 2
-LEAST_SHARE = 0.3
 LEAST_PAGES = 3
-#: Texts on this share of the pages of a host belong to its template, where no element says that they are an article.
+#: Texts on this share of the pages of a host belong to its template, where no element says that they are an article; there, on all pages.
 TEXT_SHARE = 0.5
 
 # Elements by their role in HTML.
@@ -42,6 +42,8 @@ ASIDE_NAMES = set(
     "breadcrumbs footer notice notices cookie cookies consent comment comments respond disqus share sharing social related newsletter "
     "subscribe subscription popup modal widget toolbar pagination login signup".split()
 )
+#: Of these, names that an article may give its own sections: they set aside only what is on several pages, or what no other page tells.
+DOUBTFUL_NAMES = set("menu social related notice notices share sharing banner promotion sponsor subscription".split())
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "form", "dialog", "alert"}
 
 TAG = re.compile(
@@ -54,14 +56,14 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidde
 class Block:
     """A run of text between block elements: where it stands, and what its elements say about it."""
 
-    __slots__ = ("path", "text", "aside", "article")
+    __slots__ = ("path", "text", "aside", "article", "doubtful")
 
-    def __init__(self, path: str, text: str, aside: bool, article: bool):
-        self.path, self.text, self.aside, self.article = path, text, aside, article
+    def __init__(self, path: str, text: str, aside: bool, article: bool, doubtful: bool):
+        self.path, self.text, self.aside, self.article, self.doubtful = path, text, aside, article, doubtful
 
 
-def _role(name: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
-    """Path step, whether the element is beside the article, whether it is the article."""
+def _role(name: str, attributes: str, in_article: bool) -> tuple[str, bool, bool, bool]:
+    """Path step, whether the element is beside the article, whether it is the article, whether only a doubtful name sets it aside."""
     step, words, role = name, set(), ""
     if attributes:
         for key, *values in NAMES.findall(attributes):
@@ -72,20 +74,22 @@ def _role(name: str, attributes: str, in_article: bool) -> tuple[str, bool, bool
                 words.update(re.split(r"[^a-z]+", value))
                 if key.lower() == "class":
                     step = name + "." + ".".join(sorted(value.split()))
+    doubtful = in_article and name not in ("body", "main") and bool(words & DOUBTFUL_NAMES)
+    named = words & (ASIDE_NAMES - DOUBTFUL_NAMES if in_article else ASIDE_NAMES)
     # A heading group inside the article belongs to it.
-    aside = name in ASIDE or bool(words & ASIDE_NAMES) or role in ASIDE_ROLES or (name == "header" or "header" in words) and not in_article
+    aside = name in ASIDE or bool(named) or role in ASIDE_ROLES or (name == "header" or "header" in words) and not in_article
     if name in ("html", "body", "article", "main"):
-        aside = name == "article" and in_article and bool(words & ASIDE_NAMES)
+        aside = name == "article" and in_article and bool(named)
     if attributes and HIDDEN.search(attributes):
         aside = True
-    return step, aside, name in ARTICLE or role in ("main", "article")
+    return step, aside, name in ARTICLE or role in ("main", "article"), doubtful
 
 
 def parse(html: str) -> tuple[list[Block], list[str]]:
     """Blocks with text in page order, and the paths of all block elements."""
     blocks: list[Block] = []
     paths: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
     pending: list[str] = []
 
     def flush() -> None:
@@ -93,8 +97,8 @@ def parse(html: str) -> tuple[list[Block], list[str]]:
             text = " ".join("".join(pending).split())
             pending.clear()
             if text:
-                _, path, aside, article = stack[-1]
-                blocks.append(Block(path, text, aside, article))
+                _, path, aside, article, doubtful = stack[-1]
+                blocks.append(Block(path, text, aside, article, doubtful))
 
     def pop(k: int) -> None:
         if any(s[0] not in INLINE for s in stack[k:]):
@@ -142,16 +146,16 @@ def parse(html: str) -> tuple[list[Block], list[str]]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        _, path, aside, article = stack[-1]
-        step, is_aside, is_article = _role(name, tag[3] or tag[6] or "", article)
+        _, path, aside, article, doubtful = stack[-1]
+        step, is_aside, is_article, is_doubtful = _role(name, tag[3] or tag[6] or "", article)
         if name in INLINE:
-            stack.append((name, path, aside or is_aside, article))
+            stack.append((name, path, aside or is_aside, article, doubtful))
             if aside != stack[-1][2]:
                 flush()
         else:
             path = f"{path}/{step}"
             paths.append(path)
-            stack.append((name, path, aside or is_aside, article or is_article))
+            stack.append((name, path, aside or is_aside, article or is_article, doubtful or is_doubtful))
     flush()
     return blocks, paths
 
@@ -166,8 +170,18 @@ def _undecided(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if not b.aside and (b.article or not named)]
 
 
+#: Kinds of text tokens, a letter after the mark; paths begin with a slash.
+UNDECIDED, IN_ARTICLE, DOUBTFUL = "u", "a", "d"
+
+
 def text_token(block: Block) -> str:
-    return f"{block.path}#{xxhash.xxh3_64_hexdigest(block.text)}"
+    kind = DOUBTFUL if block.doubtful else IN_ARTICLE if block.article else UNDECIDED
+    return f"#{kind}{xxhash.xxh3_64_hexdigest(block.text)}{block.path}"
+
+
+def path_of(token: str) -> str:
+    """Of the element that holds a text."""
+    return token[18:]
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -186,10 +200,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 for path in paths:
                     counts[path] = counts.get(path, 0) + 1
                 for b in _undecided(blocks):
-                    if b.article:
-                        continue
                     token = text_token(b)
                     counts[token] = counts.get(token, 0) + 1
+                    if b.article:
+                        continue
                     path = b.path
                     for t in ("", token):
                         volume[t] = volume.get(t, 0) + len(b.text)
@@ -209,59 +223,90 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return counted.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2", "volume")])
 
 
-def deduce(rows: pd.DataFrame) -> tuple[str, list[str]]:
-    """The path of the article's slot ('' if there is none) and the template's texts, from the tokens of one host."""
-    pages = int(rows.loc[rows["token"] == "", "pages"].max())
-    least = max(LEAST_PAGES, LEAST_SHARE * pages)
-    frequent = rows[(rows["pages"] >= least) & (rows["token"] != "")]
-    classes = frequent.groupby(["pages", "total", "v1", "v2"])["token"].agg(list)
-    valid = {token for tokens in classes if len(tokens) >= LEAST_TOKENS for token in tokens}
-    is_text = frequent["token"].str.contains("#")
-    known = frequent[is_text & (frequent["pages"] >= TEXT_SHARE * pages)]
-    texts = sorted(known["token"])
+def template_tokens(tokens: list[str], pages: int, total: int, host_pages: int) -> list[str]:
+    """The template's texts, and the elements that are once on their pages, of one class."""
+    elements = {t for t in tokens if t[0] != "#"}
+    texts = [t for t in tokens if t[0] == "#"]
+    # Texts at elements of other classes that keep each other's company are a copied article, unless they are on most pages.
+    copied = pages < TEXT_SHARE * host_pages and any(path_of(t) not in elements for t in texts)
+    found = []
+    for t in texts:
+        own = len(tokens) >= LEAST_TOKENS and path_of(t) in elements and not copied
+        enough = {UNDECIDED: TEXT_SHARE * host_pages, IN_ARTICLE: host_pages, DOUBTFUL: LEAST_PAGES}[t[1]]
+        if own or pages >= enough:
+            found.append(t)
+    if len(tokens) >= LEAST_TOKENS and pages == total:
+        found += elements
+    return found
+
+
+def deduce(host_volume: int, tokens: list[str], volumes: list[int]) -> tuple[str, list[str]]:
+    """The path of the article's slot ('' if there is none) and the template's texts, from the template of one host."""
+    texts = sorted(t for t in tokens if t[0] == "#")
+    volume = dict(zip(tokens, volumes))
     # What varies below an element is its undecided text without that of the template.
-    varying = frequent[~is_text & (frequent["volume"] > 0)].set_index("token")
-    left = varying["volume"].to_dict()
-    whole = int(rows.loc[rows["token"] == "", "volume"].sum())
-    for token, volume in zip(known["token"], known["volume"]):
-        whole -= volume
-        path = token.rpartition("#")[0]
+    left = {t: v for t, v in volume.items() if t[0] != "#" and v > 0}
+    whole = host_volume
+    for t in texts:
+        whole -= volume[t]
+        path = path_of(t)
         while path:
             if path in left:
-                left[path] -= volume
+                left[path] -= volume[t]
             path = path.rpartition("/")[0]
-    once = varying.index[(varying["pages"] == varying["total"]) & varying.index.isin(valid)]
-    holds_all = [t for t in once if left[t] == whole > 0]
+    holds_all = [t for t, v in left.items() if v == whole > 0]
     return max(holds_all, key=lambda t: (t.count("/"), t), default=""), texts
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, texts) of every host with enough pages. A host's frequent tokens are no more than its pages' own tokens."""
-    found = occurrences(pages)
-    whole = found.filter("token = ''").select("host", F.col("pages").alias("host_pages"))
-    frequent = found.join(whole, "host").filter(
-        (F.col("host_pages") >= LEAST_PAGES) & ((F.col("token") == "") | (F.col("pages") >= LEAST_SHARE * F.col("host_pages")))
-    )
+    """(host, slot, texts) of every host with enough pages. A class is no more than the tokens of one page."""
+    found = cut_lineage(occurrences(pages).filter((F.col("token") == "") | (F.col("pages") >= LEAST_PAGES)))
+    whole = found.filter((F.col("token") == "") & (F.col("pages") >= LEAST_PAGES))
+    whole = whole.select("host", F.col("pages").alias("host_pages"), F.col("volume").alias("host_volume"))
+    members = F.sort_array(F.collect_list(F.struct("token", "volume"))).alias("members")
+    classes = found.filter("token != ''").groupBy("host", "pages", "total", "v1", "v2").agg(members).join(whole, "host")
+    classes = classes.select("host", "host_pages", "pages", "total", F.col("members.token").alias("tokens"), F.col("members.volume").alias("volumes"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, host_pages, n, total, tokens, volumes in batch.itertuples(index=False):
+                volume = dict(zip(tokens, volumes))
+                rows += [(host, t, volume[t]) for t in template_tokens(list(tokens), n, total, host_pages) if t[0] == "#" or volume[t]]
+            yield pd.DataFrame(rows, columns=["host", "token", "volume"])
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        slot, texts = deduce(rows)
-        return pd.DataFrame([(key[0], slot, texts)], columns=["host", "slot", "texts"])
+    told = classes.mapInPandas(run, "host string, token string, volume long")
+    told = told.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("volume").alias("volumes"))
+    told = whole.join(told, "host", "left")
 
-    columns = ["host", "token", "pages", "total", "v1", "v2", "volume"]
-    return frequent.select(*columns).groupBy("host").applyInPandas(run, "host string, slot string, texts array<string>")
+    def by_host(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for host, volume, tokens, volumes in zip(batch["host"], batch["host_volume"], batch["tokens"], batch["volumes"]):
+                rows.append((host, *(deduce(volume, list(tokens), list(volumes)) if tokens is not None else ("", []))))
+            yield pd.DataFrame(rows, columns=["host", "slot", "texts"])
+
+    return told.mapInPandas(by_host, "host string, slot string, texts array<string>")
 
 
 def main_text(html: str | None, slot: str | None, texts) -> str:
-    """All blocks of articles, else those of the slot without the template's texts; what elements set aside is left out."""
+    """All blocks of articles, else those of the slot, without the template's texts and what elements set aside.
+
+    Without texts (None) there is nothing to compare with, and doubtful names decide. An article that is the template's as a whole, as on
+    a host of copies, stays.
+    """
     blocks, _ = parse(html or "")
     chosen = _undecided(blocks)
+    if texts is None:
+        return " ".join([b.text for b in chosen if not b.doubtful])
     if slot:
         inside = [b for b in chosen if b.article or b.path == slot or b.path.startswith(slot + "/")]
         chosen = inside or chosen
-    if texts is not None and len(texts):
-        known = set(texts)
-        chosen = [b for b in chosen if b.article or text_token(b) not in known]
-    return " ".join([b.text for b in chosen])
+    known = set(texts)
+    own = [b for b in chosen if text_token(b) not in known] if known else chosen
+    if not own:
+        own = [b for b in chosen if b.article and not b.doubtful]
+    return " ".join([b.text for b in own])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

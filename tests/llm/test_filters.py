@@ -287,6 +287,23 @@ def test_slot_drops_nothing_that_varies(spark):
         assert r.text == f"Title {k} Lead {k} {f'text{k} ' * 200}Closing {k}"
 
 
+def test_template_texts_in_articles(spark):
+    """Equal texts go by their occurrences, in articles and on few pages of a host too; what only a name sets aside stays if it varies."""
+    rows = []
+    for k in range(20):
+        toast = "<div class=toast><p>Read our app news</p></div>" if k < 4 else ""
+        body = f"<h1>Title {k}</h1>{toast}<p>Body {k}</p><section class=menu><p>Soup {k}</p></section><section class=related><p>See also</p></section>"
+        rows.append((k, f"https://a.example/{k}", page(k, f"<article>{body}<div class=replies>Be the first to reply</div></article>"), "", ""))
+    # An article on several pages is not a template, nor are copies on all pages of a host.
+    copied = "<article><h1>Copied</h1><p>One</p><p>Two</p></article>"
+    rows += [(100 + k, f"https://b.example/{k}", page(k, copied if k < 4 else f"<article><h1>H {k}</h1><p>P {k}</p></article>"), "", "") for k in range(20)]
+    rows += [(200 + k, f"https://c.example/{k}", page(0, copied), "", "") for k in range(4)]
+    found = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(found[k] == f"Title {k} Body {k} Soup {k}" for k in range(20))
+    assert all(found[100 + k] == ("Copied One Two" if k < 4 else f"H {k} P {k}") for k in range(20))
+    assert all(found[200 + k] == "Copied One Two" for k in range(4))
+
+
 def test_roles_of_elements():
     article = "<nav><a>m</a></nav><header>s</header><article class=post><header><h1>T</h1></header><p>a&nbsp;&lt;b&gt; c<br>d<section id=comments>no</section>"
     article += "<form>f</form><script>'</p>'</script><!-- c --><p>e</article><aside>x</aside><footer>f</footer>"
