@@ -1,7 +1,7 @@
 """Quality rules whose limits come from the data: quantile sketches per language and source, merged where a source is small.
 
 Fixed cutoffs suit one language or one source only. Here every text is measured, each (language, source) pair gets a mergeable
-KLL sketch of every measure, and a limit is a fence above (or below) the middle half of the pair's own distribution. Pairs with
+KLL sketch of every measure, and a limit is some times as far from the median as a tail quantile of the pair's own distribution. Pairs with
 few rows take the merged sketch of their language, small languages that of all rows. DataFrame functions only.
 """
 
@@ -14,10 +14,14 @@ from notewright.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-#: Measures that a limit bounds from above, with the least distance of the limit from the median.
-SLACK = {"symbol_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.45, "word_length": 4.0}
-#: Distance of the limit from the upper quartile, in times the distance of the quartiles.
+#: Measures that a limit bounds from above, with the least distance of the limit from the median: numerator and column of the denominator.
+#: One symbol, one line, one window of three words that comes twice, one character; of the text at hand.
+UNIT = {"symbol_share": (1, "word_chars"), "dup_line_share": (1, "n_lines"), "repeat_share": (6, "n_words"), "word_length": (1, "n_words")}
+#: Measures that a limit bounds from below too.
+LOWER = ("word_length",)
+#: Distance of the limit from the median, in times the distance of the tail quantile. More junk than beyond it would set its own limit.
 FENCE = 4.0
+TAIL = 0.9
 #: Pairs and languages with fewer rows than this use the next wider sketch.
 LEAST_ROWS = 200
 LEAST_WORDS = 50
@@ -76,24 +80,24 @@ def shares(rows: DataFrame) -> DataFrame:
 
 
 def limits(rows: DataFrame, fence: float = FENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(lang, source, limit per measure) from rows with the measures; texts that fail the base rule are not learnt from.
+    """(lang, source, median and limits per measure) from rows with the measures; texts that fail the base rule are not learnt from.
 
     Sketches merge, so sources are summed up once, on the map side, and languages come from the sources' sketches. A pair without
     any text to learn from takes the limits of its language. Null languages and sources are values of their own.
     """
     ok = ~F.col("base_failed")
-    sketches = [F.kll_sketch_agg_double(F.when(ok, F.col(m))).alias(m) for m in SLACK]
+    sketches = [F.kll_sketch_agg_double(F.when(ok, F.col(m))).alias(m) for m in UNIT]
     own = cut_lineage(rows.groupBy("lang", "source").agg(F.count_if(ok).alias("n"), *sketches))
-    whole = own.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in SLACK])
-    by_lang = own.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in SLACK])
+    whole = own.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in UNIT])
+    by_lang = own.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in UNIT])
     own, by_lang, whole = own.alias("o"), by_lang.alias("l"), whole.alias("a")
     joined = own.join(by_lang, F.col("o.lang").eqNullSafe(F.col("l.lang")), "left").join(whole, F.lit(True), "left")
     columns = [F.col("o.lang").alias("lang"), F.col("o.source").alias("source")]
-    for m, slack in SLACK.items():
+    for m in UNIT:
         sketch = F.when(F.col("o.n") >= least_rows, F.col(f"o.{m}")).when(F.col("l.n") >= least_rows, F.col(f"l.{m}")).otherwise(F.col(f"a.{m}"))
         # No text to learn from at all: no limit.
-        q = [F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(p))) for p in (0.25, 0.5, 0.75)]
-        columns.append(F.greatest(q[2] + fence * (q[2] - q[0]), q[1] + slack).alias(f"max_{m}"))
+        q = [F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(p))) for p in (1 - TAIL, 0.5, TAIL)]
+        columns += [q[1].alias(f"mid_{m}"), (q[1] + fence * (q[2] - q[1])).alias(f"max_{m}"), (q[1] - fence * (q[1] - q[0])).alias(f"min_{m}")]
     return joined.select(*columns)
 
 
@@ -103,12 +107,16 @@ def judge(rows: DataFrame, found: DataFrame) -> DataFrame:
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     # One sum under coalesce, not a conjunction: a filter on it stays above the join and does not repeat the measures below it.
     against = F.col("base_failed").cast("int")
-    for m in SLACK:
-        against = against + F.when(F.col(m) > F.col(f"max_{m}"), 1).otherwise(0)
+    for m, (n, whole) in UNIT.items():
+        unit = F.coalesce(F.try_divide(F.lit(float(n)), F.col(whole)), F.lit(0.0))
+        outside = F.col(m) > F.greatest(F.col(f"max_{m}"), F.col(f"mid_{m}") + unit)
+        if m in LOWER:
+            outside = outside | (F.col(m) < F.least(F.col(f"min_{m}"), F.col(f"mid_{m}") - unit))
+        against = against + F.when(outside, 1).otherwise(0)
     # Few pairs go to the rows; many are joined as Spark sees fit.
     found = cut_lineage(found)
     found = F.broadcast(found) if found.count() <= MOST_SHIPPED else found
-    return rows.join(found, same, "left").withColumn("kept", F.coalesce(against, F.lit(1)) == 0).drop("_lang", "_source", *[f"max_{m}" for m in SLACK])
+    return rows.join(found, same, "left").withColumn("kept", F.coalesce(against, F.lit(1)) == 0).drop("_lang", "_source", *[f"{x}_{m}" for x in ("mid", "max", "min") for m in UNIT])
 
 
 def rate(docs: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def op6_toxicity(spark, folder):
 def op7_quality(spark, folder):
     rows = quality.rate(table(spark, folder, "documents"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return rows.select(*columns, *quality.SLACK)
+    return rows.select(*columns, *quality.UNIT)
 
 
 @query

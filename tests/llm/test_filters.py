@@ -81,6 +81,22 @@ def test_limits_follow_the_source(spark):
     assert few["en", "marks"] < 0.2
 
 
+def test_every_measure_has_a_limit_of_the_data(spark):
+    """A text with many equal lines, repeated windows, or odd word lengths goes where no other text of the source is like it."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    texts = [[[word(rng.randrange(3, 8)) for _ in range(10)] for _ in range(8)] for _ in range(400)]
+    lines, windows = texts[0], texts[1]
+    lines[1] = lines[2] = lines[3] = lines[0]
+    windows[5] = windows[0][:9] + windows[5][:1]
+    windows[6] = windows[0][:9] + windows[6][:1]
+    texts += [[[word(8) for _ in range(10)] for _ in range(8)], [[word(2) for _ in range(10)] for _ in range(8)]]
+    rows = [(i, "\n".join(" ".join(x) for x in t), "en", "s", 0) for i, t in enumerate(texts)]
+    found = quality.rate(spark.createDataFrame(rows, DOCS)).collect()
+    assert not any(r.base_failed for r in found)
+    assert {r.doc_id for r in found if not r.kept} == {0, 1, 400, 401}
+
+
 def test_keep_and_rate_agree(spark, odd, none):
     docs = clean_and_junk(spark).union(odd)
     kept = Counter((r.doc_id, r.text) for r in quality.keep(docs).collect())
