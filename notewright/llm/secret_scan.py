@@ -1,9 +1,8 @@
 """Secret scans: fixed patterns, and windows of high entropy in candidate strings. DataFrame functions only.
 
-Patterns give base spans. Beside them, every run of token characters with a digit is a candidate: a window slides over it,
-character counts and their entropy sum are updated by the character that enters and the one that leaves, and the run from the
-first to the last window at or above the limit of its character class becomes a span, unless the allow-list knows the candidate
-or it meets a base span.
+Patterns give base spans. Beside them, every run of token characters is a candidate: a window slides over it, character counts and
+their entropy sum are updated by the character that enters and the one that leaves, and the run from the first to the last window at
+or above the limit of its character class, without base spans, becomes spans, unless the allow-list knows the candidate or the run.
 """
 
 from __future__ import annotations
@@ -23,15 +22,23 @@ NAMES = (*KINDS, "entropy")
 
 #: Width of the sliding window in characters, and the entropy in bits that makes a window of a class suspicious.
 WINDOW = 20
-LIMITS = {"hex": 2.9, "alnum": 3.5, "base64": 3.7}
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-#: Candidates that are left alone: words and numbers joined by separators, UUIDs, documented examples, one character repeated.
+LIMITS = {"letters": 3.7, "hex": 2.9, "alnum": 3.5, "base64": 3.7}
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: A word with capitals where words have them, or a number; longer than any word: not one.
+_NEXT = r"(?:[A-Z][a-z]{2,24}|As|At|By|Id|If|In|Is|Of|On|Or|To|Up)"
+_WORD = rf"(?:[A-Z]?[a-z]{{1,24}}{_NEXT}*|[A-Z]{{1,24}}|[0-9]+)"
+#: Words and numbers joined by separators.
+JOINED = rf"^{_WORD}?(?:[+/_=-]+{_WORD}?)+$"
+#: Candidates that are left alone: words and numbers joined by separators or by capitals, numbers, UUIDs, one character repeated.
 ALLOWED = (
-    r"^(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+)?)*$",
+    JOINED,
+    rf"^[A-Z]?[a-z]{{1,24}}{_NEXT}+$",
+    r"^[0-9]+$",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example",
     r"^(.)\1*$",
 )
+#: Documented examples say so inside a part that is not a plain word; such a run is left alone.
+EXAMPLE = r"(?<![A-Za-z0-9])(?!(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]*(?![A-Za-z0-9]))[A-Za-z0-9]*(?i:example)"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -92,6 +99,7 @@ def entropy_run(value: Column, limit: Column) -> Column:
 def class_limit(value: Column) -> Column:
     return (
         F.when(F.regexp_like(value, F.lit(r"^[0-9a-fA-F]+$")), F.lit(LIMITS["hex"]))
+        .when(~F.regexp_like(value, F.lit(r"[0-9]")), F.lit(LIMITS["letters"]))
         .when(F.regexp_like(value, F.lit(r"^[0-9A-Za-z]+$")), F.lit(LIMITS["alnum"]))
         .otherwise(F.lit(LIMITS["base64"]))
     )
@@ -119,20 +127,42 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     has = F.regexp_like(text, F.lit(CANDIDATE))
     rows = rows.withColumn("_cand", F.when(has, located(text, CANDIDATE, 0, is_candidate, len(KINDS))).otherwise(none))
-    # A candidate that meets a base span is already found.
-    rows = rows.withColumn("_cand", F.filter("_cand", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     rows = rows.withColumn("_value", F.transform("_cand", lambda c: F.substring(text, c["start"] + 1, c["end"] - c["start"])))
     rows = rows.withColumn("_run", F.transform("_value", lambda v: entropy_run(v, class_limit(v))))
-    hot = F.filter(F.arrays_zip(F.col("_cand").alias("c"), F.col("_run").alias("r")), lambda z: z["r"].isNotNull())
-    added = F.transform(
-        hot,
+    runs = F.transform(
+        F.filter(F.arrays_zip(F.col("_cand").alias("c"), F.col("_run").alias("r")), lambda z: z["r"].isNotNull()),
         lambda z: F.struct(
             (z["c"]["start"] + z["r"]["a"]).alias("start"), z["c"]["kind"].alias("kind"), (z["c"]["start"] + z["r"]["b"]).alias("end")
         ),
     ).cast(SPAN)
-    return rows.withColumn("_spans", F.sort_array(F.concat("_base", F.when(F.size("_cand") > 0, added).otherwise(none)))).drop(
-        "_cand", "_value", "_run"
-    )
+
+    def said(x: Column) -> Column:
+        return F.substring(text, x["start"] + 1, x["end"] - x["start"])
+
+    runs = F.filter(runs, lambda x: ~F.regexp_like(said(x), F.lit(EXAMPLE)))
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"))).cast(SPAN)
+
+    def outside(x: Column) -> Column:
+        """What base spans leave of a run, without pieces of plain words or separators."""
+
+        def step(acc: Column, b: Column) -> Column:
+            meets = (b["start"] < x["end"]) & (acc["at"] < b["end"])
+            out = F.when(meets & (acc["at"] < b["start"]), F.concat(acc["out"], piece(acc["at"], b["start"]))).otherwise(acc["out"])
+            return F.struct(F.when(meets, b["end"]).otherwise(acc["at"]).alias("at"), out.alias("out"))
+
+        def rest(acc: Column) -> Column:
+            return F.when(acc["at"] < x["end"], F.concat(acc["out"], piece(acc["at"], x["end"]))).otherwise(acc["out"])
+
+        pieces = F.aggregate(F.sort_array("_base"), F.struct(x["start"].alias("at"), none.alias("out")), step, rest)
+        meets_any = F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        known = rf"^{_WORD}$|{JOINED}"
+        return F.when(meets_any, F.filter(pieces, lambda q: ~F.regexp_like(said(q), F.lit(known)))).otherwise(F.array(x).cast(SPAN))
+
+    rows = rows.withColumn("_run", F.when(F.size("_cand") > 0, runs).otherwise(none))
+    added = F.when(F.size("_run") > 0, F.flatten(F.transform("_run", outside))).otherwise(none)
+    return rows.withColumn("_spans", F.sort_array(F.concat("_base", added))).drop("_cand", "_value", "_run")
 
 
 def spelled(spans: str) -> Column:
