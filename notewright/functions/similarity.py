@@ -1,20 +1,20 @@
 """Name similarity: a word-order-free ratio and a best-window ratio, both on the longest common subsequence.
 
-ratio(a, b) = round(100 * 2 * LCS / (len(a) + len(b))). The functions below run inside Arrow-batched tasks on rows that
-Spark has already partitioned.
+ratio(a, b) = round(100 * 2 * LCS / (len(a) + len(b))), halves to the even number. For a row of two strings the ratio is a Column: one
+row of the table as the bits of integers (Hyyro, 2004), in limbs of 62 bits with a carry, so strings of any length fit. For one string
+against many, ``NameIndex`` advances the bits of all of them together.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from notewright.constants import VERSION_WORDS
 
-_SKETCH = 64
+LIMB = 62
+_WORD = 64
 
 
 def sorted_words(name: Column) -> Column:
@@ -23,106 +23,140 @@ def sorted_words(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(plain, " ")), " ")
 
 
-def _positions(text: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for i, c in enumerate(text):
-        masks[c] = masks.get(c, 0) | (1 << i)
-    return masks
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def common_length(masks: dict[str, int], length: int, other: str) -> int:
-    """Longest common subsequence, one row of the table as the bits of an integer (Hyyro, 2004)."""
-    full = (1 << length) - 1
-    row = full
-    for c in other:
-        hit = row & masks.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return length - row.bit_count()
+def _shifted(side: str, bits: Column, by: Column) -> Column:
+    return F.call_function(f"shift{side}", bits, by)
 
 
-def ratio(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
-    return round(200 * common_length(_positions(a), len(a), b) / (len(a) + len(b)))
+def _percent(common: Column, lengths: Column) -> Column:
+    return F.bround(200 * common / lengths, 0).cast("int")
 
 
-def window_ratio(a: str, b: str) -> int:
-    """Best ratio of the shorter string against the windows of its length in the longer one."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not short:
-        return 0
-    masks, n, best = _positions(short), len(short), 0
-    for i in range(len(long)):
-        window = long[i : i + n]
-        best = max(best, round(200 * common_length(masks, n, window) / (n + len(window))))
-        if best == 100:
-            break
-    return best
+def common_length(a: Column, b: Column) -> Column:
+    """Longest common subsequence of two non-empty strings."""
+    letters = _characters(a)
+    limbs = F.sequence(F.lit(0), F.ceil(F.size(letters) / LIMB).cast("int") - 1)
+    zero, one, full = (F.lit(x).cast("long") for x in (0, 1, (1 << LIMB) - 1))
 
+    def of_limb(k: Column) -> Column:
+        return F.slice(letters, k * LIMB + 1, LIMB)
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="Int32")
+    def masks(c: Column) -> Column:
+        start = F.struct(zero.alias("mask"), one.alias("bit"))
 
+        def mark(found: Column, x: Column) -> Column:
+            return F.struct((found["mask"] + F.when(x == c, found["bit"]).otherwise(zero)).alias("mask"), (found["bit"] * 2).alias("bit"))
 
-def _version_ratios(name: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None else max(window_ratio(x, w) for w in VERSION_WORDS) for x in name], dtype="Int32"
-    )
+        return F.transform(limbs, lambda k: F.aggregate(of_limb(k), start, mark, lambda found: found["mask"]))
+
+    def advance(row: Column, c: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("row"), zero.alias("carry"))
+
+        def limb(made: Column, pair: Column) -> Column:
+            bits, hit = pair["row"], pair["row"].bitwiseAND(pair["masks"])
+            total = bits + hit + made["carry"]
+            new = total.bitwiseAND(full).bitwiseOR(bits - hit)
+            return F.struct(F.concat(made["row"], F.array(new)).alias("row"), F.shiftright(total, LIMB).alias("carry"))
+
+        pairs = F.zip_with(row, masks(c), lambda bits, mask: F.struct(bits.alias("row"), mask.alias("masks")))
+        return F.aggregate(pairs, start, limb, lambda made: made["row"])
+
+    rows = F.aggregate(_characters(b), F.transform(limbs, lambda k: full), advance)
+    kept = F.zip_with(rows, limbs, lambda bits, k: F.bit_count(bits.bitwiseAND(_shifted("left", one, F.size(of_limb(k))) - 1)))
+    return F.size(letters) - F.aggregate(kept, F.lit(0), lambda x, y: x + y)
 
 
 def sorted_ratio(a: Column, b: Column) -> Column:
     """Ratio of two strings that went through ``sorted_words``."""
-    return F.pandas_udf(_ratios, T.IntegerType())(a, b)
+    both = F.length(a) + F.length(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when((a == "") | (b == ""), 0).otherwise(_percent(common_length(a, b), both)))
+
+
+def _word_masks(word: str) -> dict[str, int]:
+    return {c: sum(1 << i for i, x in enumerate(word) if x == c) for c in word}
 
 
-def version_word_ratio(name: Column) -> Column:
-    """Best window ratio of a name against the words that mark derived versions."""
-    return F.pandas_udf(_version_ratios, T.IntegerType())(name)
+def _common_with(masks: Column, size: Column, text: Column) -> Column:
+    """Longest common subsequence of a text with a short word, given as masks of its letters and its length."""
+    zero, full = F.lit(0).cast("long"), _shifted("left", F.lit(1).cast("long"), size) - 1
 
+    def advance(row: Column, c: Column) -> Column:
+        hit = row.bitwiseAND(F.coalesce(F.element_at(masks, c), zero))
+        return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
 
-def _sketch(texts: list[str]) -> np.ndarray:
-    """Character counts in a fixed number of buckets; the L1 distance is a lower bound of the edit distance."""
-    counts = np.zeros((len(texts), _SKETCH), dtype=np.int32)
-    for i, t in enumerate(texts):
-        if t:
-            counts[i] = np.bincount(np.array([ord(c) for c in t]) % _SKETCH, minlength=_SKETCH)
-    return counts
+    return size - F.bit_count(F.aggregate(_characters(text), full, advance))
 
 
-class LeaderIndex:
-    """Finds the first leader, in leader order, whose ratio with a string passes the threshold."""
+def version_word_ratio(name: Column, words: list[str] = VERSION_WORDS) -> Column:
+    """Best ratio of the shorter of the name and a word that marks derived versions against the windows of that length in the longer.
 
-    def __init__(self, threshold: float):
+    Of equal length, the windows are those of the word.
+    """
+    n, best = F.length(name), []
+    for word in words:
+        k = len(word)
+        masks = _word_masks(word)
+        whole = F.create_map(*[F.lit(x) for c, m in masks.items() for x in (c, F.lit(m).cast("long"))])
+
+        def in_name(i: Column) -> Column:
+            window = F.substring(name, i, F.lit(k))
+            return _percent(_common_with(whole, F.lit(k), window), k + F.length(window))
+
+        def in_word(i: Column) -> Column:
+            size = F.least(n, k - i)
+            cut = F.transform_values(whole, lambda _, m: _shifted("right", m, i).bitwiseAND(_shifted("left", F.lit(1).cast("long"), size) - 1))
+            return _percent(_common_with(cut, size, name), n + size)
+
+        long = F.array_max(F.transform(F.sequence(F.lit(1), n), in_name))
+        short = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), in_word))
+        best.append(F.when(n > k, long).otherwise(short))
+    return F.when(name.isNotNull(), F.when(n == 0, 0).otherwise(F.greatest(*best)))
+
+
+class NameIndex:
+    """Strings in a given order; finds the first of them whose ratio with a string passes the threshold."""
+
+    def __init__(self, texts: list[str], threshold: float):
         self.threshold = threshold
-        self.texts: list[str] = []
-        self._masks: list[dict[str, int]] = []
-        self._counts = np.zeros((0, _SKETCH), dtype=np.int32)
-        self._lengths = np.zeros(0, dtype=np.int64)
-        self._used = 0
-
-    def add(self, text: str) -> None:
-        if self._used == len(self._counts):
-            room = max(64, 2 * self._used)
-            counts, lengths = np.zeros((room, _SKETCH), dtype=np.int32), np.zeros(room, dtype=np.int64)
-            counts[: self._used], lengths[: self._used] = self._counts[: self._used], self._lengths[: self._used]
-            self._counts, self._lengths = counts, lengths
-        self._counts[self._used], self._lengths[self._used] = _sketch([text])[0], len(text)
-        self.texts.append(text)
-        self._masks.append(_positions(text))
-        self._used += 1
-
-    def first(self, text: str, counts: np.ndarray) -> int | None:
-        if not text or not self._used:
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.letters: dict[str, int] = {}
+        cells = np.full((len(texts), _WORD), -1, dtype=np.int32)
+        for k, t in enumerate(texts):
+            if len(t) <= _WORD:
+                cells[k, : len(t)] = [self.letters.setdefault(c, len(self.letters)) for c in t]
+        self.masks = np.zeros((len(self.letters), len(texts)), dtype=np.uint64)
+        for i in range(_WORD):
+            rows = np.flatnonzero(cells[:, i] >= 0)
+            self.masks[cells[rows, i], rows] |= np.uint64(1) << np.uint64(i)
+        self.long = {int(k): _word_masks(texts[k]) for k in np.flatnonzero(self.lengths > _WORD)}
+        bits = np.minimum(self.lengths, _WORD)
+        self.full = np.where(bits == _WORD, ~np.uint64(0), (np.uint64(1) << (bits % _WORD).astype(np.uint64)) - np.uint64(1))
+
+    def first(self, text: str, begin: int, end: int) -> int | None:
+        """Place of the first match among the strings begin to end - 1; an empty string matches none."""
+        if not text or begin >= end:
             return None
-        both = self._lengths[: self._used] + len(text)
-        # Length and character counts bound the ratio from above; only the rest is compared in full.
-        apart = np.abs(self._counts[: self._used] - counts).sum(axis=1)
-        possible = 100 * (both - apart) >= (self.threshold + 0.5) * both
-        for i in np.flatnonzero(possible):
-            length = int(self._lengths[i])
-            if round(200 * common_length(self._masks[i], length, text) / (length + len(text))) > self.threshold:
-                return int(i)
-        return None
-
-    def first_of(self, texts: list[str]) -> list[int | None]:
-        return [self.first(t, c) for t, c in zip(texts, _sketch(texts))]
+        lengths = self.lengths[begin:end]
+        row = np.full(end - begin, ~np.uint64(0))
+        for c in text:
+            code = self.letters.get(c)
+            if code is not None:
+                hit = row & self.masks[code, begin:end]
+                row = (row + hit) | (row - hit)
+        common = lengths - np.bitwise_count(row & self.full[begin:end])
+        for k in [k for k in self.long if begin <= k < end]:
+            common[k - begin] = _common_long(self.long[k], int(self.lengths[k]), text)
+        found = np.flatnonzero((np.rint(200 * common / (lengths + len(text))) > self.threshold) & (lengths > 0))
+        return begin + int(found[0]) if len(found) else None
+
+
+def _common_long(masks: dict[str, int], length: int, other: str) -> int:
+    full = (1 << length) - 1
+    row = full
+    for c in other:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return length - row.bit_count()

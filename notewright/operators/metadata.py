@@ -2,35 +2,44 @@
 
 Greedy deduplication in order of first appearance: a name that no earlier leader matches (and that does not mark a
 derived version) becomes a leader; every name takes the first leader that matches it, else keeps its own cleaned form.
-Run here in rounds. Each round takes the earliest undecided names of every block (a bounded number), decides among
-them which are leaders, and lets those leaders absorb all undecided names of the block. Copies that differ only in
-word order, case or punctuation are one row before the first round. Blocks larger than a task are salted, with the
-round's leaders repeated per salt, so no block is ever held by one task; every name of a block is compared with every
-leader that its length and letters allow.
+
+The leaders are the lexicographically first independent set of the match graph, found by a parallel fixpoint: in each round
+every undecided name without an earlier undecided match becomes a leader, and the names that these match are decided. The
+number of rounds is the longest chain of dependent decisions, one for names that are all unlike, whatever their number.
+
+Matches are looked for in tiles: names of a block by classes of length, those of a large class by a hash, and only classes
+whose lengths allow the threshold meet. A tile has a bounded number of names on each side, small blocks share a tile, and a
+tile gives at most one row per name, never a pair per match. Copies that differ only in word order, case or punctuation are
+one row before the first round.
 """
 
 from __future__ import annotations
 
+import bisect
+import logging
+import math
 from functools import reduce
 from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewright.constants import DEFAULT_MATCH_THRESHOLD
 from notewright.functions.names import clean_name
-from notewright.functions.similarity import LeaderIndex, sorted_words, version_word_ratio
+from notewright.functions.similarity import NameIndex, sorted_words, version_word_ratio
 from notewright.operators.joins import names_with_genres, statistics_with_names
 from notewright.operators.windows import best_row, descending, with_group_mode
 from notewright.session import cut_lineage
 
-FRONTIER = 1000  # within spark.sql.optimizer.windowGroupLimitThreshold, so the per-block head is cut before the shuffle
-NODES_PER_TASK = 20_000
-ROUNDS_PER_COMPACTION = 16
-_ORDER = [("position", "ascending"), ("processed", "ascending")]
+# Names on each side of a tile; blocks up to SMALL_BLOCK names share tiles.
+TILE_NAMES = 2000
+SMALL_BLOCK = 500
+# Lengths of one class differ by at most this factor.
+CLASS_STEP = 1.25
+
+log = logging.getLogger(__name__)
 
 
 def name_nodes(
@@ -46,74 +55,108 @@ def name_nodes(
     )
 
 
-def _decide(threshold: float):
-    def choose(frontier: pa.Table) -> pa.Table:
-        ordered = frontier.sort_by(_ORDER)
-        index, chosen = LeaderIndex(threshold), []
-        for row, text in enumerate(ordered["processed"].to_pylist()):
-            if index.first_of([text])[0] is None:
-                index.add(text)
-                chosen.append(row)
-        return ordered.take(chosen)
-
-    return choose
-
-
-def _absorb(threshold: float):
-    def take(nodes: pa.Table, leaders: pa.Table) -> pa.Table:
-        ordered = leaders.sort_by(_ORDER)
-        index = LeaderIndex(threshold)
-        for text in ordered["processed"].to_pylist():
-            index.add(text)
-        names = ordered["cleaned"].to_pylist()
-        found = index.first_of(nodes["processed"].to_pylist())
-        return nodes.append_column("leader", pa.array([None if f is None else names[f] for f in found], pa.string()))
+def _first_match(threshold: float, earlier: bool):
+    """For each asking name the first of the other side's names of its block that matches (and comes earlier, if asked for)."""
+
+    def find(asking: pa.Table, others: pa.Table) -> pa.Table:
+        asking = asking.combine_chunks()
+        others = others.sort_by([("block", "ascending"), ("position", "ascending"), ("processed", "ascending")])
+        index = NameIndex(others.column("processed").to_pylist(), threshold)
+        keys = list(zip(*(others.column(c).to_pylist() for c in ("block", "position", "processed"))))
+        blocks = [k[0] for k in keys]
+        rows, found = [], []
+        for row, (block, position, text) in enumerate(zip(*(asking.column(c).to_pylist() for c in ("block", "position", "processed")))):
+            begin = bisect.bisect_left(blocks, block)
+            end = bisect.bisect_left(keys, (block, position, text)) if earlier else bisect.bisect_right(blocks, block)
+            first = index.first(text, begin, end)
+            if first is not None:
+                rows.append(row)
+                found.append(first)
+        taken, given = asking.take(pa.array(rows, pa.int64())), others.take(pa.array(found, pa.int64()))
+        return pa.table(
+            [taken.column("block"), taken.column("processed"), given.column("position"), given.column("processed"), given.column("cleaned")],
+            names=["block", "processed", "position", "other", "cleaned"],
+        )
 
-    return take
+    return find
+
+
+def _classed(names: DataFrame, large: DataFrame) -> DataFrame:
+    """Names with the class of their length, none in blocks that are not large."""
+    of_length = F.floor(F.log(CLASS_STEP, F.length("processed"))).cast("int")
+    marked = names.join(large, "block", "left")
+    return marked.withColumn("class", F.when(F.col("large"), of_length)).drop("large")
+
+
+def first_matches(asking: DataFrame, others: DataFrame, threshold: float, earlier: bool = False) -> DataFrame:
+    """(block, processed, position, other, cleaned): the first match among ``others`` in the same block; no row without one.
+
+    Both sides have (block, processed, position, cleaned); first is by position, then text. With ``earlier`` a name's match must come
+    before it.
+    """
+    columns = ["block", "processed", "position", "cleaned"]
+    sizes = asking.select("block").union(others.select("block")).groupBy("block").count()
+    large = sizes.where(F.col("count") > SMALL_BLOCK).select("block", F.lit(True).alias("large"))
+    left, right = (_classed(df.select(*columns), large) for df in (asking, others))
+    # Of two matching lengths the shorter is at least this part of the longer.
+    least = (threshold + 0.5) / (200 - threshold - 0.5)
+    reach = math.ceil(-math.log(least) / math.log(CLASS_STEP)) + 1
+    salts = F.ceil(F.count("*") / TILE_NAMES).cast("int")
+    cells = left.where("class IS NOT NULL").groupBy("block", "class").agg(salts.alias("salts"))
+    other_cells = right.where("class IS NOT NULL").groupBy("block", F.col("class").alias("other_class")).agg(salts.alias("other_salts"))
+    near = F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)).alias("other_class")
+    meeting = cells.select("*", near).join(other_cells, ["block", "other_class"])
+    bundles = max(1, asking.sparkSession.sparkContext.defaultParallelism, math.ceil(asking.count() / TILE_NAMES))
+    bundle = F.pmod(F.xxhash64("block"), F.lit(bundles))
+    tile = F.xxhash64("block", "class", "other_class", "salt", "other_salt")
+
+    def dealt(side: DataFrame, class_name: str, own: str, own_salts: str, facing: str, facing_salts: str) -> DataFrame:
+        salted = side.where("class IS NOT NULL").withColumnRenamed("class", class_name).join(meeting, ["block", class_name])
+        salted = salted.withColumn(own, F.pmod(F.xxhash64("processed"), F.col(own_salts)).cast("int"))
+        salted = salted.withColumn(facing, F.explode(F.sequence(F.lit(0), F.col(facing_salts) - 1)))
+        return salted.select(tile.alias("tile"), *columns).union(side.where("class IS NULL").select(bundle.alias("tile"), *columns))
+
+    asked = dealt(left, "class", "salt", "salts", "other_salt", "other_salts").toDF("tile", *columns)
+    given = dealt(right, "other_class", "other_salt", "other_salts", "salt", "salts").toDF("tile", *columns)
+    found = asked.groupBy("tile").cogroup(given.groupBy("tile")).applyInArrow(
+        _first_match(threshold, earlier),
+        T.StructType([asking.schema["block"], asking.schema["processed"], others.schema["position"], T.StructField("other", T.StringType()), others.schema["cleaned"]]),
+    )
+    return found.groupBy("block", "processed").agg(F.min(F.struct("position", "other", "cleaned")).alias("s")).select("block", "processed", "s.*")
+
+
+def independent(free: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> tuple[DataFrame, int]:
+    """The leaders among names that may lead, and the number of rounds taken."""
+    keys = ["block", "processed"]
+    undecided, chosen, rounds = cut_lineage(free), None, 0
+    while not undecided.isEmpty():
+        after = cut_lineage(first_matches(undecided, undecided, threshold, earlier=True).select(*keys))
+        new = undecided.join(after, keys, "left_anti")
+        chosen = cut_lineage(new if chosen is None else chosen.unionByName(new))
+        waiting = undecided.join(after, keys, "left_semi")
+        decided = first_matches(waiting, undecided.join(after, keys, "left_anti"), threshold).select(*keys)
+        undecided = cut_lineage(waiting.join(decided, keys, "left_anti"))
+        rounds += 1
+    log.info("leaders found in %d rounds", rounds)
+    return (undecided if chosen is None else chosen), rounds
 
 
-def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD, frontier: int = FRONTIER) -> DataFrame:
+def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> DataFrame:
     """(block, processed, leader): the leader each processed name takes; rows without one are left out."""
     free = ~F.col("blocked")
     groups = nodes.where("processed <> ''").groupBy("block", "processed").agg(
         F.min(F.when(free, F.col("position"))).alias("position"),
         F.min_by(F.when(free, F.col("cleaned")), F.when(free, F.col("position"))).alias("cleaned"),
     )
-    sizes = groups.groupBy("block").agg(F.ceil(F.count("*") / NODES_PER_TASK).cast("int").alias("salts"))
-    salted = groups.join(sizes, "block").withColumn("salt", F.pmod(F.xxhash64("processed"), F.col("salts")).cast("int"))
-    undecided = cut_lineage(salted)
-    schema = undecided.schema
-    leader_schema = undecided.select("block", "processed", "position", "cleaned").schema
-    finished, rounds = None, 0
-    head = Window.partitionBy("block").orderBy("position", "processed")
-    while not undecided.where("position IS NOT NULL").isEmpty():
-        earliest = (
-            undecided.where("position IS NOT NULL").select("block", "processed", "position", "cleaned")
-            .withColumn("place", F.row_number().over(head)).where(F.col("place") <= frontier).drop("place")
-        )
-        chosen = earliest.groupBy("block").applyInArrow(_decide(threshold), leader_schema)
-        spread = chosen.join(undecided.select("block", "salts").distinct(), "block").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-        ).select("block", "salt", "processed", "position", "cleaned")
-        absorbed = cut_lineage(
-            undecided.groupBy("block", "salt").cogroup(spread.groupBy("block", "salt"))
-            .applyInArrow(_absorb(threshold), T.StructType([*schema.fields, T.StructField("leader", T.StringType())]))
-        )
-        done = absorbed.where("leader IS NOT NULL").select("block", "processed", "leader")
-        finished = done if finished is None else finished.unionByName(done)
-        undecided = absorbed.where("leader IS NULL").drop("leader")
-        rounds += 1
-        if rounds % ROUNDS_PER_COMPACTION == 0:
-            finished = cut_lineage(finished)
-    if finished is None:
-        return undecided.select("block", "processed", F.lit(None).cast("string").alias("leader"))
-    return finished
+    groups = cut_lineage(groups)
+    chosen, _ = independent(groups.where("position IS NOT NULL"), threshold)
+    return first_matches(groups, chosen, threshold).select("block", "processed", F.col("cleaned").alias("leader"))
 
 
-def deduplicated(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD, frontier: int = FRONTIER) -> DataFrame:
+def deduplicated(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> DataFrame:
     """(block, name, new_name) for every distinct name."""
     nodes = cut_lineage(nodes)  # read by the rounds and by the join below
-    taken = leaders(nodes, threshold, frontier)
+    taken = leaders(nodes, threshold)
     return nodes.join(taken, ["block", "processed"], "left").select(
         "block", "name", F.coalesce("leader", "cleaned").alias("new_name")
     )

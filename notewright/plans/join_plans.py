@@ -11,8 +11,9 @@ from notewright.operators import joins as jn
 from notewright.operators import metadata as md
 from notewright.operators import vocabulary as vo
 from notewright.operators.genre_model import with_split
+from notewright.plans.catalog_plans import greedy_sql
 from notewright.plans.registry import query
-from notewright.plans.scalar_plans import _clean_sql
+from notewright.plans.scalar_plans import clean_sql
 from notewright.session import fresh_path
 
 
@@ -68,7 +69,7 @@ def j05(corpus):
     return jn.drop_small_groups(corpus.catalog, "artist", 5).select("md5", "artist")
 
 
-@query("J06", f"SELECT md5, {_clean_sql('title')} AS title FROM v_catalog")
+@query("J06", f"SELECT md5, {clean_sql('title')} AS title FROM v_catalog")
 def j06(corpus):
     distinct = corpus.catalog.select(F.col("title").alias("old")).distinct()
     mapping = distinct.withColumn("new", clean_name(F.col("old"))).where("old <> new")
@@ -81,7 +82,10 @@ def j07(corpus):
     return named.select("piece_id", "track_id", "program", "family_number", "family_name", "program_name")
 
 
-@query("J08")
+@query(
+    "J08",
+    greedy_sql("SELECT '' AS block, artist AS name, md5 AS position FROM v_catalog", "SELECT block, processed, leader FROM taken"),
+)
 def j08(corpus):
     """Similar artist names; the leader relation of the fuzzy match."""
     names = corpus.catalog.groupBy("artist").agg(F.min("md5").alias("position"))

@@ -209,7 +209,7 @@ def p18(corpus):
     return corpus.documents.select("doc_id", tk.first_index_with(F.split("text", " "), "tion").alias("first_index"))
 
 
-def _clean_sql(c):
+def clean_sql(c):
     plain = (
         f"regexp_replace(regexp_replace(regexp_replace({c}, '[,_\\n]', '', 'g'), '\\([^)]*\\)', '', 'g'), "
         "'\\.\\p{Nd}+', '', 'g')"
@@ -218,7 +218,7 @@ def _clean_sql(c):
     return f"CASE WHEN regexp_matches({plain}, '^[A-Z]') THEN {spaced}[2:] ELSE {spaced} END"
 
 
-@query("P19", f"SELECT md5, {_clean_sql('artist')} AS artist, {_clean_sql('title')} AS title FROM v_catalog")
+@query("P19", f"SELECT md5, {clean_sql('artist')} AS artist, {clean_sql('title')} AS title FROM v_catalog")
 def p19(corpus):
     return corpus.catalog.select(
         "md5", nm.clean_name(F.col("artist")).alias("artist"), nm.clean_name(F.col("title")).alias("title")

@@ -152,6 +152,8 @@ def with_views(sql: str) -> str:
     if not found:
         return body
     ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in _ORDER if name in found)
+    if re.match(r"(?i)with\s+recursive\s", body):
+        return f"WITH RECURSIVE {ctes},\n{body.split(None, 2)[2]}"
     if re.match(r"(?i)with\s", body):
         return f"WITH {ctes},\n{body[4:].strip()}"
     return f"WITH {ctes}\n{body}"
