@@ -199,10 +199,24 @@ class _Chunks(dict):
         word = chunk.rstrip(MARKS)
         if word.isalpha():
             return self[word] + self.coder.mark(chunk[len(word) :])
-        line, _, rest = chunk.partition("\n")
-        if line and rest[:1].isalpha() and not line[-1].isspace():
-            return self[line] + self.coder.mark("\n") + self.coder.first[rest]
-        return self.coder.split_and_encode(self.lead + chunk)
+        pieces = self._at_line_breaks(chunk)
+        if len(pieces) == 1:
+            return self.coder.split_and_encode(self.lead + chunk)
+        out = [self[pieces[0]]]
+        for piece in pieces[1:]:
+            out += (self.coder.mark("\n"), self.coder.first[piece])
+        return b"".join(out)
+
+    @staticmethod
+    def _at_line_breaks(chunk: str) -> list[str]:
+        """The chunk cut at line breaks that are a piece of their own: after something other than white space, before a letter."""
+        pieces, held = [], []
+        for line in chunk.split("\n"):
+            if held and line[:1].isalpha() and held[-1] and not held[-1][-1].isspace():
+                pieces.append("\n".join(held))
+                held = []
+            held.append(line)
+        return [*pieces, "\n".join(held)]
 
 
 class TextEncoder:

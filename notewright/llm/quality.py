@@ -136,5 +136,6 @@ def keep(docs: DataFrame) -> DataFrame:
     """
     own = docs.columns
     found = limits(cut_lineage(shares(text_measures(docs.select("text", "lang", "source")).drop("text"))))
-    measured = judge(shares(text_measures(docs.withColumns({f"_own{i}": F.col(c) for i, c in enumerate(own)}))), found)
+    held = docs.select("text", "lang", "source", *[F.col(c).alias(f"_own{i}") for i, c in enumerate(own)])
+    measured = judge(shares(text_measures(held)), found)
     return measured.filter("kept").select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(own)])

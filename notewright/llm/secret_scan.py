@@ -24,18 +24,19 @@ NAMES = (*KINDS, "entropy")
 WINDOW = 20
 LIMITS = {"letters": 3.7, "hex": 2.9, "alnum": 3.5, "base64": 3.7}
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: A word with capitals where words have them, or a number; longer than any word: not one.
+#: A word with capitals where words have them, or a number; longer than any word: not one. Every repeated group is possessive: Java then
+#: loops over its repetitions, where it would else nest one call per repetition. Nothing is lost, as no shorter match of a part could go on.
 _NEXT = r"(?:[A-Z][a-z]{2,24}|As|At|By|Id|If|In|Is|Of|On|Or|To|Up)"
-_WORD = rf"(?:[A-Z]?[a-z]{{1,24}}{_NEXT}*|[A-Z]{{1,24}}|[0-9]+)"
+_WORD = rf"(?:[A-Z]?[a-z]{{1,24}}+{_NEXT}*+|[A-Z]{{1,24}}+|[0-9]++)"
 #: Words and numbers joined by separators.
-JOINED = rf"^{_WORD}?(?:[+/_=-]+{_WORD}?)+$"
+JOINED = rf"^{_WORD}?+(?:[+/_=-]++{_WORD}?+)++$"
 #: Candidates that are left alone: words and numbers joined by separators or by capitals, numbers, UUIDs, one character repeated.
 ALLOWED = (
     JOINED,
-    rf"^[A-Z]?[a-z]{{1,24}}{_NEXT}+$",
+    rf"^[A-Z]?[a-z]{{1,24}}+{_NEXT}++$",
     r"^[0-9]+$",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^(.)\1*$",
+    r"^(.)\1*+$",
 )
 #: Documented examples say so inside a part that is not a plain word; such a run is left alone.
 EXAMPLE = r"(?<![A-Za-z0-9])(?!(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]*(?![A-Za-z0-9]))[A-Za-z0-9]*(?i:example)"
@@ -64,10 +65,11 @@ def located(text: Column, pattern: str, group: int, keep, kind: int) -> Column:
 def entropy_run(value: Column, limit: Column) -> Column:
     """(first, last) code point of the windows of `value` at or above `limit` bits, end exclusive; null if there is none.
 
-    The state is one count per ASCII character and the sum of c * log2(c); a step adds the entering and takes the leaving one.
+    The state is one count per ASCII character and the sum of c * log2(c); a step adds the entering and takes the leaving one. The limit
+    is part of the state, so that it is found once and not per character.
     """
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    state = "struct<counts:array<int>,total:double,first:int,last:int>"
+    state = "struct<counts:array<int>,total:double,first:int,last:int,limit:double>"
 
     def weight(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
@@ -82,17 +84,20 @@ def entropy_run(value: Column, limit: Column) -> Column:
             acc["counts"],
             lambda c, k: c + F.when(k == enter, F.lit(1)).otherwise(F.lit(0)) - F.when(k == leave, F.lit(1)).otherwise(F.lit(0)),
         )
-        hot = (end >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - total / WINDOW >= limit)
+        hot = (end >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - total / WINDOW >= acc["limit"])
         first = F.when(acc["first"].isNull() & hot, end - WINDOW).otherwise(acc["first"])
         last = F.when(hot, end).otherwise(acc["last"])
-        return F.struct(counts.alias("counts"), total.alias("total"), first.alias("first"), last.alias("last")).cast(state)
+        new = [counts.alias("counts"), total.alias("total"), first.alias("first"), last.alias("last"), acc["limit"].alias("limit")]
+        return F.struct(*new).cast(state)
 
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(None).alias("first"), F.lit(None).alias("last")
-    ).cast(state)
-    steps = F.transform(
-        codes, lambda c, i: F.struct(c.alias("enter"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).alias("leave"), (i + 1).alias("end"))
-    )
+        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(None).alias("first"), F.lit(None).alias("last"),
+        limit.alias("limit"),
+    ).cast(state)
+    # Each code beside the one that it pushes out, and its end. Two arrays side by side: a look into `codes` would build it per character.
+    gone = F.slice(F.concat(F.array_repeat(F.lit(None).cast("int"), WINDOW), codes), F.lit(1), F.length(value))
+    beside = F.zip_with(codes, gone, lambda enter, leave: F.struct(enter.alias("enter"), leave.alias("leave")))
+    steps = F.transform(beside, lambda x, i: F.struct(x["enter"].alias("enter"), x["leave"].alias("leave"), (i + 1).alias("end")))
     return F.aggregate(steps, start, step, lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("a"), acc["last"].alias("b"))))
 
 
@@ -106,9 +111,10 @@ def class_limit(value: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` with _spans: array of (start, kind, end) by start, kind; null and empty texts have none.
+    """`docs` with _base and _spans: arrays of (start, kind, end), _spans by start, kind; null and empty texts have none.
 
-    A text's work is in its row: no shuffle. Input columns that start with an underscore are replaced.
+    A text's work is in its row: no shuffle. Candidates of any length are scanned whole. Of the input only the column text is read;
+    columns that start with an underscore are replaced, so callers pass their own columns under one other name.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(SPAN)
@@ -184,7 +190,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every span of `text` replaced by `mark`; overlapping spans become one mark. Null texts stay null."""
-    rows = find_secrets(docs)
+    rows = find_secrets(docs.select(F.struct("*").alias("row"), "text"))
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -197,7 +203,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
 
     cleaned = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return rows.withColumn("text", F.when(F.size("_spans") > 0, cleaned).otherwise(text)).drop("_base", "_spans")
+    clean = F.when(F.size("_spans") > 0, cleaned).otherwise(text)
+    return rows.select(*[clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

@@ -341,7 +341,15 @@ def join_documents(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each class, that of the least doc_id; same columns. Rows without an id stay, equal ones once."""
     own = docs.columns
+    gone_id, gone_text = (unused(own, name) for name in ("gone_id", "gone_text"))
     found = join_documents(docs.select("doc_id", "text"))
-    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text"))
-    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_gone")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
+    gone = found.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text))
+    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_text)), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]).select(*own)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

@@ -70,11 +70,7 @@ def swapped(words: set[str], groups: tuple[tuple[str, ...], ...] = GROUPS, copie
         return []
     out = []
     for step in range(1, copies + 1):
-        new = set(words)
-        for term in hit:
-            g, i = place[term]
-            new.discard(term)
-            new.add(groups[g][(i + step) % len(groups[g])])
+        new = (words - hit) | {groups[g][(i + step) % len(groups[g])] for g, i in (place[term] for term in hit)}
         if new != words and new not in out:
             out.append(new)
     return out

@@ -188,6 +188,49 @@ def test_secrets_beside_base_spans_words_and_without_digits(spark):
             assert set(range(at, at + len(wanted))) <= covered, value
 
 
+def test_long_candidates(spark):
+    """Texts whose parts repeat a hundred thousand times, once each as the whole text and within words."""
+    left_alone = ["ab-" * 100_000, "Abcd" * 100_000, "Ab" + "Abcd" * 30_000, "a/B_" * 50_000, "=" * 100_000, "7" * 100_000, "-" * 100_000 + "a1"]
+    scanned = ["qZ8x" * 20_000 + "QwZrTxKvBnMpLsDfGhJy48cEaIoRt"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*left_alone, *[f"see {t} here" for t in left_alone], *scanned])]
+    found = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(found) == len(rows)
+    assert [found[i].spans for i in range(2 * len(left_alone)) if "entropy" in found[i].spans] == []
+    assert "entropy" in found[2 * len(left_alone)].spans
+    assert secret_scan.redact_documents(spark.createDataFrame(rows[:3], DOCS)).count() == 3
+
+
+def joined_words(value):
+    """The allow-list's rule for joined words, part by part."""
+    following = r"(?:[A-Z][a-z]{2,24}|As|At|By|Id|If|In|Is|Of|On|Or|To|Up)"
+    word = re.compile(rf"(?:[A-Z]?[a-z]{{1,24}}{following}*|[A-Z]{{1,24}}|[0-9]+)")
+    parts = re.split(r"[+/_=-]+", value)
+    return len(parts) > 1 and all(not p or word.fullmatch(p) for p in parts)
+
+
+def test_joined_words_are_those_of_the_rule(spark):
+    rng = random.Random(8)
+    bits = ["ab", "Abc", "As", "A", "AB", "12", "-", "_", "/", "a" * 24, "b" * 25, "OrTo", "xIs", "Q"]
+    values = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(800)]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    for value, known in rows.select("v", F.regexp_like("v", F.lit(secret_scan.JOINED))).collect():
+        assert known == joined_words(value), value
+
+
+INTERNAL = "_base _spans _cand _value _run row gone_id GONE_TEXT _gone _text _lang _source max_word_length mid_symbol_share n_words kept _w _own0 score".split()
+
+
+@pytest.mark.parametrize("stage", [secret_scan.redact_documents, set_join.one_of_each, quality.keep])
+def test_columns_with_internal_names(spark, stage):
+    text = "password=abcdef123456 " + " ".join(f"word{k}" for k in range(80))
+    rows = [(i, text, "en", "s", 1, *[f"{c}{i}" for c in INTERNAL]) for i in range(2)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {c} string" for c in INTERNAL))
+    found = stage(docs)
+    assert found.columns == docs.columns
+    for r in found.collect():
+        assert [r[c] for c in INTERNAL] == [f"{c}{r.doc_id}" for c in INTERNAL]
+
+
 def test_redaction(spark, odd):
     rows = [(1, 'é token = "abcdef123456" and deadbeefdeadbeefdeadbeef, token: 0123456789abcdef0123456789', "en", "s", 0), (2, "plain", "en", "s", 5)]
     found = {r.doc_id: r for r in secret_scan.redact_documents(spark.createDataFrame(rows, DOCS)).collect()}

@@ -130,6 +130,13 @@ def test_long_pieces_take_linear_time(coder):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_many_lines(coder):
+    library = Tokenizer.from_file(PATH)
+    texts = ["word\n" * 100_000, "two words\n" * 50_000, "a\n\nb \nc.\nd" * 20_000, "x\n" * 5000 + "é", "\n" * 3000, "1\na\r\nb\n'\nz" * 500, " a\nb\n c\n"]
+    for text in texts:
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:20]
+
+
 def test_odd_encodings(odd, none, coder):
     found = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(odd, PATH).collect())
     wanted = Counter()
@@ -262,6 +269,10 @@ def test_group_terms_carry_no_weight(spark, monkeypatch):
 def test_swaps():
     assert toxicity.swapped({"a", "b"}) == []
     assert {"a", "men"} in toxicity.swapped({"a", "women"})
+    # Terms of one group keep their number and are all replaced.
+    assert toxicity.swapped({"black", "white"}, copies=1) == [{"white", "asian"}]
+    for copy in toxicity.swapped({"x", "women", "men", "muslim"}):
+        assert len(copy) == 4 and "x" in copy and "muslim" not in copy
 
 
 def test_odd_toxicity(odd, none, spark):
