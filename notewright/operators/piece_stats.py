@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions.instruments import family_name, family_number, program_name
 from notewright.schemas import STATISTICS_FIELDS
+from notewright.sources.quarantine import note_error
 
 ONSET_CHUNK_SECONDS = 256.0
 
@@ -228,6 +229,20 @@ def piece_statistics(corpus, drums_as_family: bool = False) -> DataFrame:
     )
 
 
+def folder_statistics(corpus, **limits) -> tuple[DataFrame, DataFrame]:
+    """(statistics of the readable files, log with md5 and error of the others).
+
+    A file fails as a whole if one of its notes cannot be used; ``limits`` are those of ``note_error``. Reasons are reduced on the map
+    side to one row per file, so a file with a third of all notes is no single task's work.
+    """
+    reason = note_error(**limits)
+    failed = corpus.notes.select("piece_id", reason.alias("reason")).groupBy("piece_id").agg(F.min("reason").alias("reason"))
+    failed = failed.where("reason IS NOT NULL")
+    name = F.col("piece_id").cast("string")
+    log = failed.select(name.alias("md5"), F.concat(F.lit("invalidfile: "), name, F.lit(": "), F.col("reason")).alias("error"))
+    return piece_statistics(corpus).join(failed, "piece_id", "left_anti"), log
+
+
 # --- fixed values: the column names and order of the statistics file ---
 STATISTICS_COLUMNS = list(STATISTICS_FIELDS)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERCENTILE_BINS = 1024
+PERCENTILE_BINS = 128
+SKETCH_ACCURACY = 20_000
 
 
 def counts(rows: DataFrame, *keys: str) -> DataFrame:
@@ -25,22 +26,26 @@ def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
 def exact_percentiles(rows: DataFrame, group: str, value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles per group, one column per fraction.
 
-    Equal values are counted first, then ordered inside value bins whose totals give the ranks before each bin, so no
-    group is sorted or held in one task.
+    Equal values are counted first. A mergeable sketch of a group's distinct values gives splitters, so that bins hold like numbers of
+    rows however the values are spread. The bins' totals tell which bins hold the wanted ranks, and only rows of these are ordered,
+    inside their bin: no group is sorted or held in one task.
     """
     x = F.col(value).cast("double")
     distinct = rows.where(x.isNotNull()).groupBy(group, x.alias("x")).agg(F.count("*").alias("n"))
-    spread = distinct.groupBy(group).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
-    share = F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo"))
-    index = F.least(F.lit(PERCENTILE_BINS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * PERCENTILE_BINS))
-    binned = distinct.join(spread, group).withColumn("bin", index)
-    sizes = binned.groupBy(group, "bin").agg(F.sum("n").alias("size"))
+    shares = [k / PERCENTILE_BINS for k in range(1, PERCENTILE_BINS)]
+    splitters = F.percentile_approx("x", shares, SKETCH_ACCURACY).alias("splitters")
+    spread = distinct.groupBy(group).agg(F.sum("n").alias("total"), splitters)
+    binned = distinct.join(spread, group).withColumn("bin", F.size(F.filter("splitters", lambda s: s < F.col("x")))).drop("splitters")
+    sizes = binned.groupBy(group, "bin").agg(F.sum("n").alias("size"), F.max("total").alias("all"))
     earlier = Window.partitionBy(group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(group, "bin", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    places = [(F.col("all") - 1) * F.lit(float(f)) for f in fractions.values()]
+    ranks = F.array(*[rank(place) for place in places for rank in (F.floor, F.ceil)])
+    wanted = F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))
     inside = Window.partitionBy(group, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        binned.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(before, [group, "bin"])
+        binned.join(before.where(wanted).select(group, "bin", "before"), [group, "bin"])
+        .withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .withColumn("first", F.col("before") + F.col("within"))
     )
 
@@ -56,6 +61,14 @@ def exact_percentiles(rows: DataFrame, group: str, value: str, fractions: dict[s
     return ranked.groupBy(group).agg(*columns)
 
 
+def medians_of(rows: DataFrame, group: str, values: list[str]) -> DataFrame:
+    """(statistic, group, median) of several columns from one read of the rows, largest first within a statistic."""
+    cells = F.array(*[F.struct(F.lit(v).alias("statistic"), F.col(v).cast("double").alias("value")) for v in values])
+    stacked = rows.select(group, F.explode(cells).alias("cell")).select(F.struct(F.col("cell.statistic"), group).alias("key"), "cell.value")
+    found = exact_percentiles(stacked.where(F.col(f"key.{group}").isNotNull()), "key", "value", {"median": 0.5})
+    return found.select("key.*", "median").orderBy("statistic", F.desc("median"), group)
+
+
 def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Median per group, largest first."""
     return exact_percentiles(rows, group, value, {"median": 0.5}).orderBy(F.desc("median"), group)

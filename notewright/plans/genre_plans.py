@@ -23,19 +23,26 @@ _NUMBERS = (
 ).split()
 
 
-def labelled_statistics(corpus):
-    """The statistics table with a label that depends on the first track's program, which every piece has."""
+def first_program_label(corpus):
+    """(md5, genre): a label that depends on the first track's program, which every piece has."""
     first = corpus.tracks.groupBy("piece_id").agg(F.min_by("program", "track_id").alias("program"))
-    label = first.select("piece_id", F.concat(F.lit("g"), (F.col("program") % 4).cast("string")).alias("genre"))
-    return ps.piece_statistics(corpus).join(label, "piece_id")
+    return first.select(F.col("piece_id").cast("string").alias("md5"), F.concat(F.lit("g"), (F.col("program") % 4).cast("string")).alias("genre"))
+
+
+def labelled_statistics(corpus):
+    """The statistics table with the label."""
+    return ps.piece_statistics(corpus).join(first_program_label(corpus), "md5")
+
 
+LABELLED = f"""
+    SELECT w.*, g.genre FROM ({_WHOLE}) w JOIN (
+        SELECT CAST(piece_id AS VARCHAR) AS md5, 'g' || CAST(arg_min(program, track_id) % 4 AS VARCHAR) AS genre
+        FROM v_tracks GROUP BY piece_id) g USING (md5)"""
 
 _FIT = f"""
     SELECT md5, {", ".join(f"round(coalesce(CAST({c} AS DOUBLE), avg(CASE WHEN NOT is_test THEN {c} END) OVER (), 0), 6) AS {c}" for c in _NUMBERS)},
            CASE WHEN lyrics_bool THEN 'true' ELSE 'false' END AS lyrics_bool, genre, is_test
-    FROM (SELECT w.*, g.genre, md5('42:' || md5) < '1999999a' AS is_test FROM ({_WHOLE}) w
-          JOIN (SELECT CAST(piece_id AS VARCHAR) AS md5, 'g' || CAST(arg_min(program, track_id) % 4 AS VARCHAR) AS genre
-                FROM v_tracks GROUP BY piece_id) g USING (md5))"""
+    FROM (SELECT *, md5('42:' || md5) < '1999999a' AS is_test FROM ({LABELLED}))"""
 
 
 def _prepared(corpus):

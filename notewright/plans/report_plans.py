@@ -10,7 +10,9 @@ from notewright.operators import joins as jn
 from notewright.operators import piece_stats as ps
 from notewright.operators import reports as rp
 from notewright.operators import windows as wn
+from notewright.plans.genre_plans import LABELLED, first_program_label
 from notewright.plans.registry import query
+from notewright.plans.statistics_plans import statistics_report
 from notewright.plans.scalar_plans import _TO_FAMILY
 from notewright.plans.window_plans import _FAMILY_COUNTS, family_counts, top_families
 
@@ -72,21 +74,17 @@ def r04(corpus):
     return rp.box_plot(corpus.catalog, "genre", "n_instruments")
 
 
-_MEDIAN_OF = ["n_instruments", "number_of_notes_per_second", "n_time_signature_changes"]
+_MEDIAN_OF = ["n_instruments", "n_unique_notes", "average_note_duration", "range_of_note_pitches", "number_of_notes_per_second"]
 
 
 @query(
     "R05",
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS statistic, genre, round(median(CAST({c} AS DOUBLE)), 6) AS median FROM v_catalog GROUP BY genre"
-        for c in _MEDIAN_OF
-    ),
+    f"WITH w AS MATERIALIZED ({LABELLED}) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS statistic, genre, round(median(CAST({c} AS DOUBLE)), 6) AS median FROM w GROUP BY genre" for c in _MEDIAN_OF),
 )
 def r05(corpus):
-    rows = corpus.catalog
-    parts = [rp.medians(rows, "genre", c).withColumn("statistic", F.lit(c)) for c in _MEDIAN_OF]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return whole.withColumn("median", F.round("median", 6)).orderBy("statistic", F.desc("median"), "genre")
+    rows = statistics_report(corpus).join(first_program_label(corpus), "md5")
+    return rp.medians_of(rows, "genre", _MEDIAN_OF).withColumn("median", F.round("median", 6))
 
 
 @query("R06", f"WITH {_FAMILY_COUNTS} SELECT genre, family_name, n FROM f")

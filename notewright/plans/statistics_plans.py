@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from notewright.operators import piece_stats as ps
 from notewright.plans.registry import query
-from notewright.sources.quarantine import split_good_and_errors
 
 ROUNDED = 6
 
@@ -240,13 +239,18 @@ _ROUNDED_COLUMNS = {c for c in ps.STATISTICS_COLUMNS if c.startswith("average_")
 _LIST_COLUMNS = {"instrument_names", "instrument_families", "all_time_signatures"}
 
 
-def statistics_report(corpus):
-    """The whole table with lists joined and averages rounded, ready for a flat file."""
+def report_columns():
+    """Lists joined and averages rounded, ready for a flat file."""
     shown = []
     for c in ps.STATISTICS_COLUMNS:
         column = F.array_join(c, ", ") if c in _LIST_COLUMNS else F.round(c, 6) if c in _ROUNDED_COLUMNS else F.col(c)
         shown.append(column.alias(c))
-    return ps.piece_statistics(corpus).select(*shown)
+    return shown
+
+
+def statistics_report(corpus):
+    """The whole table."""
+    return ps.piece_statistics(corpus).select(*report_columns())
 
 
 @query("A36", _WHOLE)
@@ -254,28 +258,24 @@ def a36(corpus):
     return statistics_report(corpus)
 
 
+# End of the latest note that a sound piece may have; some pieces of every size have a later one.
+_LATEST = 518
+
+
 @query(
     "A37",
-    """
-    WITH rows AS (SELECT *, CASE WHEN end_u <= start_u THEN 'empty note'
-                                 WHEN pitch NOT BETWEEN 21 AND 108 THEN 'pitch out of range' END AS error FROM v_notes),
-    bad AS (SELECT piece_id, track_id, min(error) AS error FROM rows WHERE error IS NOT NULL GROUP BY ALL)
-    SELECT piece_id, track_id, count(*) AS n_notes, 0::BIGINT AS n_errors, NULL::VARCHAR AS reason
-    FROM rows WHERE error IS NULL GROUP BY ALL
-    UNION ALL
-    SELECT piece_id, track_id, 0::BIGINT, count(*), error FROM rows WHERE error IS NOT NULL GROUP BY piece_id, track_id, error
-    """,
+    f"""
+    WITH w AS ({_WHOLE}),
+    bad AS (SELECT CAST(piece_id AS VARCHAR) AS md5, 'invalidfile: ' || piece_id || ': ends beyond the piece limit' AS error
+            FROM v_notes WHERE end_u > {_LATEST} GROUP BY piece_id)
+    SELECT w.*, NULL::VARCHAR AS error FROM w WHERE md5 NOT IN (SELECT md5 FROM bad)
+    UNION ALL BY NAME SELECT md5, error FROM bad""",
 )
 def a37(corpus):
-    """Rows of readable input and the log of rejected input, with the reason."""
-    good, errors = split_good_and_errors(corpus.notes, lowest=21, highest=108)
-    counted = good.groupBy("piece_id", "track_id").agg(F.count("*").alias("n_notes")).select(
-        "piece_id", "track_id", "n_notes", F.lit(0).cast("long").alias("n_errors"), F.lit(None).cast("string").alias("reason")
-    )
-    log = errors.groupBy("piece_id", "track_id", "reason").agg(F.count("*").alias("n_errors")).select(
-        "piece_id", "track_id", F.lit(0).cast("long").alias("n_notes"), "n_errors", "reason"
-    )
-    return counted.unionByName(log)
+    """The statistics row of every readable file, and for each other file its entry of the error log."""
+    readable, log = ps.folder_statistics(corpus, latest_u=_LATEST)
+    rows = readable.select(*report_columns()).unionByName(log, allowMissingColumns=True)
+    return rows.orderBy("md5")
 
 
 @query("A38", "SELECT piece_id, greatest(0.0::DOUBLE, max(end_s)) AS max_time FROM v_notes GROUP BY piece_id")

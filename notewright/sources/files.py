@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.operators.windows import nth_row
@@ -29,6 +29,22 @@ def first_files(spark: SparkSession, folder: str, n: int = 1000, glob: str = "*.
     return list_files(spark, folder, glob).orderBy("path").limit(n)
 
 
+def rows_per_file(
+    spark: SparkSession, folder: str, glob: str = "*.parquet", recursive: bool = False, first: int | None = None
+) -> DataFrame:
+    """(path, n_rows) of Parquet files of any schemas, or of the ``first`` ones by path.
+
+    One plan for all files: they are read under a schema that none of them has, so that no column is decoded, and counted by their
+    path. Files without rows have a count of 0.
+    """
+    listed = raw_files(spark, folder, glob, recursive).select("path", F.col("_metadata.file_path").alias("uri"))
+    if first is not None:
+        listed = listed.orderBy("path").limit(first)
+    read = spark.read.schema("`no such column` int").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
+    held = read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("uri")).agg(F.count("*").alias("n"))
+    return listed.join(held, "uri", "left").select("path", F.coalesce("n", F.lit(0)).alias("n_rows"))
+
+
 def ingest(files: DataFrame, parser: Callable[[str, bytes], Iterable[dict]], batch_rows: int = 10_000) -> DataFrame:
     """Note rows of raw files (path, content).
 
@@ -73,10 +89,37 @@ def parse_note_lines(path: str, content: bytes):
         }
 
 
+NOTE_LINE = ("track_id", "program", "pitch", "velocity", "start_u", "end_u")
+
+
+def write_note_lines(notes: DataFrame, folder: str, extra: Column | None = None) -> None:
+    """One folder per piece, its notes as lines of the stand-in format; a non-null ``extra`` is a further line beside a note's own."""
+    line = F.concat_ws(" ", *[F.col(c).cast("string") for c in NOTE_LINE])
+    lines = F.array(line) if extra is None else F.array_compact(F.array(line, extra))
+    rows = notes.select(F.col("piece_id").cast("string").alias("piece"), F.explode(lines).alias("value"))
+    rows.repartition("piece").write.partitionBy("piece").text(folder)
+
+
+def read_note_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Note rows (piece_id, NOTE_LINE, error) of files in the stand-in format, through Spark's text reader.
+
+    A row is a line, so no cell holds a track and a large file is split as Spark sees fit. A file with a line that cannot be read fails as
+    a whole: it gives one row with ``error``, the first such line by text. Blank lines are skipped.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).where("trim(value) <> ''")
+    parts = F.split(F.trim("value"), r"\s+")
+    piece = F.regexp_extract(F.col("_metadata.file_path"), r"piece=([^/]+)/", 1).alias("piece_id")
+    numbers = [F.get(parts, i).try_cast("int").alias(c) for i, c in enumerate(NOTE_LINE)]
+    rows = lines.select(piece, "value", F.size(parts).alias("size"), *numbers)
+    complete = F.col("size") == len(NOTE_LINE)
+    for c in NOTE_LINE:
+        complete = complete & F.col(c).isNotNull()
+    failed = rows.where(~complete).groupBy("piece_id").agg(F.concat(F.lit("malformed line: "), F.min("value")).alias("error"))
+    good = rows.where(complete).select("piece_id", *NOTE_LINE).join(failed, "piece_id", "left_anti")
+    return good.unionByName(failed, allowMissingColumns=True)
+
+
 def sample_line(rows: DataFrame, key: str, n: int, target: str) -> DataFrame:
     """Row ``n`` (0-based) by key, without the target column."""
     return nth_row(rows, key, n).drop(target)
 
-
-def file_stem_column(files: DataFrame) -> DataFrame:
-    return files.withColumn("md5", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))

@@ -89,6 +89,43 @@ def test_percentiles_are_exact(spark):
             assert got[g][name] == pytest.approx(np.percentile(mine, f))
 
 
+def test_percentiles_of_a_heavy_tail(spark, monkeypatch):
+    """No bin of the splitters holds more than twice its share of the distinct values, and the result stays exact."""
+    rows = spark.range(20_000).select(F.lit("a").alias("g"), F.exp((F.col("id") * 7919 % 20_000) / 700.0).alias("v"))
+    values = np.array([r["v"] for r in rows.collect()])
+    got = rp.exact_percentiles(rows, "g", "v", {"low": 0.1, "mid": 0.5, "high": 0.999}).first()
+    for name, f in (("low", 10), ("mid", 50), ("high", 99.9)):
+        assert got[name] == pytest.approx(np.percentile(values, f))
+    shares = [k / rp.PERCENTILE_BINS for k in range(1, rp.PERCENTILE_BINS)]
+    splitters = rows.agg(F.percentile_approx("v", shares, rp.SKETCH_ACCURACY).alias("s")).first()["s"]
+    sizes = np.bincount(np.searchsorted(splitters, values, "left"), minlength=rp.PERCENTILE_BINS)
+    assert sizes.max() <= 2 * len(values) / rp.PERCENTILE_BINS
+
+
+def test_medians_of_several_columns(spark):
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 3, None), ("b", 5, 1.0), (None, 9, 9.0)], "g STRING, x INT, y DOUBLE")
+    got = [tuple(r) for r in rp.medians_of(rows, "g", ["x", "y"]).collect()]
+    assert got == [("x", "b", 5.0), ("x", "a", 2.0), ("y", "a", 2.0), ("y", "b", 1.0)]
+
+
+def test_folder_statistics(corpus):
+    readable, log = ps.folder_statistics(corpus, latest_u=518)
+    pieces = {r["piece_id"] for r in corpus.pieces.collect()}
+    late = {r["piece_id"] for r in corpus.notes.where("end_u > 518").select("piece_id").distinct().collect()}
+    assert 0 < len(late) < len(pieces)
+    assert {r["piece_id"] for r in readable.select("piece_id").collect()} == pieces - late
+    assert {r["error"] for r in log.collect()} == {f"invalidfile: {p}: ends beyond the piece limit" for p in late}
+
+
+def test_rows_of_files_with_different_schemas(spark):
+    root = fresh_path(spark, "tables")
+    for i, df in enumerate([spark.range(7), spark.range(0), spark.createDataFrame([("x", 1.0)], "a STRING, b DOUBLE")]):
+        df.coalesce(1).write.parquet(f"{root}/t{i}")
+    counted = {r["path"].split("/")[-2]: r["n_rows"] for r in fl.rows_per_file(spark, root, recursive=True).collect()}
+    assert counted == {"t0": 7, "t1": 0, "t2": 1}
+    assert [r["n_rows"] for r in fl.rows_per_file(spark, root, recursive=True, first=1).collect()] == [7]
+
+
 def test_scalar_edges(spark):
     row = spark.range(1).select(
         inst.family_number(F.lit(128)).alias("out"), inst.program_name(F.lit(-1)).alias("below"),
@@ -159,6 +196,16 @@ def test_unreadable_file_is_logged(spark):
     assert rows["/x/2-1.notes"]["error"].startswith("ValueError")
 
 
+def test_note_lines(spark):
+    path = fresh_path(spark, "notes")
+    rows = [(p, t, 5, 60 + k, 64, k, k + 4) for p in (1, 2) for t in (1, 2) for k in range(3)]
+    notes = spark.createDataFrame(rows, "piece_id LONG, track_id INT, program INT, pitch INT, velocity INT, start_u INT, end_u INT")
+    fl.write_note_lines(notes, path, F.when((F.col("piece_id") == 2) & (F.col("track_id") == 1) & (F.col("start_u") == 1), "60 x"))
+    found = sorted((tuple(r) for r in fl.read_note_lines(spark, path).collect()), key=str)
+    wanted = [(str(r[0]), *r[1:], None) for r in rows if r[0] != 2] + [("2", *[None] * 6, "malformed line: 60 x")]
+    assert found == sorted(wanted, key=str)
+
+
 def test_lines_until_blank(spark):
     files = spark.createDataFrame([("f", "a\nb\n\nc"), ("g", "x")], "file STRING, text STRING")
     assert sorted(r["text"] for r in tx.lines_until_blank(files, "file").collect()) == ["a", "b", "x"]
