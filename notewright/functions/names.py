@@ -22,15 +22,15 @@ def file_stem(path: Column) -> Column:
 
 
 def first_artist(title_artist: Column) -> Column:
-    entry = title_artist[0]
+    entry = F.get(title_artist, 0)
     return F.when(F.size(entry) >= 2, F.get(entry, 1)).otherwise(F.get(entry, 0))
 
 
 def first_title(title_artist: Column) -> Column:
-    entry = title_artist[0]
+    entry = F.get(title_artist, 0)
     return F.when(F.size(entry) >= 2, F.get(entry, 0)).otherwise("unknown")
 
 
 def stringified_list(text: Column) -> Column:
     """Inner list of a printed ``[['a', 'b']]``."""
-    return F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<array<string>>")[0]
+    return F.get(F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<array<string>>"), 0)

@@ -126,6 +126,37 @@ def test_rows_of_files_with_different_schemas(spark):
     assert [r["n_rows"] for r in fl.rows_per_file(spark, root, recursive=True, first=1).collect()] == [7]
 
 
+def test_forest_learns_separable_labels(spark):
+    """On labels that two features decide, the held-out part is told apart, far better than by the most frequent label."""
+    rows = spark.range(1200).select(F.col("id").cast("string").alias("md5"), *[F.rand(i).alias(c) for i, c in enumerate(gm.FEATURES)])
+    low, late = F.col("average_note_pitch") < 0.4, F.col("tempo_estimate") < 0.5
+    genre = F.when(low, "slow").when(late, "rock").otherwise("jazz")
+    rows = rows.withColumns({"genre": genre, "lyrics_bool": F.col("n_notes") < 0.5})
+    rows = gm.prepare(spark.createDataFrame(rows.collect(), rows.schema))
+    rows = gm.imputed(rows, gm.means(rows.where(~F.col("is_test"))))
+    model, _ = gm.fit(rows.where(~F.col("is_test")))
+    held_out = gm.predict(model, rows.where("is_test"))
+    report = {r["class"]: r for r in gm.class_report(held_out, "genre", "predicted_genre").collect()}
+    n = sum(r["support"] for r in report.values())
+    assert n > 80 and set(report) == {"slow", "rock", "jazz"}
+    accuracy, majority = report["slow"]["accuracy"], max(r["support"] for r in report.values()) / n
+    assert accuracy > 0.85 and accuracy > majority + 0.3
+    assert all(r["precision"] > 0.7 and r["recall"] > 0.7 for r in report.values())
+    path = fresh_path(spark, "forest")
+    gm.save(model, path)
+    again = {r["md5"]: r["probability"] for r in gm.predict(gm.load(path), rows.where("is_test")).collect()}
+    for r in held_out.collect():
+        assert np.allclose(r["probability"].toArray(), again[r["md5"]].toArray(), atol=1e-12, rtol=0)
+
+
+def test_names_of_empty_lists(spark):
+    rows = spark.createDataFrame([([],), ([[]],), ([["t", "a"]],), (None,)], "e ARRAY<ARRAY<STRING>>")
+    got = [tuple(r) for r in rows.select(nm.first_artist(F.col("e")), nm.first_title(F.col("e"))).collect()]
+    assert got == [(None, "unknown"), (None, "unknown"), ("a", "t"), (None, "unknown")]
+    text = spark.createDataFrame([("[]",), ("[['x']]",)], "t STRING")
+    assert [r[0] for r in text.select(nm.stringified_list(F.col("t"))).collect()] == [None, ["x"]]
+
+
 def test_scalar_edges(spark):
     row = spark.range(1).select(
         inst.family_number(F.lit(128)).alias("out"), inst.program_name(F.lit(-1)).alias("below"),
