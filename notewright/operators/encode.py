@@ -10,7 +10,7 @@ before the piece, missing values) are left out everywhere here; ``encode_with_er
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewright.constants import BARS_PER_SECTION, BEATS_PER_BAR, HIGHEST_PITCH, LOWEST_PITCH, UNITS_PER_BAR, UNITS_PER_DELTA
@@ -56,8 +56,11 @@ def _pitch_of(event: Column) -> Column:
     return event.bitwiseAND(F.lit((1 << _PITCH_BITS) - 1))
 
 
-def packed_sections(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
-    """(piece_id, track_id, section, n_bars, events): every section of a track, its events packed and sorted."""
+def section_runs(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
+    """(piece_id, track_id, section, n_sections, n_bars, events): sections with events, and one row per run of empty ones.
+
+    A late note costs the row of the run before it, however long that is. Runs are found on the keys alone, without the events.
+    """
     notes, _ = split_good_and_errors(notes)
     events = note_events(notes).select(
         "piece_id", "track_id", F.floor(F.col("bar") / n_bar).alias("section"), _packed(n_bar).alias("event"), "bar"
@@ -67,21 +70,37 @@ def packed_sections(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFram
     filled = events.select(*keys, "event").repartition(*keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list("event")).alias("events")
     )
-    spans = notes.groupBy("piece_id", "track_id").agg(
-        F.greatest(F.max("start_u"), F.max("end_u") - 1).alias("latest")
+    track = ["piece_id", "track_id"]
+    last_bars = events.groupBy(*keys).agg(F.max("bar").alias("last_bar"))
+    in_order = Window.partitionBy(*track).orderBy("section")
+    gap = F.coalesce(F.lag("section").over(in_order), F.lit(-1).cast("long")) + 1
+    # Only the last section of a track ends with its last event.
+    bars = F.when(F.lead("section").over(in_order).isNull(), F.col("last_bar") + 1 - F.col("section") * n_bar).otherwise(F.lit(n_bar))
+    own = F.struct("section", F.lit(1).cast("long").alias("n_sections"), F.col("n_bars"))
+    empty = F.struct(
+        F.col("gap").alias("section"), (F.col("section") - F.col("gap")).alias("n_sections"), F.lit(n_bar).alias("n_bars")
     )
-    last_bar = F.floor(F.col("latest") / UNITS_PER_BAR)
-    sections = spans.select(
-        "piece_id", "track_id", last_bar.alias("last_bar"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last_bar / n_bar))).alias("section"),
+    runs = last_bars.select(*track, "section", gap.alias("gap"), bars.cast("int").alias("n_bars")).select(
+        *track, F.inline(F.when(F.col("gap") < F.col("section"), F.array(empty, own)).otherwise(F.array(own)))
     )
-    n_bars = F.least(F.lit(n_bar), F.col("last_bar") + 1 - F.col("section") * n_bar).cast("int")
     # A merge join keeps the packed events where they were grouped; broadcasting them would leave the text to few tasks.
-    return sections.join(filled.hint("merge"), keys, "left").select(
-        *keys, n_bars.alias("n_bars"), F.coalesce("events", F.array().cast("array<int>")).alias("events")
+    return runs.join(filled.hint("merge"), keys, "left").select(
+        *keys, "n_sections", "n_bars", F.coalesce("events", F.array().cast("array<int>")).alias("events")
     )
 
 
+def expanded(runs: DataFrame) -> DataFrame:
+    """One row per section in place of one per run."""
+    sections = F.sequence(F.col("section"), F.col("section") + F.col("n_sections") - 1)
+    rest = [c for c in runs.columns if c not in ("piece_id", "track_id", "section", "n_sections")]
+    return runs.select("piece_id", "track_id", F.explode(sections).alias("section"), *rest)
+
+
+def packed_sections(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
+    """(piece_id, track_id, section, n_bars, events): every section of a track, its events packed and sorted."""
+    return expanded(section_runs(notes, n_bar))
+
+
 def section_events(notes: DataFrame, n_bar: int = BARS_PER_SECTION) -> DataFrame:
     """(piece_id, track_id, section, n_bars, bars): per section one sorted event array per bar, empty bars included."""
     bars = F.transform(
@@ -140,24 +159,25 @@ def bars_text(events: Column, n_bars: Column, n_bar: int) -> Column:
 def section_text(
     notes: DataFrame, tracks: DataFrame, n_bar: int = BARS_PER_SECTION, familize: bool = False
 ) -> DataFrame:
-    """(piece_id, track_id, section, n_bars, density, text), one row per section of a track."""
-    sections = packed_sections(notes, n_bar)
+    """(piece_id, track_id, section, n_bars, density, text), one row per section of a track; a run of empty ones is written once."""
+    runs = section_runs(notes, n_bar)
     labels = tracks.select(
         "piece_id", "track_id", instrument_label(F.col("program"), F.col("is_drum"), familize).alias("instrument")
     )
     body = bars_text(F.col("events"), F.col("n_bars"), n_bar)
-    return (
-        sections.withColumn("densities", bar_densities_of(F.col("events"), F.col("n_bars")))
+    written = (
+        runs.withColumn("densities", bar_densities_of(F.col("events"), F.col("n_bars")))
         .withColumn("density", lowest_mode(F.col("densities")))
         .join(labels, ["piece_id", "track_id"])
         .select(
-            "piece_id", "track_id", "section", "n_bars", "density",
+            "piece_id", "track_id", "section", "n_sections", "n_bars", "density",
             F.concat(
                 F.lit("TRACK_START INST="), F.col("instrument"), F.lit(" DENSITY="), F.col("density").cast("string"),
                 F.lit(" "), body, F.lit("TRACK_END "),
             ).alias("text"),
         )
     )
+    return expanded(written)
 
 
 def _in_order(keys: list[str]) -> Column:

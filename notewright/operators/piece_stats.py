@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions.instruments import family_name, family_number, program_name
 from notewright.schemas import STATISTICS_FIELDS
-from notewright.sources.quarantine import note_error
+from notewright.sources.quarantine import note_error, split_playable
 
 ONSET_CHUNK_SECONDS = 256.0
 
@@ -35,7 +35,11 @@ def _bits(*masks: str) -> Column:
 
 
 def track_level(notes: DataFrame, tracks: DataFrame) -> DataFrame:
-    """One row per track with masks and sums; tracks without notes stay, with zero counts."""
+    """One row per track with masks and sums; tracks without notes stay, with zero counts.
+
+    Only playable notes count, in every column alike; ``split_playable`` returns the others.
+    """
+    notes, _ = split_playable(notes)
     pitch, length = F.col("pitch"), F.col("end") - F.col("start")
     per_track = notes.groupBy("piece_id", "track_id").agg(
         F.count("*").alias("n_notes"),
@@ -207,8 +211,8 @@ def tempo_estimate(notes: DataFrame) -> DataFrame:
 
 
 def piece_statistics(corpus, drums_as_family: bool = False) -> DataFrame:
-    """The whole statistics table, one row per piece."""
-    notes = corpus.timed_notes
+    """The whole statistics table, one row per piece, from its playable notes."""
+    notes, _ = split_playable(corpus.timed_notes)
     joined = corpus.pieces.select("piece_id")
     parts = [
         note_statistics(notes, corpus.tracks, drums_as_family),

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from notewright.constants import BARS_PER_SECTION, DEFAULT_PROMPT_WORDS
 from notewright.functions.tokens import words
 
+#: Words whose verdicts are broadcast.
+FREQUENT = 1000
+
 
 def strip_track_end(text: Column) -> Column:
     return F.regexp_replace(text, r"TRACK_END\s*$", "")
@@ -121,10 +124,19 @@ def repeated_words(texts: DataFrame, key: str) -> DataFrame:
 def unknown_words(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     """Words outside the vocabulary (and [UNK]) with position and context.
 
-    The distinct words of a text are checked by an anti-join; only texts with unknown words are read again.
+    The distinct words of a text are checked; only texts with unknown words are read again. The FREQUENT words of most texts are judged
+    once and their verdicts broadcast; any other word is in at most one FREQUENT-th of all pairs of text and word, so no key of the
+    anti-join that judges the others is larger.
     """
     distinct = texts.select(key, F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    missing = distinct.join(vocabulary.where("word <> '[UNK]'").select("word"), "word", "left_anti")
+    known = vocabulary.where("word <> '[UNK]'").select("word")
+    counts = distinct.groupBy("word").agg(F.count("*").alias("n"))
+    frequent = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
+    judged = frequent.join(known.select("word", F.lit(True).alias("is_known")), "word", "left")
+    judged = judged.select(F.col("word").alias("_frequent"), F.coalesce("is_known", F.lit(False)).alias("_known"))
+    met = distinct.join(F.broadcast(judged), F.col("word") == F.col("_frequent"), "left")
+    rare = met.where("_known IS NULL").select(key, "word").join(known, "word", "left_anti")
+    missing = met.where("NOT _known").select(key, "word").unionByName(rare.select(key, "word"))
     per_text = missing.groupBy(key).agg(F.collect_set("word").alias("unknown"))
     listed = texts.select(key, F.split("text", " ").alias("words")).join(per_text, key)
     return _hits(listed, key, lambda w, i: F.array_contains("unknown", w), 5)

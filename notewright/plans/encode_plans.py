@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from notewright.functions.instruments import instrument_label
 from notewright.operators import encode as enc
 from notewright.plans.registry import query
+from notewright.sources.quarantine import split_good_and_errors
+
+#: No note of a sound piece ends later: 32,768 bars.
+_LATEST = 1 << 20
+
+
+def _notes(corpus):
+    return split_good_and_errors(corpus.notes, latest_u=_LATEST)[0]
 
 
 def _sections(corpus):
-    return enc.section_text(corpus.notes, corpus.tracks)
+    return enc.section_text(_notes(corpus), corpus.tracks)
 
 
 @query(
@@ -104,7 +112,7 @@ def e08(corpus):
     FROM v_allbars GROUP BY ALL""",
 )
 def e09(corpus):
-    return enc.section_events(corpus.notes).select("piece_id", "track_id", "section", "n_bars")
+    return enc.packed_sections(_notes(corpus)).select("piece_id", "track_id", "section", "n_bars")
 
 
 @query("E10", "SELECT piece_id, track_id, CAST(section AS BIGINT) AS section, density FROM v_secdensity")
@@ -120,7 +128,7 @@ def e10(corpus):
     FROM (SELECT DISTINCT piece_id, track_id, section FROM v_allbars)""",
 )
 def e11(corpus):
-    return enc.section_order(enc.section_events(corpus.notes).select("piece_id", "track_id", "section"))
+    return enc.section_order(enc.packed_sections(_notes(corpus)).select("piece_id", "track_id", "section"))
 
 
 @query("E12", "SELECT piece_id, track_id, CAST(section AS BIGINT) AS section, text FROM v_sections")
@@ -143,7 +151,7 @@ def e13(corpus):
 
 @query("E14", "SELECT piece_id, text FROM v_text")
 def e14(corpus):
-    return enc.encode(corpus.notes, corpus.tracks)
+    return enc.encode(_notes(corpus), corpus.tracks)
 
 
 @query(

@@ -26,3 +26,10 @@ def split_good_and_errors(
     else:
         checked = rows.withColumn("reason", reason)
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
+
+
+def split_playable(notes: DataFrame, lowest: int = 0, highest: int = 127) -> tuple[DataFrame, DataFrame]:
+    """(notes with a pitch, the others with ``reason``). Statistics count, sum and compare the same notes in all their columns."""
+    playable = F.coalesce(F.col("pitch").between(lowest, highest), F.lit(False))
+    reason = F.when(F.col("pitch").isNull(), "missing value").otherwise("pitch out of range")
+    return notes.where(playable), notes.where(~playable).withColumn("reason", reason)

@@ -173,3 +173,37 @@ def test_familized_text_decodes_to_a_program_of_the_family(spark):
     assert found == {"4", "DRUMS"}
     programs = dec.track_instruments(dec.track_texts(texts), [8 * f + 3 for f in range(16)]).collect()
     assert sorted((r["program"], r["is_drum"]) for r in programs) == [(0, True), (35, False)]
+
+
+def test_a_late_note_costs_one_run(spark):
+    notes = [(1, 0, 60, 0, 4, 9), (1, 0, 61, 2_147_483_600, 2_147_483_604, 9), (1, 1, 62, 300, 304, 9)]
+    rows = enc.section_runs(spark.createDataFrame(notes, NOTES)).orderBy("track_id", "section").collect()
+    last = 2_147_483_603 // 256
+    found = [(r.track_id, r.section, r.n_sections, r.n_bars, len(r.events)) for r in rows]
+    late = (2_147_483_603 // 32) % 8 + 1
+    assert found == [(0, 0, 1, 8, 2), (0, 1, last - 1, 8, 0), (0, last, 1, late, 2), (1, 0, 1, 8, 0), (1, 1, 1, 2, 2)]
+
+
+def test_runs_give_the_sections_they_stand_for(spark):
+    notes = [(1, 0, 60, 32 * bar, 32 * bar + 1, 9) for bar in (3, 40, 41, 90)]
+    sections = {r.section: r for r in enc.packed_sections(spark.createDataFrame(notes, NOTES)).collect()}
+    assert sorted(sections) == list(range(12))
+    assert [sections[s].n_bars for s in range(12)] == [8] * 11 + [3]
+    assert [s for s in range(12) if sections[s].events] == [0, 5, 11]
+    tracks = spark.createDataFrame([(1, 0, 5, False)], TRACKS)
+    text = enc.encode(spark.createDataFrame(notes, NOTES), tracks).collect()[0].text
+    expected = "".join("PIECE_START " + t for t in render_track([n[2:5] for n in notes], "5"))
+    assert text == expected
+
+
+def test_unknown_words_of_a_zipf_text(spark, monkeypatch):
+    rng = random.Random(4)
+    listed = [[f"w{min(int(rng.paretovariate(0.7)), 300)}" for _ in range(30)] for _ in range(60)]
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(listed)], "k INT, text STRING")
+    # The most frequent word is unknown, the next is known.
+    known = {f"w{i}" for i in range(2, 300, 3)}
+    vocabulary = spark.createDataFrame([("[UNK]", 0)] + [(w, i + 1) for i, w in enumerate(sorted(known))], "word STRING, id INT")
+    expected = sorted((k, p, w, " ".join(words[max(p - 5, 0) : p + 5])) for k, words in enumerate(listed) for p, w in enumerate(words) if w not in known)
+    for frequent in (1, 40, 1_000_000):
+        monkeypatch.setattr(sq, "FREQUENT", frequent)
+        assert sorted(map(tuple, sq.unknown_words(texts, "k", vocabulary).collect())) == expected

@@ -17,6 +17,7 @@ from notewright.operators import vocabulary as vo
 from notewright.session import fresh_path
 from notewright.sources import files as fl
 from notewright.sources import text as tx
+from notewright.sources.quarantine import split_playable
 
 NOTES = "piece_id LONG, track_id INT, pitch INT, velocity INT, start_u INT, end_u INT, start DOUBLE, end DOUBLE"
 TRACKS = "piece_id LONG, track_id INT, program INT, is_drum BOOLEAN"
@@ -52,6 +53,20 @@ def test_distinct_masks_reach_both_ends(spark):
     assert row["n_unique_notes"] == 6 and row["number_of_octaves"] == 3 and row["range_of_note_pitches"] == 127
 
 
+def test_statistics_are_those_of_playable_notes(spark):
+    good = [(1, 1, 60, 10, 0, 4, 0.0, 0.25), (1, 1, 72, 30, 8, 16, 0.5, 1.0)]
+    bad = [(1, 1, 128, 90, 0, 400, 0.0, 25.0), (1, 1, -1, 90, 0, 400, 0.0, 25.0), (1, 1, None, 90, 0, 400, 0.0, 25.0)]
+    tracks = spark.createDataFrame([(1, 1, 0, False)], TRACKS)
+    expected = ps.note_statistics(spark.createDataFrame(good, NOTES), tracks).collect()
+    notes = spark.createDataFrame(good + bad, NOTES)
+    assert ps.note_statistics(notes, tracks).collect() == expected
+    assert expected[0]["n_notes"] == 2 and expected[0]["number_of_octaves"] == 2 and expected[0]["average_note_pitch"] == 66
+    rejected = split_playable(notes)[1].select("pitch", "reason").collect()
+    assert sorted(map(str, rejected)) == [
+        "Row(pitch=-1, reason='pitch out of range')", "Row(pitch=128, reason='pitch out of range')", "Row(pitch=None, reason='missing value')",
+    ]
+
+
 def test_coverage_is_the_interval_union(spark):
     rows, notes = small_notes(spark)
     got = {(r["piece_id"], r["track_id"]): r["covered_u"] for r in cov.covered_units(notes).collect()}
