@@ -73,14 +73,41 @@ def test_outliers_go_and_clean_texts_stay(spark):
 
 def test_limits_follow_the_source(spark):
     docs = clean_and_junk(spark).withColumn("source", F.when(F.col("doc_id") % 20 == 0, "marks").otherwise(F.col("source")))
-    # A source in which every text has marks is not judged by the others once it has rows enough.
+    # The more texts of a source have marks, the less it is judged by the others.
     rows = quality.shares(quality.text_measures(docs))
-    found = {(r.lang, r.source): r.max_symbol_share for r in quality.limits(rows, least_rows=30).collect()}
+    found = {(r.lang, r.source): r.max_symbol_share for r in quality.limits(rows, prior_rows=10).collect()}
     assert found["en", "marks"] > 0.2 > found["en", "s0"]
-    few = {(r.lang, r.source): r.max_symbol_share for r in quality.limits(rows, least_rows=500).collect()}
+    few = {(r.lang, r.source): r.max_symbol_share for r in quality.limits(rows, prior_rows=1_000_000).collect()}
     assert few["en", "marks"] < 0.2
 
 
+def test_limits_are_pooled_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [
+        (lang, source, bool(k % 10 == 0), *(float(x) for x in rng.gamma(2, 1 + n % 4, len(quality.UNIT))))
+        for lang, source, n in (("en", "a", 150), ("en", "bb", 30), ("de", "a", 90), (None, None, 40)) for k in range(n)
+    ]
+    names = ["lang", "source", "base_failed", *quality.UNIT]
+    found = {(r.lang, r.source): r for r in quality.limits(spark.createDataFrame(rows, names), 4.0, 100).collect()}
+    good = [dict(zip(names, r)) for r in rows if not r[2]]
+
+    def pooled(lang, source, measure, p):
+        value, groups = None, (good, [r for r in good if r["lang"] == lang], [r for r in good if (r["lang"], r["source"]) == (lang, source)])
+        for group in groups:
+            own = np.quantile([r[measure] for r in group], min(max(p, 0), 1))
+            share = len(group) / (len(group) + 100)
+            value = own if value is None else share * own + (1 - share) * value
+        return value
+
+    assert len(found) == 4
+    for key, r in found.items():
+        for m in quality.UNIT:
+            middle = [pooled(*key, m, p) for p in (0.47, 0.53)]
+            high = [pooled(*key, m, p) for p in (0.87, 0.93)]
+            assert middle[0] <= r[f"mid_{m}"] <= middle[1]
+            assert high[0] <= r[f"mid_{m}"] + (r[f"max_{m}"] - r[f"mid_{m}"]) / 4 <= high[1]
+
+
 def test_every_measure_has_a_limit_of_the_data(spark):
     """A text with many equal lines, repeated windows, or odd word lengths goes where no other text of the source is like it."""
     rng = random.Random(7)
