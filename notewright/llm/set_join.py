@@ -35,12 +35,17 @@ BITS = 256
 ALIKE = 0.8
 #: Sets of one side of a tile.
 TILE = 512
+#: Rows of buckets that a task compares at a time, about.
+BUCKET_ROWS = 20_000
 #: Bytes of text handled at a time.
 TEXT_BYTES = 2 << 20
 
 
-def runs_needed(recall: float = TARGET_RECALL, steps: int = STEPS) -> int:
-    """Repetitions until a pair at the threshold shares a path with probability `recall`: its shared paths branch once a step."""
+def runs_needed(recall: float = TARGET_RECALL, steps: int = STEPS + 1) -> int:
+    """Repetitions until a pair at the threshold shares a path with probability `recall`: its shared paths branch once a step.
+
+    The step that splits large buckets is counted, so that pairs in them have the same recall.
+    """
     alive = 1.0
     for _ in range(steps):
         alive = 1 - math.exp(-alive)
@@ -204,7 +209,7 @@ def candidate_edges(rows: DataFrame) -> DataFrame:
         counts = level.groupBy("path").count().filter("count > 1")
         sized = level.join(counts, "path")
         small = sized.filter(F.col("count") <= LARGE)
-        bins = F.pmod(F.xxhash64("path"), F.lit(_bins(rows.sparkSession))).alias("bin")
+        bins = F.pmod(F.xxhash64("path"), F.lit(_bins(rows.sparkSession, level.count(), BUCKET_ROWS))).alias("bin")
         found.append(small.select(bins, "path", "sid", "bits").groupBy("bin").applyInArrow(_compare_buckets, "a binary, b binary"))
         large = sized.filter(F.col("count") > LARGE)
         if last:
@@ -220,8 +225,9 @@ def candidate_edges(rows: DataFrame) -> DataFrame:
     return edges.distinct()
 
 
-def _bins(spark) -> int:
-    return 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _bins(spark, rows: int, rows_of_bin: int) -> int:
+    """Groups that tasks hold one at a time: their size stays the same however many rows there are."""
+    return max(4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // rows_of_bin))
 
 
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
@@ -306,7 +312,9 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
     sets = needed.mapInArrow(run, "sid binary, comp binary, blocks int, block int, copies long, items binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = sets.select("*", other.alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    bins = F.pmod(F.xxhash64("comp", "i", "j"), F.lit(_bins(docs.sparkSession))).alias("bin")
+    # Every set is in as many tiles as its component has blocks.
+    n_rows = placed.agg(F.sum("blocks")).first()[0] or 0
+    bins = F.pmod(F.xxhash64("comp", "i", "j"), F.lit(_bins(docs.sparkSession, n_rows, 2 * TILE))).alias("bin")
     tiles = tiles.select(bins, "comp", "i", "j", "block", "copies", "sid", "items").dropDuplicates(["bin", "comp", "i", "j", "sid"])
     return tiles.groupBy("bin").applyInArrow(_verify_tiles, "a binary, b binary, links long")
 
