@@ -69,8 +69,6 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...]) -> tuple[np.ndarr
     filled: list[int] = []
     free: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # open bins by room left
     rooms: list[int] = []  # sorted rooms that some bin has
-    opened: dict[int, int] = {}
-    last = None
     for i, n in enumerate(lengths.tolist()):
         waiting[n] -= 1
         at = bisect.bisect_left(rooms, n)
@@ -80,10 +78,7 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...]) -> tuple[np.ndarr
             if not free[room]:
                 rooms.pop(at)
         else:
-            if n != last or opened.get(n, 0) % 64 == 0:  # the choice changes slowly while equal lengths follow
-                last, size = n, opening_size(max(n, 1), waiting, capacities, cost)
-            opened[n] = opened.get(n, 0) + 1
-            b, room = len(filled), size
+            b, room = len(filled), opening_size(max(n, 1), waiting, capacities, cost)
             filled.append(0)
         bins[i] = b
         filled[b] += n

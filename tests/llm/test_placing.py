@@ -122,3 +122,36 @@ def test_cheapest_size_is_opened():
     waiting[156] = 10
     assert packing.opening_size(100, waiting, packing.CAPACITIES, cost) in (256, 512)
     assert packing.opening_size(3000, waiting, packing.CAPACITIES, cost) == 4096
+
+
+def plain_best_fit(lengths, capacities):
+    """Contents and sizes of the bins: every open bin is looked at for every piece."""
+    cost = packing.prices(capacities)
+    bins = []
+    for i, n in enumerate(lengths):
+        fitting = [b for b in bins if b[0] - b[1] >= n]
+        if fitting and n:
+            min(fitting, key=lambda b: b[0] - b[1])[1] += n
+            continue
+        if fitting:
+            continue  # takes no place
+        best = None
+        for c in (c for c in capacities if c >= n):
+            used = max(n, 1)
+            for waiting in lengths[i + 1 :]:
+                if waiting <= c - used:
+                    used += waiting
+            if best is None or cost[c] / used < best[0] - 1e-12:
+                best = cost[c] / used, c
+        bins.append([best[1], n])
+    return sorted((b[1], next(c for c in capacities if c >= b[1])) for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_equals_a_plain_one(seed):
+    rng = np.random.default_rng(seed)
+    capacities = (8, 16, 32, 64)
+    lengths = sorted((min(64, int(x) + 1) for x in rng.lognormal(2.2, 1.0, 250)), reverse=True)
+    bins, sizes = packing.best_fit(np.array(lengths), capacities)
+    filled = np.bincount(bins, weights=lengths).astype(int).tolist()
+    assert sorted(zip(filled, sizes)) == plain_best_fit(lengths, capacities)
