@@ -21,6 +21,8 @@ BASES = (1_000_003, 746_153_957)
 #: Code points of a window, and the windows that a fingerprint keeps.
 WINDOW = 16
 KEPT = 48
+#: Bits and hexadecimal digits of a kept hash: least values of unlike texts do not coincide, however long the texts are.
+BITS, DIGITS = 40, 10
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(PRIME)
 
@@ -78,16 +80,17 @@ class PrefixHash:
         return tuple((int(a[start + length]) - int(a[start])) * int(p.down[start]) % PRIME for p, a in zip(POWERS, self.arrays))
 
     def windows(self) -> np.ndarray:
-        """Hashes of all windows; a shorter text is one window."""
+        """Hashes of all windows, 31 bits of each base; a shorter text is one window."""
         if self.n == 0:
             return np.zeros(0, dtype=np.uint64)
         w = min(WINDOW, self.n)
-        a = self.arrays[0]
-        return (a[w:] + _P - a[:-w]) % _P * POWERS[0].down[: self.n - w + 1] % _P
+        first, second = ((a[w:] + _P - a[:-w]) % _P * p.down[: self.n - w + 1] % _P for p, a in zip(POWERS, self.arrays))
+        return first << np.uint64(31) | second
 
     def sketch(self) -> list[int]:
         """The least mixed hashes of distinct windows: a sample of the windows that is the same for the same set."""
-        mixed = (self.windows() * MIX) >> np.uint64(40)
+        mixed = self.windows() * MIX
+        mixed = ((mixed ^ (mixed >> np.uint64(32))) * MIX) >> np.uint64(64 - BITS)
         few = 2 * KEPT
         if len(mixed) > few:
             least = sorted(set(np.partition(mixed, few)[:few].tolist()))
@@ -99,7 +102,7 @@ class PrefixHash:
         """Length, hash of the whole and sketch, as text; and the sketch."""
         kept = self.sketch()
         whole = self.span(0, self.n)
-        return f"{self.n:x}-{whole[0]:08x}{whole[1]:08x}-" + "".join(["%06x" % x for x in kept]), kept
+        return f"{self.n:x}-{whole[0]:08x}{whole[1]:08x}-" + "".join([f"{x:0{DIGITS}x}" for x in kept]), kept
 
 
 def spans_equal(a: PrefixHash, i: int, b: PrefixHash, j: int, length: int) -> bool:
@@ -124,7 +127,7 @@ def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
 
 def parse(fingerprint: str) -> tuple[str, list[int]]:
     n, whole, kept = fingerprint.split("-")
-    return f"{n}-{whole}", [int(kept[k : k + 6], 16) for k in range(0, len(kept), 6)]
+    return f"{n}-{whole}", [int(kept[k : k + DIGITS], 16) for k in range(0, len(kept), DIGITS)]
 
 
 def likeness(a: list[int], b: list[int]) -> float:

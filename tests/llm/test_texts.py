@@ -85,6 +85,13 @@ def test_edited_texts(spark, monkeypatch):
         assert found[i].edited_fingerprint == fingerprints.PrefixHash.of(wanted).fingerprint()[0]
 
 
+def test_long_unlike_texts_are_unlike():
+    rng = np.random.default_rng(3)
+    a, b = ("".join(map(chr, rng.integers(97, 123, 1_500_000))) for _ in range(2))
+    a, b = (fingerprints.PrefixHash.of(t).fingerprint()[1] for t in (a, b))
+    assert len(a) == len(b) == fingerprints.KEPT and fingerprints.likeness(a, b) == 0.0
+
+
 def test_odd_fingerprints(odd, none):
     found = fingerprints.fingerprint_documents(odd).collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, _ in ODD)
