@@ -1,11 +1,13 @@
 """Main text of web pages by template deduction from equivalence classes of tokens.
 
-Pages of a host are made from a template. Tokens (element paths, and texts at a path) that occur equally often on the same pages share
-an occurrence vector and form an equivalence class; classes of several tokens on several pages are the template. A text is the template's
-if it shares the class of its own element, also inside articles: an element that always says the same. Names of elements are evidence
-beside that. On hosts whose elements do not say what the article is, the innermost once-per-page template element that holds
-all that varies is its slot. Vectors are summed up as hashes per (host, token), on the map side first, so a host with a third of all
-pages is a few rows per task.
+Pages of a host are made from a template. Tokens (elements by their path, and texts at a path) that occur equally often on the same
+pages share an occurrence vector and form an equivalence class; classes of several tokens on several pages are the template. A text is
+the template's if it shares the class of its own element, also inside articles: an element that always says the same. Names of elements
+are evidence beside that. On hosts whose elements do not say what the article is, the innermost once-per-page template element around
+all that varies is its slot.
+
+Pages are parsed once into a written table. Vectors are sums of hashes per (host, token), combined on the map side; pages meet the
+template by (host, token), so a host's template is never in one place, and a host with a third of all pages is many keys.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ class Block:
 
     __slots__ = ("path", "text", "aside", "article", "doubtful")
 
-    def __init__(self, path: str, text: str, aside: bool, article: bool, doubtful: bool):
+    def __init__(self, path: int, text: str, aside: bool, article: bool, doubtful: bool):
         self.path, self.text, self.aside, self.article, self.doubtful = path, text, aside, article, doubtful
 
 
@@ -85,11 +87,25 @@ def _role(name: str, attributes: str, in_article: bool) -> tuple[str, bool, bool
     return step, aside, name in ARTICLE or role in ("main", "article"), doubtful
 
 
-def parse(html: str) -> tuple[list[Block], list[str]]:
-    """Blocks with text in page order, and the paths of all block elements."""
+#: The path of what is in no element.
+ROOT = 0
+
+
+def _hashed(*parts: object) -> int:
+    """64 bits, signed."""
+    h = xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def parse(html: str) -> tuple[list[Block], list[int], dict[int, tuple[int, int]]]:
+    """Blocks with text in page order, the paths of all block elements, and of each path its parent and its depth.
+
+    A path is a hash of its parent and its last step, so deep nesting costs no more than its elements.
+    """
     blocks: list[Block] = []
-    paths: list[str] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    paths: list[int] = []
+    parents: dict[int, tuple[int, int]] = {ROOT: (ROOT, 0)}
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", ROOT, False, False, False)]
     pending: list[str] = []
 
     def flush() -> None:
@@ -153,11 +169,13 @@ def parse(html: str) -> tuple[list[Block], list[str]]:
             if aside != stack[-1][2]:
                 flush()
         else:
-            path = f"{path}/{step}"
+            depth = parents[path][1] + 1
+            above, path = path, _hashed(path, step)
+            parents[path] = (above, depth)
             paths.append(path)
             stack.append((name, path, aside or is_aside, article or is_article, doubtful or is_doubtful))
     flush()
-    return blocks, paths
+    return blocks, paths, parents
 
 
 def host_of(url: Column) -> Column:
@@ -170,161 +188,208 @@ def _undecided(blocks: list[Block]) -> list[Block]:
     return [b for b in blocks if not b.aside and (b.article or not named)]
 
 
-#: Kinds of text tokens, a letter after the mark; paths begin with a slash.
-UNDECIDED, IN_ARTICLE, DOUBTFUL = "u", "a", "d"
+#: Kinds of tokens: elements, and texts by what their elements say.
+ELEMENT, UNDECIDED, IN_ARTICLE, DOUBTFUL = "/", "u", "a", "d"
 
 
-def text_token(block: Block) -> str:
-    kind = DOUBTFUL if block.doubtful else IN_ARTICLE if block.article else UNDECIDED
-    return f"#{kind}{xxhash.xxh3_64_hexdigest(block.text)}{block.path}"
+def kind_of(block: Block) -> str:
+    return DOUBTFUL if block.doubtful else IN_ARTICLE if block.article else UNDECIDED
 
 
-def path_of(token: str) -> str:
-    """Of the element that holds a text."""
-    return token[18:]
+def text_token(block: Block) -> int:
+    return _hashed(kind_of(block), block.path, block.text)
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, v1, v2, volume): on how many pages, how often, the vector's hash, undecided text below.
+PARSED = (
+    "page_id {page_id}, url string, host string, texts array<string>, kinds array<string>, tokens array<long>, paths array<long>, "
+    "elements array<struct<path: long, parent: long, depth: int>>, counts array<struct<token: long, kind: string, at: long, n: int>>"
+)
 
-    The token '' stands for the page itself.
-    """
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """Every row with the texts that no element sets aside, their tokens, the elements, and how often each token is on the page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
-            for host, page, html in zip(batch["host"], batch["page"], batch["html"]):
-                blocks, paths = parse(html or "")
-                counts: dict[str, int] = {"": 1}
-                volume: dict[str, int] = {}
+            rows = []
+            for page_id, url, host, html in batch.itertuples(index=False):
+                blocks, paths, parents = parse(html or "")
+                chosen = _undecided(blocks)
+                tokens = [text_token(b) for b in chosen]
+                counts: dict[int, list] = {}
                 for path in paths:
-                    counts[path] = counts.get(path, 0) + 1
-                for b in _undecided(blocks):
-                    token = text_token(b)
-                    counts[token] = counts.get(token, 0) + 1
-                    if b.article:
-                        continue
-                    path = b.path
-                    for t in ("", token):
-                        volume[t] = volume.get(t, 0) + len(b.text)
-                    while path:
-                        volume[path] = volume.get(path, 0) + len(b.text)
-                        path = path.rpartition("/")[0]
-                for token, c in counts.items():
-                    h = xxhash.xxh3_64_intdigest(f"{page}:{c}")
-                    s = sums.setdefault((host, token), [0, 0, 0, 0, 0])
-                    for k, x in enumerate((1, c, h & 0x7FFFFFFF, h >> 33, volume.get(token, 0))):
-                        s[k] += x
-            rows = [(host, token, *s) for (host, token), s in sums.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "pages", "total", "v1", "v2", "volume"])
-
-    known = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").cast("string").alias("page"), "html")
-    counted = known.mapInPandas(run, "host string, token string, pages long, total long, v1 long, v2 long, volume long")
-    return counted.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2", "volume")])
-
-
-def template_tokens(tokens: list[str], pages: int, total: int, host_pages: int) -> list[str]:
-    """The template's texts, and the elements that are once on their pages, of one class."""
-    elements = {t for t in tokens if t[0] != "#"}
-    texts = [t for t in tokens if t[0] == "#"]
+                    counts.setdefault(path, [path, ELEMENT, parents[path][0], 0])[3] += 1
+                for token, b in zip(tokens, chosen):
+                    counts.setdefault(token, [token, kind_of(b), b.path, 0])[3] += 1
+                # Only where something is undecided are elements asked for the slot.
+                kinds = [kind_of(b) for b in chosen]
+                above = [(p, *of) for p, of in parents.items() if p != ROOT] if UNDECIDED in kinds else []
+                rows.append((page_id, url, host, [b.text for b in chosen], kinds, tokens, [b.path for b in chosen], above, [tuple(c) for c in counts.values()]))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "texts", "kinds", "tokens", "paths", "elements", "counts"])
+
+    read = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    return read.mapInPandas(run, PARSED.format(page_id=pages.schema["page_id"].dataType.simpleString()))
+
+
+def occurrences(parsed: DataFrame) -> DataFrame:
+    """(host, token, kind, at, pages, total, v1, v2): on how many pages, how often, and the vector's hash; `at` is the element around."""
+    one = parsed.select("host", F.xxhash64("page_id", "url").alias("page"), F.explode("counts").alias("c")).select("host", "page", "c.*")
+    one = one.withColumn("h", F.xxhash64("page", "n"))
+    return one.groupBy("host", "token", "kind", "at").agg(
+        F.count("*").alias("pages"),
+        F.sum("n").alias("total"),
+        F.sum(F.col("h").bitwiseAND(0x7FFFFFFF)).alias("v1"),
+        F.sum(F.shiftrightunsigned("h", 33)).alias("v2"),
+    )
+
+
+def template_tokens(tokens: list[tuple[int, str, int]], pages: int, total: int, host_pages: int) -> list[tuple[int, str]]:
+    """The template's texts, and the elements that are once on their pages, of one class of (token, kind, element around)."""
+    elements = {token for token, kind, _ in tokens if kind == ELEMENT}
+    texts = [t for t in tokens if t[1] != ELEMENT]
     # Texts at elements of other classes that keep each other's company are a copied article, unless they are on most pages.
-    copied = pages < TEXT_SHARE * host_pages and any(path_of(t) not in elements for t in texts)
+    copied = pages < TEXT_SHARE * host_pages and any(at not in elements for _, _, at in texts)
     found = []
-    for t in texts:
-        own = len(tokens) >= LEAST_TOKENS and path_of(t) in elements and not copied
-        enough = {UNDECIDED: TEXT_SHARE * host_pages, IN_ARTICLE: host_pages, DOUBTFUL: LEAST_PAGES}[t[1]]
+    for token, kind, at in texts:
+        own = len(tokens) >= LEAST_TOKENS and at in elements and not copied
+        enough = {UNDECIDED: TEXT_SHARE * host_pages, IN_ARTICLE: host_pages, DOUBTFUL: LEAST_PAGES}[kind]
         if own or pages >= enough:
-            found.append(t)
+            found.append((token, kind))
     if len(tokens) >= LEAST_TOKENS and pages == total:
-        found += elements
+        found += [(token, ELEMENT) for token in elements]
     return found
 
 
-def deduce(host_volume: int, tokens: list[str], volumes: list[int]) -> tuple[str, list[str]]:
-    """The path of the article's slot ('' if there is none) and the template's texts, from the template of one host."""
-    texts = sorted(t for t in tokens if t[0] == "#")
-    volume = dict(zip(tokens, volumes))
-    # What varies below an element is its undecided text without that of the template.
-    left = {t: v for t, v in volume.items() if t[0] != "#" and v > 0}
-    whole = host_volume
-    for t in texts:
-        whole -= volume[t]
-        path = path_of(t)
-        while path:
-            if path in left:
-                left[path] -= volume[t]
-            path = path.rpartition("/")[0]
-    holds_all = [t for t, v in left.items() if v == whole > 0]
-    return max(holds_all, key=lambda t: (t.count("/"), t), default=""), texts
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, texts) of every host with enough pages. A class is no more than the tokens of one page."""
-    found = cut_lineage(occurrences(pages).filter((F.col("token") == "") | (F.col("pages") >= LEAST_PAGES)))
-    whole = found.filter((F.col("token") == "") & (F.col("pages") >= LEAST_PAGES))
-    whole = whole.select("host", F.col("pages").alias("host_pages"), F.col("volume").alias("host_volume"))
-    members = F.sort_array(F.collect_list(F.struct("token", "volume"))).alias("members")
-    classes = found.filter("token != ''").groupBy("host", "pages", "total", "v1", "v2").agg(members).join(whole, "host")
-    classes = classes.select("host", "host_pages", "pages", "total", F.col("members.token").alias("tokens"), F.col("members.volume").alias("volumes"))
+def templates(parsed: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, token, kind) of all templates. A class is no more than the tokens of one page."""
+    found = cut_lineage(occurrences(parsed).filter(F.col("pages") >= LEAST_PAGES))
+    members = F.collect_list(F.struct("token", "kind", "at")).alias("members")
+    classes = found.groupBy("host", "pages", "total", "v1", "v2").agg(members).join(hosts, "host")
+    classes = classes.select("host", "host_pages", "pages", "total", "members.token", "members.kind", "members.at")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for host, host_pages, n, total, tokens, volumes in batch.itertuples(index=False):
-                volume = dict(zip(tokens, volumes))
-                rows += [(host, t, volume[t]) for t in template_tokens(list(tokens), n, total, host_pages) if t[0] == "#" or volume[t]]
-            yield pd.DataFrame(rows, columns=["host", "token", "volume"])
+            for host, host_pages, n, total, *members in batch.itertuples(index=False):
+                rows += [(host, *t) for t in template_tokens(list(zip(*members)), n, total, host_pages)]
+            yield pd.DataFrame(rows, columns=["host", "token", "kind"])
+
+    return classes.mapInPandas(run, "host string, token long, kind string")
+
+
+def common_chain(paths: list[int], parents: dict[int, tuple[int, int]]) -> list[int]:
+    """The elements around all of the paths, the innermost first. Every element is visited once."""
+    if not paths:
+        return []
+    chain = [paths[0]]
+    while chain[-1] != ROOT:
+        chain.append(parents[chain[-1]][0])
+    meets = {p: k for k, p in enumerate(chain)}
+    first = 0
+    for path in paths[1:]:
+        walked = []
+        while path not in meets:
+            walked.append(path)
+            path = parents[path][0]
+        first = max(first, meets[path])
+        meets.update((p, meets[path]) for p in walked)
+    return chain[first:-1]
+
+
+def within(paths: list[int], slot: int, parents: dict[int, tuple[int, int]]) -> list[bool]:
+    """Whether each path is in the slot. Every element is visited once."""
+    known = {slot: True} | ({ROOT: False} if slot != ROOT else {})
+    for path in paths:
+        walked = []
+        while path not in known:
+            walked.append(path)
+            path = parents[path][0]
+        known.update((p, known[path]) for p in walked)
+    return [known[p] for p in paths]
+
+
+def slots(judged: DataFrame, told: DataFrame) -> DataFrame:
+    """(host, slot): the innermost once-per-page template element around all undecided text that is not the template's."""
 
-    told = classes.mapInPandas(run, "host string, token string, volume long")
-    told = told.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("volume").alias("volumes"))
-    told = whole.join(told, "host", "left")
-
-    def by_host(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for host, volume, tokens, volumes in zip(batch["host"], batch["host_volume"], batch["tokens"], batch["volumes"]):
-                rows.append((host, *(deduce(volume, list(tokens), list(volumes)) if tokens is not None else ("", []))))
-            yield pd.DataFrame(rows, columns=["host", "slot", "texts"])
+            for host, kinds, paths, elements, template in batch.itertuples(index=False):
+                parents = _parents(elements)
+                gone = set(template) if template is not None else ()
+                varying = [p for k, (p, kind) in enumerate(zip(paths, kinds)) if kind == UNDECIDED and k not in gone]
+                if varying:
+                    rows += [(host, p, parents[p][1]) for p in (*common_chain(varying, parents), ROOT)]
+            yield pd.DataFrame(rows, columns=["host", "token", "depth"])
 
-    return told.mapInPandas(by_host, "host string, slot string, texts array<string>")
+    asked = judged.filter(F.array_contains("kinds", UNDECIDED)).select("host", "kinds", "paths", "elements", "template")
+    around = asked.mapInPandas(run, "host string, token long, depth int").groupBy("host", "token", "depth").agg(F.count("*").alias("n"))
+    around = cut_lineage(around)
+    every = around.filter(F.col("token") == ROOT).select("host", F.col("n").alias("every"))
+    once = told.filter(F.col("kind") == ELEMENT).select("host", "token")
+    held = around.join(every, "host").filter("n = every").join(once, ["host", "token"])
+    return held.groupBy("host").agg(F.max_by("token", "depth").alias("slot"))
 
 
-def main_text(html: str | None, slot: str | None, texts) -> str:
-    """All blocks of articles, else those of the slot, without the template's texts and what elements set aside.
+def _parents(elements) -> dict[int, tuple[int, int]]:
+    return {ROOT: (ROOT, 0)} | {e["path"]: (e["parent"], e["depth"]) for e in elements}
 
-    Without texts (None) there is nothing to compare with, and doubtful names decide. An article that is the template's as a whole, as on
-    a host of copies, stays.
+
+def own_text(texts, kinds, paths, parents, slot: int | None, template: set[int] | None) -> str:
+    """All blocks of articles, else those of the slot, without the template's texts (by position) and what elements set aside.
+
+    Without a template (None) there is nothing to compare with, and doubtful names decide. An article that is the template's as a whole,
+    as on a host of copies, stays.
     """
-    blocks, _ = parse(html or "")
+    if template is None:
+        return " ".join([t for t, kind in zip(texts, kinds) if kind != DOUBTFUL])
+    chosen = list(range(len(texts)))
+    if slot is not None and UNDECIDED in kinds:
+        inside = within(list(paths), slot, parents)
+        chosen = [k for k in chosen if kinds[k] != UNDECIDED or inside[k]] or chosen
+    own = [k for k in chosen if k not in template] or [k for k in chosen if kinds[k] == IN_ARTICLE]
+    return " ".join([texts[k] for k in own])
+
+
+def main_text(html: str | None, slot: int | None, tokens) -> str:
+    """Of one page, given the slot and the template's text tokens of its host (None: unknown host)."""
+    blocks, _, parents = parse(html or "")
     chosen = _undecided(blocks)
-    if texts is None:
-        return " ".join([b.text for b in chosen if not b.doubtful])
-    if slot:
-        inside = [b for b in chosen if b.article or b.path == slot or b.path.startswith(slot + "/")]
-        chosen = inside or chosen
-    known = set(texts)
-    own = [b for b in chosen if text_token(b) not in known] if known else chosen
-    if not own:
-        own = [b for b in chosen if b.article and not b.doubtful]
-    return " ".join([b.text for b in own])
+    template = None if tokens is None else {k for k, b in enumerate(chosen) if text_token(b) in set(tokens)}
+    return own_text([b.text for b in chosen], [kind_of(b) for b in chosen], [b.path for b in chosen], parents, slot or None, template)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, from its whole html; null and empty pages have an empty text.
 
     Hosts with fewer than LEAST_PAGES pages, and null urls together as one host, are read by their elements alone or like any host.
-    Repeated rows stay rows.
+    Repeated rows stay rows. Nesting may be of any depth: an element costs the same wherever it is.
     """
     spark = pages.sparkSession
+    path = fresh_path(spark, "pages-parsed")
+    parsed_pages(pages).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    parsed = spark.read.parquet(path)
+    hosts = cut_lineage(parsed.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= LEAST_PAGES))
     path = fresh_path(spark, "page-templates")
-    templates(pages).write.parquet(path)
+    templates(parsed, hosts).write.parquet(path)
+    told = spark.read.parquet(path)
 
-    @F.pandas_udf("string")
-    def text_of(html: pd.Series, slot: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, s, t) for h, s, t in zip(html, slot, texts)], dtype="object")
+    # A row of `told` per key: a key with many pages is split by the skew join.
+    at = parsed.select("row", "host", F.posexplode("tokens").alias("k", "token"))
+    gone = at.join(told.filter(F.col("kind") != ELEMENT), ["host", "token"], "left_semi").groupBy("row").agg(F.collect_list("k").alias("template"))
+    gone = cut_lineage(gone)
+    judged = parsed.join(gone, "row", "left")
+    known = hosts.select("host", F.lit(True).alias("known")).join(slots(judged, told), "host", "left")
 
-    # Templates are one short row per host; Spark broadcasts them only if their files are below its own limit.
-    known = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host")).join(
-        spark.read.parquet(path).withColumnRenamed("host", "_host"), "_host", "left"
-    )
-    return known.select("page_id", "url", text_of("html", "slot", "texts").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    @F.pandas_udf("string")
+    def text_of(page: pd.DataFrame) -> pd.Series:
+        out = []
+        for texts, kinds, paths, elements, template, slot, is_known in page.itertuples(index=False):
+            gone = set() if template is None else set(template)
+            of_host = None if pd.isna(slot) else int(slot)
+            out.append(own_text(texts, list(kinds), paths, _parents(elements), of_host, gone if is_known else None))
+        return pd.Series(out, dtype="object")
+
+    page = F.struct("texts", "kinds", "paths", "elements", "template", F.col("slot").cast("string").alias("slot"), F.coalesce("known", F.lit(False)).alias("known"))
+    found = judged.join(known, "host", "left").select("page_id", "url", text_of(page).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -417,6 +417,50 @@ def test_roles_of_elements():
     assert html_extract.main_text("<div hidden>no</div><p title='a > b'>yes</p>", None, None) == "yes"
 
 
+def test_template_decides_without_names(spark):
+    """Pages without articles whose furniture has unknown names: their elements alone keep it, their template tells it."""
+    rows = []
+    for k in range(15):
+        box = "<div class=x9><p>We moved to a new home</p><p>Read why</p></div>" if k % 3 else ""
+        story = f"<div class=q1><h2>Head {k}</h2>{box}<p>Body {k}</p><div class=q2><p>Part {k}</p></div></div>"
+        strip = "<div class=z7><span>All stories</span> <span>Write to us</span></div>"
+        rows.append((k, f"https://n.example/{k}", f"<body>{strip}{story}<div class=w5>Made with care</div></body>", "", ""))
+    found = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    for k, _, html, *_ in rows:
+        wanted = f"Head {k} Body {k} Part {k}"
+        assert html_extract.main_text(html, None, None) != wanted
+        assert found[k] == wanted
+
+
+def test_deep_pages(spark):
+    rows = []
+    for k in range(3):
+        deep = "<div>" * 20_000 + f"deep {k}" + "</div>" * 20_000 + "<p>on every page</p>"
+        rows.append((k, "https://d.example/", deep, "", ""))
+    assert {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()} == {k: f"deep {k}" for k in range(3)}
+
+
+def test_chains_of_elements():
+    """Against plain walks up to the root."""
+    import random
+
+    draw = random.Random(3)
+    for _ in range(200):
+        parents = {0: (0, 0)}
+        for p in range(1, 30):
+            above = draw.randrange(max(0, p - 4), p)
+            parents[p] = (above, parents[above][1] + 1)
+
+        def up(p):
+            return [p] + (up(parents[p][0]) if p else [])
+
+        paths = [draw.randrange(10, 30) for _ in range(draw.randrange(1, 6))]
+        common = set.intersection(*(set(up(p)) for p in paths)) - {0}
+        assert html_extract.common_chain(paths, parents) == sorted(common, key=lambda p: -parents[p][1])
+        slot = draw.randrange(30)
+        assert html_extract.within(paths, slot, parents) == [slot in up(p) for p in paths]
+
+
 def test_odd_pages(spark):
     rows = [
         (1, None, None, "", ""), (1, None, None, "", ""), (None, "u", "", "", ""), (2, "http://a.b/c", "plain text", "", ""),
