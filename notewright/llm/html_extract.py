@@ -13,6 +13,7 @@ template by (host, token), so a host's template is never in one place, and a hos
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -202,12 +203,15 @@ def text_token(block: Block) -> int:
 
 PARSED = (
     "page_id {page_id}, url string, host string, texts array<string>, kinds array<string>, tokens array<long>, paths array<long>, "
-    "elements array<struct<path: long, parent: long, depth: int>>, counts array<struct<token: long, kind: string, at: long, n: int>>"
+    "times array<int>, elements array<struct<path: long, parent: long, depth: int, n: int>>"
 )
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Every row with the texts that no element sets aside, their tokens, the elements, and how often each token is on the page."""
+    """Every row with the texts that no element sets aside, their tokens, and the elements.
+
+    `times`, at the first text of a token (else 0), and `n` are how often the token and the element are on the page.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -216,16 +220,11 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 blocks, paths, parents = parse(html or "")
                 chosen = _undecided(blocks)
                 tokens = [text_token(b) for b in chosen]
-                counts: dict[int, list] = {}
-                for path in paths:
-                    counts.setdefault(path, [path, ELEMENT, parents[path][0], 0])[3] += 1
-                for token, b in zip(tokens, chosen):
-                    counts.setdefault(token, [token, kind_of(b), b.path, 0])[3] += 1
-                # Only where something is undecided are elements asked for the slot.
-                kinds = [kind_of(b) for b in chosen]
-                above = [(p, *of) for p, of in parents.items() if p != ROOT] if UNDECIDED in kinds else []
-                rows.append((page_id, url, host, [b.text for b in chosen], kinds, tokens, [b.path for b in chosen], above, [tuple(c) for c in counts.values()]))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "texts", "kinds", "tokens", "paths", "elements", "counts"])
+                often, left = Counter(paths), Counter(tokens)
+                times = [left.pop(token, 0) for token in tokens]
+                above = [(p, *parents[p], n) for p, n in often.items()]
+                rows.append((page_id, url, host, [b.text for b in chosen], [kind_of(b) for b in chosen], tokens, [b.path for b in chosen], times, above))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "texts", "kinds", "tokens", "paths", "times", "elements"])
 
     read = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     return read.mapInPandas(run, PARSED.format(page_id=pages.schema["page_id"].dataType.simpleString()))
@@ -233,8 +232,10 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
 
 def occurrences(parsed: DataFrame) -> DataFrame:
     """(host, token, kind, at, pages, total, v1, v2): on how many pages, how often, and the vector's hash; `at` is the element around."""
-    one = parsed.select("host", F.xxhash64("page_id", "url").alias("page"), F.explode("counts").alias("c")).select("host", "page", "c.*")
-    one = one.withColumn("h", F.xxhash64("page", "n"))
+    page = ("host", F.xxhash64("page_id", "url").alias("page"))
+    texts = parsed.select(*page, F.inline(F.arrays_zip("tokens", "kinds", "paths", "times"))).toDF("host", "page", "token", "kind", "at", "n")
+    elements = parsed.select(*page, F.inline("elements")).select("host", "page", F.col("path").alias("token"), F.lit(ELEMENT).alias("kind"), F.col("parent").alias("at"), "n")
+    one = texts.filter("n > 0").unionByName(elements).withColumn("h", F.xxhash64("page", "n"))
     return one.groupBy("host", "token", "kind", "at").agg(
         F.count("*").alias("pages"),
         F.sum("n").alias("total"),
@@ -366,20 +367,23 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Repeated rows stay rows. Nesting may be of any depth: an element costs the same wherever it is.
     """
     spark = pages.sparkSession
-    path = fresh_path(spark, "pages-parsed")
-    parsed_pages(pages).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    parsed = spark.read.parquet(path)
-    hosts = cut_lineage(parsed.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= LEAST_PAGES))
-    path = fresh_path(spark, "page-templates")
-    templates(parsed, hosts).write.parquet(path)
-    told = spark.read.parquet(path)
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        """Read again, so that Spark knows the size and broadcasts only what is small."""
+        path = fresh_path(spark, name)
+        rows.write.option("compression", "zstd").parquet(path)
+        return spark.read.parquet(path)
+
+    parsed = written(parsed_pages(pages).withColumn("row", F.monotonically_increasing_id()), "pages-parsed")
+    hosts = parsed.groupBy("host").agg(F.count("*").alias("host_pages")).filter(F.col("host_pages") >= LEAST_PAGES)
+    hosts = written(hosts, "page-hosts")
+    told = written(templates(parsed, hosts), "page-templates")
 
     # A row of `told` per key: a key with many pages is split by the skew join.
     at = parsed.select("row", "host", F.posexplode("tokens").alias("k", "token"))
     gone = at.join(told.filter(F.col("kind") != ELEMENT), ["host", "token"], "left_semi").groupBy("row").agg(F.collect_list("k").alias("template"))
-    gone = cut_lineage(gone)
-    judged = parsed.join(gone, "row", "left")
-    known = hosts.select("host", F.lit(True).alias("known")).join(slots(judged, told), "host", "left")
+    judged = parsed.join(written(gone, "page-template-texts"), "row", "left")
+    known = written(hosts.select("host", F.lit(True).alias("known")).join(slots(judged, told), "host", "left"), "page-slots")
 
     @F.pandas_udf("string")
     def text_of(page: pd.DataFrame) -> pd.Series:
