@@ -10,6 +10,8 @@ before the piece, missing values) are left out everywhere here; ``encode_with_er
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from notewright.sources.quarantine import split_good_and_errors
 _PITCH_BITS, _KIND_BITS, _TIME_BITS = 7, 1, 6
 _BAR_SHIFT = _PITCH_BITS + _KIND_BITS + _TIME_BITS
 _NOTE_TOKENS = [f"{name}={pitch} " for name in ("NOTE_OFF", "NOTE_ON") for pitch in range(1 << _PITCH_BITS)]
+# Notes whose text goes to one task. Texts shrink in a shuffle and grow by far when they are decoded, so tasks are not cut by bytes.
+NOTES_PER_TASK = 200_000
 _SHIFT_TOKENS = [""] + [f"TIME_DELTA={u // UNITS_PER_DELTA} " for u in range(1, UNITS_PER_BAR + 1)]
 
 
@@ -190,15 +194,18 @@ def text_by_section(sections: DataFrame) -> DataFrame:
     return sections.groupBy("piece_id", "section").agg(_in_order(["track_id"]).alias("text"))
 
 
-def piece_text(sections: DataFrame) -> DataFrame:
-    """One text per piece: each section opens with PIECE_START."""
+def piece_text(sections: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One text per piece: each section opens with PIECE_START. The pieces are dealt to as many tasks as given."""
     per_section = text_by_section(sections).withColumn("text", F.concat(F.lit("PIECE_START "), F.col("text")))
+    if tasks is not None:
+        per_section = per_section.repartition(tasks, "piece_id")
     return per_section.groupBy("piece_id").agg(_in_order(["section"]).alias("text"))
 
 
 def encode(notes: DataFrame, tracks: DataFrame, n_bar: int = BARS_PER_SECTION, familize: bool = False) -> DataFrame:
-    """Notes to one text per piece."""
-    return piece_text(section_text(notes, tracks, n_bar, familize))
+    """Notes to one text per piece, in tasks of at most about NOTES_PER_TASK notes."""
+    tasks = max(3 * notes.sparkSession.sparkContext.defaultParallelism, math.ceil(notes.count() / NOTES_PER_TASK))
+    return piece_text(section_text(notes, tracks, n_bar, familize), tasks)
 
 
 def encode_with_errors(
