@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.constants import BARS_PER_SECTION, DEFAULT_VELOCITY, MAX_DELTAS_PER_BAR, UNITS_PER_BAR, UNITS_PER_DELTA
+from notewright.constants import DEFAULT_VELOCITY, MAX_DELTAS_PER_BAR, UNITS_PER_BAR, UNITS_PER_DELTA
 from notewright.functions import tokens as tk
 from notewright.functions.instruments import family_program
-from notewright.operators.windows import shifts_between
-
-DECODE_CHUNK_UNITS = UNITS_PER_BAR * BARS_PER_SECTION
 
 
 def track_texts(pieces: DataFrame) -> DataFrame:
@@ -173,9 +170,13 @@ def sounding(event_rows: DataFrame) -> DataFrame:
 
 
 def merged_shifts(event_rows: DataFrame) -> DataFrame:
-    """Note events with one shift before each, merged across bars."""
-    notes = event_rows.where(F.col("type").isin("Note-On", "Note-Off"))
-    return shifts_between(notes, ["piece_id", "channel"], "t", ["segment", "chunk", "pos"], DECODE_CHUNK_UNITS)
+    """Note events with one shift before each, merged across bars.
+
+    The events of a track come out of one cell, so one task has held them all: they are ordered there, read once.
+    """
+    notes = event_rows.where(F.col("type").isin("Note-On", "Note-Off") & F.col("t").isNotNull())
+    in_order = Window.partitionBy("piece_id", "channel").orderBy("t", "segment", "chunk", "pos")
+    return notes.withColumn("shift_u", F.col("t") - F.lag("t", 1, 0).over(in_order))
 
 
 def with_velocity(event_rows: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """What grows with the tables: how often they are read, what a shuffle carries, how much one task holds."""
 
+from notewright.operators import decode as dec
 from notewright.operators import encode as enc
 
 NOTES = "piece_id LONG, track_id INT, program INT, is_drum BOOLEAN, pitch INT, start_u INT, end_u INT, velocity INT"
@@ -22,3 +23,14 @@ def test_texts_are_dealt_by_notes(spark, monkeypatch):
     monkeypatch.setattr(enc, "NOTES_PER_TASK", 2)
     notes = some_notes(spark)
     assert encoded(notes).rdd.getNumPartitions() == notes.count() / 2
+
+
+def test_merged_shifts_decode_once(spark):
+    events = dec.decoded_events(encoded(some_notes(spark)))
+    merged = dec.merged_shifts(events)
+    assert plan_of(merged).count("Generate") == plan_of(events).count("Generate")
+    times = {}
+    for r in sorted(merged.collect(), key=lambda r: (r["piece_id"], r["channel"], r["t"], r["segment"], r["chunk"], r["pos"])):
+        key = r["piece_id"], r["channel"]
+        assert r["shift_u"] == r["t"] - times.get(key, 0)
+        times[key] = r["t"]
