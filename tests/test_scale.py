@@ -1,7 +1,10 @@
 """What grows with the tables: how often they are read, what a shuffle carries, how much one task holds."""
 
+import pytest
+
 from notewright.operators import decode as dec
 from notewright.operators import encode as enc
+from notewright.operators import vocabulary as vo
 
 NOTES = "piece_id LONG, track_id INT, program INT, is_drum BOOLEAN, pitch INT, start_u INT, end_u INT, velocity INT"
 
@@ -34,3 +37,21 @@ def test_merged_shifts_decode_once(spark):
         key = r["piece_id"], r["channel"]
         assert r["shift_u"] == r["t"] - times.get(key, 0)
         times[key] = r["t"]
+
+
+@pytest.mark.parametrize("frequent", [3, 5, 1000])
+def test_words_travel_only_if_rare(spark, monkeypatch, frequent):
+    monkeypatch.setattr(vo, "FREQUENT", frequent)
+    rows = [(1, "a a b\nc"), (1, "d  a e a"), (None, "b x"), (2, None), (3, ""), (4, "e " * 30 + "f")]
+    texts = spark.createDataFrame(rows, "k LONG, text STRING")
+    vocabulary = vo.build(texts.where("text NOT LIKE '%x'"))
+    ids = {r["word"]: r["id"] for r in vocabulary.collect()}
+    coded = vo.encode(texts, "k", vocabulary)
+    assert "Generate" not in plan_of(coded)
+    assert sorted(map(str, ((r["k"], r["input_ids"]) for r in coded.collect()))) == sorted(
+        str((k, [ids.get(w, 0) for w in (t or "").split()])) for k, t in rows
+    )
+    back = vo.to_text(coded, "k", vocabulary)
+    assert sorted(map(str, ((r["k"], r["text"]) for r in back.collect()))) == sorted(
+        str((k, " ".join(w if w in ids else "[UNK]" for w in (t or "").split()))) for k, t in rows
+    )
