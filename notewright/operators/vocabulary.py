@@ -138,6 +138,7 @@ def truncate(rows: DataFrame, n: int = DEFAULT_MAX_TOKENS) -> DataFrame:
 
 def pad(rows: DataFrame, batch: str) -> DataFrame:
     """Pad every row to the longest of its batch; the mask marks real tokens."""
+    rows = cut_lineage(rows)  # read for the longest rows and for the padding, made once
     longest = rows.groupBy(batch).agg(F.max(F.size("input_ids")).alias("_longest"))
     size = F.size("input_ids")
     missing = F.col("_longest") - size

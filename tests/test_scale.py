@@ -1,6 +1,7 @@
 """What grows with the tables: how often they are read, what a shuffle carries, how much one task holds."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from notewright.operators import decode as dec
 from notewright.operators import encode as enc
@@ -55,3 +56,11 @@ def test_words_travel_only_if_rare(spark, monkeypatch, frequent):
     assert sorted(map(str, ((r["k"], r["text"]) for r in back.collect()))) == sorted(
         str((k, " ".join(w if w in ids else "[UNK]" for w in (t or "").split()))) for k, t in rows
     )
+
+
+def test_padding_makes_the_ids_once(spark):
+    texts = spark.createDataFrame([(i, "a b " * i, i // 3) for i in range(9)], "k LONG, text STRING, batch LONG")
+    coded = vo.encode(texts, "k", vo.build(texts)).withColumn("batch", F.floor(F.col("k") / 3))
+    padded = vo.pad(coded, "batch")
+    assert "ObjectHashAggregate" not in plan_of(padded)  # the step that lists the ids
+    assert {r["k"]: len(r["input_ids"]) for r in padded.collect()} == {i: 2 * (i // 3 * 3 + 2) for i in range(9)}
