@@ -7,6 +7,8 @@ the union. No sort, no window, and no group that grows with the number of notes.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from notewright.constants import UNITS_PER_BAR, UNITS_PER_BEAT
 CELL_UNITS = 64
 MERGE_CHUNK_UNITS = 256
 FRAME_UNITS = 1
+# Notes whose frames are summed in one task.
+NOTES_PER_TASK = 400_000
 
 
 def piece_length(notes: DataFrame) -> DataFrame:
@@ -149,11 +153,25 @@ def merged_split_tracks(notes: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def piano_roll(notes: DataFrame) -> DataFrame:
-    """Sparse roll: summed velocity per (piece, frame, pitch)."""
-    frames = F.explode(F.sequence(F.col("start_u"), F.col("end_u") - 1, F.lit(FRAME_UNITS)))
+    """Sparse roll: summed velocity per (piece, frame, pitch).
+
+    Notes are cut at cell borders and travel as they are; their frames are listed only where their cell is summed, so the shuffle
+    carries notes, not frames, and no task sums more than its cells.
+    """
+    cell = F.floor(F.col("start_u") / CELL_UNITS)
+    cells = F.sequence(cell, F.floor((F.col("end_u") - 1) / CELL_UNITS))
+    tasks = max(3 * notes.sparkSession.sparkContext.defaultParallelism, math.ceil(notes.count() / NOTES_PER_TASK))
+    cut = (
+        notes.where("end_u > start_u").select("piece_id", "pitch", "velocity", "start_u", "end_u", F.explode(cells).alias("cell"))
+        .repartition(tasks, "piece_id", "cell")
+    )
+    kind = notes.schema["start_u"].dataType
+    first = F.greatest(F.col("start_u"), F.col("cell") * CELL_UNITS).cast(kind)
+    last = (F.least(F.col("end_u"), (F.col("cell") + 1) * CELL_UNITS) - 1).cast(kind)
+    frames = F.explode(F.sequence(first, last, F.lit(FRAME_UNITS).cast(kind)))
     return (
-        notes.where("end_u > start_u").select("piece_id", "pitch", "velocity", frames.alias("frame"))
-        .groupBy("piece_id", "frame", "pitch").agg(F.sum("velocity").alias("velocity"))
+        cut.select("piece_id", "cell", "pitch", "velocity", frames.alias("frame"))
+        .groupBy("piece_id", "cell", "frame", "pitch").agg(F.sum("velocity").alias("velocity")).drop("cell")
     )
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from notewright.operators import coverage as cov
 from notewright.operators import decode as dec
 from notewright.operators import encode as enc
 from notewright.operators import vocabulary as vo
@@ -73,3 +74,15 @@ def test_note_files_are_read_twice(spark, tmp_path):
     read = fl.read_note_lines(spark, path)
     assert plan_of(read).count("FileScan text") == 1  # the broken files were found before, in a read of their own
     assert {r["piece_id"] for r in read.where("error IS NULL").collect()} == {"0", "1", "3", "4"}
+
+
+def test_roll_shuffles_notes(spark):
+    notes = some_notes(spark)
+    roll = cov.piano_roll(notes)
+    assert plan_of(roll).count("Exchange") == 1 and plan_of(roll).index("sequence(") < plan_of(roll).index("Exchange")
+    wanted = {}
+    for n in notes.collect():
+        for frame in range(n["start_u"], n["end_u"]):
+            key = n["piece_id"], frame, n["pitch"]
+            wanted[key] = wanted.get(key, 0) + n["velocity"]
+    assert {(r["piece_id"], r["frame"], r["pitch"]): r["velocity"] for r in roll.collect()} == wanted
