@@ -7,6 +7,7 @@ from notewright.operators import coverage as cov
 from notewright.operators import decode as dec
 from notewright.operators import encode as enc
 from notewright.operators import vocabulary as vo
+from notewright.plans import genre_plans
 from notewright.sources import files as fl
 
 NOTES = "piece_id LONG, track_id INT, program INT, is_drum BOOLEAN, pitch INT, start_u INT, end_u INT, velocity INT"
@@ -86,3 +87,7 @@ def test_roll_shuffles_notes(spark):
             key = n["piece_id"], frame, n["pitch"]
             wanted[key] = wanted.get(key, 0) + n["velocity"]
     assert {(r["piece_id"], r["frame"], r["pitch"]): r["velocity"] for r in roll.collect()} == wanted
+
+
+def test_rows_to_predict_come_from_one_table(spark, corpus):
+    assert "FileScan" not in plan_of(genre_plans.g02(corpus))
