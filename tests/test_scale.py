@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from notewright.operators import coverage as cov
 from notewright.operators import decode as dec
 from notewright.operators import encode as enc
+from notewright.operators import piece_stats as ps
 from notewright.operators import vocabulary as vo
 from notewright.plans import genre_plans
 from notewright.sources import files as fl
@@ -89,5 +90,12 @@ def test_roll_shuffles_notes(spark):
     assert {(r["piece_id"], r["frame"], r["pitch"]): r["velocity"] for r in roll.collect()} == wanted
 
 
+def test_number_of_words_needs_no_distinct_words(spark):
+    words = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, None), (2, None), (3, "b")], "piece_id LONG, text STRING")
+    found = ps.lyric_statistics(words)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 4, 2), (2, 1, 1), (3, 1, 1)]
+    assert plan_of(found.select("piece_id", "lyrics_nb_words")).count("Exchange") == 1
+
+
 def test_rows_to_predict_come_from_one_table(spark, corpus):
     assert "FileScan" not in plan_of(genre_plans.g02(corpus))
