@@ -2,7 +2,8 @@
 
 ratio(a, b) = round(100 * 2 * LCS / (len(a) + len(b))), halves to the even number. For a row of two strings the ratio is a Column: one
 row of the table as the bits of integers (Hyyro, 2004), in limbs of 62 bits with a carry, so strings of any length fit. For one string
-against many, ``NameIndex`` advances the bits of all of them together.
+against many, ``NameIndex`` advances the bits of all of them together. Letters in common, whatever their order, bound the subsequence from above;
+``NameIndex.letters_shared`` counts them for many strings at once, and only pairs that could still pass are advanced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from notewright.constants import VERSION_WORDS
 
 LIMB = 62
 _WORD = 64
+# Columns that count shared letters; more different letters than that share columns, which only loosens the bound.
+_COLUMNS = 1024
 
 
 def sorted_words(name: Column) -> Column:
@@ -122,35 +125,89 @@ class NameIndex:
     def __init__(self, texts: list[str], threshold: float):
         self.threshold = threshold
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.letters: dict[str, int] = {}
-        cells = np.full((len(texts), _WORD), -1, dtype=np.int32)
-        for k, t in enumerate(texts):
-            if len(t) <= _WORD:
-                cells[k, : len(t)] = [self.letters.setdefault(c, len(self.letters)) for c in t]
-        self.masks = np.zeros((len(self.letters), len(texts)), dtype=np.uint64)
-        for i in range(_WORD):
-            rows = np.flatnonzero(cells[:, i] >= 0)
-            self.masks[cells[rows, i], rows] |= np.uint64(1) << np.uint64(i)
+        rows, codes = _letters_of(texts)
+        short = self.lengths[rows] <= _WORD
+        place = (np.arange(len(rows)) - (np.cumsum(self.lengths) - self.lengths)[rows])[short].astype(np.uint64)
+        kinds, kind = np.unique(codes[short], return_inverse=True)
+        self.letters = {chr(c): i for i, c in enumerate(kinds)}
+        self.masks = np.zeros((len(kinds), len(texts)), dtype=np.uint64)
+        np.bitwise_or.at(self.masks, (kind, rows[short]), np.uint64(1) << place)
         self.long = {int(k): _word_masks(texts[k]) for k in np.flatnonzero(self.lengths > _WORD)}
         bits = np.minimum(self.lengths, _WORD)
         self.full = np.where(bits == _WORD, ~np.uint64(0), (np.uint64(1) << (bits % _WORD).astype(np.uint64)) - np.uint64(1))
-
-    def first(self, text: str, begin: int, end: int) -> int | None:
-        """Place of the first match among the strings begin to end - 1; an empty string matches none."""
-        if not text or begin >= end:
-            return None
-        lengths = self.lengths[begin:end]
-        row = np.full(end - begin, ~np.uint64(0))
+        self.texts = texts
+        self._columns: np.ndarray | None = None
+
+    def _passes(self, common: np.ndarray, places: np.ndarray | slice, length: int) -> np.ndarray:
+        lengths = self.lengths[places]
+        return (np.rint(200 * common / (lengths + length)) > self.threshold) & (lengths > 0)
+
+    def common(self, text: str, places: np.ndarray | slice) -> np.ndarray:
+        """Longest common subsequences of ``text`` with the strings at ``places``, right for those of up to 64 letters."""
+        full, lengths = self.full[places], self.lengths[places]
+        masks = {c: self.masks[self.letters[c]][places] for c in set(text) if c in self.letters}
+        row = np.full(len(lengths), ~np.uint64(0))
         for c in text:
-            code = self.letters.get(c)
-            if code is not None:
-                hit = row & self.masks[code, begin:end]
+            if c in masks:
+                hit = row & masks[c]
                 row = (row + hit) | (row - hit)
-        common = lengths - np.bitwise_count(row & self.full[begin:end])
-        for k in [k for k in self.long if begin <= k < end]:
-            common[k - begin] = _common_long(self.long[k], int(self.lengths[k]), text)
-        found = np.flatnonzero((np.rint(200 * common / (lengths + len(text))) > self.threshold) & (lengths > 0))
-        return begin + int(found[0]) if len(found) else None
+        return lengths - np.bitwise_count(row & full)
+
+    def letters_shared(self, texts: list[str], begin: int, end: int) -> np.ndarray:
+        """At least the letters that each text has in common with the strings begin to end - 1, as often as both have them."""
+        if self._columns is None:
+            rows, letters = _numbered_letters(self.texts)
+            self._columns, column = np.unique(letters, return_inverse=True)
+            self._counts = _counted(rows, column, len(self.texts), len(self._columns))
+        rows, letters = _numbered_letters(texts)
+        column = np.searchsorted(self._columns, letters)
+        known = np.append(self._columns, -1)[column] == letters
+        return _counted(rows[known], column[known], len(texts), len(self._columns)) @ self._counts[begin:end].T
+
+    def first(self, text: str, begin: int, end: int, shared: np.ndarray | None = None, long: dict[int, int] | None = None) -> int | None:
+        """Place of the first match among the strings begin to end - 1; an empty string matches none.
+
+        ``shared`` is the text's row of ``letters_shared`` for these strings, ``long`` what is known of its common subsequences with
+        strings of more than 64 letters.
+        """
+        if not text or begin >= end:
+            return None
+        places = slice(begin, end)
+        if shared is not None:
+            places = begin + np.flatnonzero(self._passes(shared, places, len(text)))
+            if not len(places):
+                return None
+        common = self.common(text, places)
+        numbers = np.arange(begin, end) if shared is None else places
+        for i in np.flatnonzero(self.lengths[places] > _WORD):
+            k = int(numbers[i])
+            known = None if long is None else long.get(k)
+            common[i] = known if known is not None else _common_long(self.long[k], int(self.lengths[k]), text)
+        found = np.flatnonzero(self._passes(common, places, len(text)))
+        return int(numbers[found[0]]) if len(found) else None
+
+
+def _letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts one after the other, as (number of the text, code point)."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return np.repeat(np.arange(len(texts)), [len(t) for t in texts]), codes
+
+
+def _numbered_letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts, each with the number of its earlier occurrences in its text: (number of the text, letter and occurrence)."""
+    rows, codes = _letters_of(texts)
+    order = np.lexsort((codes, rows))
+    rows, codes = rows[order], codes[order]
+    begins = np.append(True, (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1]))[: len(rows)]
+    starts = np.flatnonzero(begins)
+    return rows, (codes << 32) + np.arange(len(rows)) - starts[np.cumsum(begins) - 1]
+
+
+def _counted(rows: np.ndarray, column: np.ndarray, n_rows: int, n_columns: int) -> np.ndarray:
+    """How often each row names each column; beyond _COLUMNS, columns are shared."""
+    counts = np.zeros((n_rows, min(n_columns, _COLUMNS)), dtype=np.float32)
+    np.add.at(counts, (rows, column % _COLUMNS), 1)
+    return counts
 
 
 def _common_long(masks: dict[str, int], length: int, other: str) -> int:

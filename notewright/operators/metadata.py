@@ -16,6 +16,7 @@ one row before the first round.
 from __future__ import annotations
 
 import bisect
+import itertools
 import logging
 import math
 from functools import reduce
@@ -34,8 +35,11 @@ from notewright.operators.windows import best_row, descending, with_group_mode
 from notewright.session import cut_lineage
 
 # Names on each side of a tile; blocks up to SMALL_BLOCK names share tiles.
-TILE_NAMES = 2000
+TILE_NAMES = 8000
 SMALL_BLOCK = 500
+# Asking names whose shared letters are counted together, and the number of names faced from which that pays.
+ASKED_AT_ONCE = 256
+LEAST_FACED = 64
 # Lengths of one class differ by at most this factor.
 CLASS_STEP = 1.25
 
@@ -64,14 +68,27 @@ def _first_match(threshold: float, earlier: bool):
         index = NameIndex(others.column("processed").to_pylist(), threshold)
         keys = list(zip(*(others.column(c).to_pylist() for c in ("block", "position", "processed"))))
         blocks = [k[0] for k in keys]
+        asked = list(zip(*(asking.column(c).to_pylist() for c in ("block", "position", "processed"))))
+        # By block, then by place, so that names asked together face much the same names.
+        order = sorted(range(len(asked)), key=lambda row: (asked[row][0], asked[row][1] if earlier else 0))
         rows, found = [], []
-        for row, (block, position, text) in enumerate(zip(*(asking.column(c).to_pylist() for c in ("block", "position", "processed")))):
-            begin = bisect.bisect_left(blocks, block)
-            end = bisect.bisect_left(keys, (block, position, text)) if earlier else bisect.bisect_right(blocks, block)
-            first = index.first(text, begin, end)
-            if first is not None:
-                rows.append(row)
-                found.append(first)
+        for block, of_block in itertools.groupby(order, lambda row: asked[row][0]):
+            begin, last = bisect.bisect_left(blocks, block), bisect.bisect_right(blocks, block)
+            for some in itertools.batched(of_block, ASKED_AT_ONCE):
+                texts = [asked[row][2] for row in some]
+                ends = [bisect.bisect_left(keys, asked[row]) if earlier else last for row in some]
+                counted = max(ends) - begin >= LEAST_FACED
+                shared = index.letters_shared(texts, begin, max(ends)) if counted else None
+                # A long name is met from the other side: the bits are those of the asking names, all of them together.
+                far = [k for k in index.long if begin <= k < max(ends)]
+                asking_index = NameIndex(texts if far else [], threshold)
+                long = {k: asking_index.common(index.texts[k], slice(None)) for k in far}
+                for i, (row, text, end) in enumerate(zip(some, texts, ends)):
+                    known = {k: int(c[i]) for k, c in long.items()} if long and i not in asking_index.long else None
+                    first = index.first(text, begin, end, None if shared is None else shared[i, : end - begin], known)
+                    if first is not None:
+                        rows.append(row)
+                        found.append(first)
         taken, given = asking.take(pa.array(rows, pa.int64())), others.take(pa.array(found, pa.int64()))
         return pa.table(
             [taken.column("block"), taken.column("processed"), given.column("position"), given.column("processed"), given.column("cleaned")],
@@ -150,7 +167,12 @@ def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> Dat
     )
     groups = cut_lineage(groups)
     chosen, _ = independent(groups.where("position IS NOT NULL"), threshold)
-    return first_matches(groups, chosen, threshold).select("block", "processed", F.col("cleaned").alias("leader"))
+    if threshold >= 100:  # nothing matches, not even a name itself
+        return first_matches(groups, chosen, threshold).select("block", "processed", F.col("cleaned").alias("leader"))
+    # A leader matches no earlier leader, so its first match is itself; only the others are compared with the leaders.
+    others = groups.join(chosen, ["block", "processed"], "left_anti")
+    taken = first_matches(others, chosen, threshold).select("block", "processed", F.col("cleaned").alias("leader"))
+    return taken.unionByName(chosen.select("block", "processed", F.col("cleaned").alias("leader")))
 
 
 def deduplicated(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> DataFrame:

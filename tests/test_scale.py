@@ -1,15 +1,20 @@
 """What grows with the tables: how often they are read, what a shuffle carries, how much one task holds."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from notewright.functions import similarity as sim
 from notewright.operators import coverage as cov
 from notewright.operators import decode as dec
 from notewright.operators import encode as enc
+from notewright.operators import metadata as md
 from notewright.operators import piece_stats as ps
 from notewright.operators import vocabulary as vo
 from notewright.plans import genre_plans
 from notewright.sources import files as fl
+from tests.test_metadata import slow_ratio
 
 NOTES = "piece_id LONG, track_id INT, program INT, is_drum BOOLEAN, pitch INT, start_u INT, end_u INT, velocity INT"
 
@@ -27,6 +32,51 @@ def encoded(notes):
     return enc.encode(notes, notes.select("piece_id", "track_id", "program", "is_drum").distinct())
 
 
+def texts_of(most, seed=11, n=150):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdé 😀") for _ in range(rng.randint(0, most))) for _ in range(n)]
+
+
+def test_shared_letters_lose_no_match():
+    for most in (12, 70, 150):
+        texts = texts_of(most)
+        index = sim.NameIndex(texts, 60)
+        asked = texts[::3] + ["", "zzz", "a" * 5]
+        shared = index.letters_shared(asked, 10, 140)
+        for i, text in enumerate(asked):
+            ratios = [slow_ratio(text, t) for t in texts[10:140]]
+            wanted = [k for k, r in enumerate(ratios, 10) if r > 60]
+            assert index.first(text, 10, 140, shared[i]) == (wanted[0] if wanted else None)
+
+
+def test_shared_columns_only_loosen_the_bound(monkeypatch):
+    monkeypatch.setattr(sim, "_COLUMNS", 3)
+    texts = texts_of(30)
+    shared = sim.NameIndex(texts, 60).letters_shared(texts, 0, len(texts))
+    for a, row in zip(texts, shared):
+        assert all(n >= sum(min(a.count(c), b.count(c)) for c in set(a)) for b, n in zip(texts, row))
+
+
+def test_leaders_are_not_compared_again(spark, monkeypatch):
+    rows = [("", t, i, t, False) for i, t in enumerate(["night train", "blue moon", "night trains", "solitude", "caravan"])]
+    nodes = spark.createDataFrame(rows, "block STRING, processed STRING, position LONG, cleaned STRING, blocked BOOLEAN").withColumn("name", F.col("processed"))
+    asked, plain = [], md.first_matches
+    monkeypatch.setattr(md, "first_matches", lambda left, right, *more, **named: asked.append(left.count()) or plain(left, right, *more, **named))
+    found = {r["processed"]: r["leader"] for r in md.leaders(nodes, 75).collect()}
+    assert found == {"night train": "night train", "blue moon": "blue moon", "night trains": "night train", "solitude": "solitude", "caravan": "caravan"}
+    assert asked[-1] == 1
+
+
+def test_long_names_are_matched(spark):
+    long = "a long title that goes on and on beyond the sixty four letters of a machine word"
+    names = [f"{long} {i} {'xyzq'[i] * 20}" for i in range(4)] + [long, long[:60], "short"] + texts_of(100)
+    names = sorted({n for n in names if n})
+    rows = spark.createDataFrame([("", n, i, n) for i, n in enumerate(names)], "block STRING, processed STRING, position LONG, cleaned STRING")
+    found = {r["processed"]: r["other"] for r in md.first_matches(rows, rows, 70, earlier=True).collect()}
+    for i, n in enumerate(names):
+        assert found.get(n) == next((m for m in names[:i] if slow_ratio(n, m) > 70), None)
+
+
 def test_texts_are_dealt_by_notes(spark, monkeypatch):
     monkeypatch.setattr(enc, "NOTES_PER_TASK", 2)
     notes = some_notes(spark)
