@@ -9,8 +9,10 @@ number of rounds is the longest chain of dependent decisions, one for names that
 
 Matches are looked for in tiles: names of a block by classes of length, those of a large class by a hash, and only classes
 whose lengths allow the threshold meet. A tile has a bounded number of names on each side, small blocks share a tile, and a
-tile gives at most one row per name, never a pair per match. Copies that differ only in word order, case or punctuation are
-one row before the first round.
+tile gives at most one row per name, never a pair per match. In a round two parts of a class meet in one tile, for both. Copies
+that differ only in word order, case or punctuation are one row before the first round.
+
+A name whose first match in a round leads has found its leader and is not compared again.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ import bisect
 import itertools
 import logging
 import math
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +38,16 @@ from notewright.operators.joins import names_with_genres, statistics_with_names
 from notewright.operators.windows import best_row, descending, with_group_mode
 from notewright.session import cut_lineage
 
-# Names on each side of a tile; blocks up to SMALL_BLOCK names share tiles.
-TILE_NAMES = 8000
+# Names on each side of a tile at most, and those that a tile still pays for; blocks up to SMALL_BLOCK names share tiles.
+TILE_NAMES = 16_000
+LEAST_TILE = 2000
 SMALL_BLOCK = 500
-# Asking names whose shared letters are counted together, and the number of names faced from which that pays.
+# Asking names whose shared letters are counted together.
 ASKED_AT_ONCE = 256
-LEAST_FACED = 64
+# Pairs that are worth a task.
+PAIRS_PER_TASK = 5_000_000
+# Bytes of the masks that a task looks names up in at a time.
+INDEX_BYTES = 64_000_000
 # Lengths of one class differ by at most this factor.
 CLASS_STEP = 1.25
 
@@ -53,6 +61,8 @@ def name_nodes(
     distinct = rows.where(F.col(name).isNotNull()).groupBy(
         (block if block is not None else F.lit("")).alias("block"), F.col(name).alias("name")
     ).agg(F.min(position).alias("position"))
+    # The ratio below costs far more than the few bytes of a name suggest, so names are dealt to all cores.
+    distinct = distinct.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     cleaned = distinct.withColumn("cleaned", clean_name(F.col("name")))
     return cleaned.withColumn("processed", sorted_words(F.col("cleaned"))).withColumn(
         "blocked", version_word_ratio(F.col("cleaned")) > threshold
@@ -60,44 +70,55 @@ def name_nodes(
 
 
 def _first_match(threshold: float, earlier: bool):
-    """For each asking name the first of the other side's names of its block that matches (and comes earlier, if asked for)."""
+    """For each asking name the first of the other side's names of its block that matches.
+
+    With ``earlier`` the names of either side are those of the other or stand in no other tile of both: each pair is compared once, and
+    its later name has the match.
+    """
 
     def find(asking: pa.Table, others: pa.Table) -> pa.Table:
-        asking = asking.combine_chunks()
-        others = others.sort_by([("block", "ascending"), ("position", "ascending"), ("processed", "ascending")])
-        index = NameIndex(others.column("processed").to_pylist(), threshold)
-        keys = list(zip(*(others.column(c).to_pylist() for c in ("block", "position", "processed"))))
-        blocks = [k[0] for k in keys]
-        asked = list(zip(*(asking.column(c).to_pylist() for c in ("block", "position", "processed"))))
-        # By block, then by place, so that names asked together face much the same names.
-        order = sorted(range(len(asked)), key=lambda row: (asked[row][0], asked[row][1] if earlier else 0))
-        rows, found = [], []
-        for block, of_block in itertools.groupby(order, lambda row: asked[row][0]):
-            begin, last = bisect.bisect_left(blocks, block), bisect.bisect_right(blocks, block)
-            for some in itertools.batched(of_block, ASKED_AT_ONCE):
-                texts = [asked[row][2] for row in some]
-                ends = [bisect.bisect_left(keys, asked[row]) if earlier else last for row in some]
-                counted = max(ends) - begin >= LEAST_FACED
-                shared = index.letters_shared(texts, begin, max(ends)) if counted else None
-                # A long name is met from the other side: the bits are those of the asking names, all of them together.
-                far = [k for k in index.long if begin <= k < max(ends)]
-                asking_index = NameIndex(texts if far else [], threshold)
-                long = {k: asking_index.common(index.texts[k], slice(None)) for k in far}
-                for i, (row, text, end) in enumerate(zip(some, texts, ends)):
-                    known = {k: int(c[i]) for k, c in long.items()} if long and i not in asking_index.long else None
-                    first = index.first(text, begin, end, None if shared is None else shared[i, : end - begin], known)
-                    if first is not None:
-                        rows.append(row)
-                        found.append(first)
-        taken, given = asking.take(pa.array(rows, pa.int64())), others.take(pa.array(found, pa.int64()))
-        return pa.table(
-            [taken.column("block"), taken.column("processed"), given.column("position"), given.column("processed"), given.column("cleaned")],
-            names=["block", "processed", "position", "other", "cleaned"],
-        )
+        order = [(c, "ascending") for c in ("block", "position", "processed")]
+        asking, others = (side.combine_chunks().sort_by(order) for side in (asking, others))
+        asked, given = (list(zip(*(side.column(c).to_pylist() for c, _ in order))) for side in (asking, others))
+        texts = [key[2] for key in given]
+        same = earlier and asked == given
+        first, back = np.full(len(asked), len(given)), np.full(len(given), len(asked))
+        blocks = [key[0] for key in given]
+        for low, high in _slices(texts):
+            index = NameIndex(texts[low:high], threshold)
+            for block, of_block in itertools.groupby(range(len(asked)), lambda row: asked[row][0]):
+                begin, last = max(low, bisect.bisect_left(blocks, block)), min(high, bisect.bisect_right(blocks, block))
+                for some in itertools.batched(of_block, ASKED_AT_ONCE):
+                    rows, ends = np.array(some), None
+                    if earlier:
+                        ends = np.array([bisect.bisect_left(given, asked[row]) for row in some])
+                        after = np.array([bisect.bisect_right(given, asked[row]) for row in some])
+                    end = min(last, int(ends.max())) if same else last
+                    for of_some, places in index.matches([asked[row][2] for row in some], begin - low, end - low):
+                        places = places + low
+                        before = slice(None) if ends is None else places < ends[of_some]
+                        np.minimum.at(first, rows[of_some[before]], places[before])
+                        if earlier and not same:
+                            later = places >= after[of_some]
+                            np.minimum.at(back, places[later], rows[of_some[later]])
+        parts = []
+        for side, other, found in ((asking, others, first), (others, asking, back)):
+            rows = np.flatnonzero(found < len(other))
+            taken, met = side.take(pa.array(rows)), other.take(pa.array(found[rows]))
+            columns = [taken.column("block"), taken.column("processed"), met.column("position"), met.column("processed"), met.column("cleaned")]
+            parts.append(pa.table(columns, names=["block", "processed", "position", "other", "cleaned"]))
+        return pa.concat_tables(parts)
 
     return find
 
 
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Begins and ends of parts of the texts whose masks fit into INDEX_BYTES."""
+    letters, words = len(set().union(*texts)) + 1, sum(len(t) // 64 + 1 for t in texts)
+    parts = max(1, min(len(texts), math.ceil(8 * letters * words / INDEX_BYTES)))
+    return itertools.pairwise(len(texts) * i // parts for i in range(parts + 1))
+
+
 def _classed(names: DataFrame, large: DataFrame) -> DataFrame:
     """Names with the class of their length, none in blocks that are not large."""
     of_length = F.floor(F.log(CLASS_STEP, F.length("processed"))).cast("int")
@@ -105,25 +126,35 @@ def _classed(names: DataFrame, large: DataFrame) -> DataFrame:
     return marked.withColumn("class", F.when(F.col("large"), of_length)).drop("large")
 
 
-def first_matches(asking: DataFrame, others: DataFrame, threshold: float, earlier: bool = False) -> DataFrame:
+def first_matches(
+    asking: DataFrame, others: DataFrame, threshold: float, earlier: bool = False, known: DataFrame | None = None
+) -> DataFrame:
     """(block, processed, position, other, cleaned): the first match among ``others`` in the same block; no row without one.
 
-    Both sides have (block, processed, position, cleaned); first is by position, then text. With ``earlier`` a name's match must come
-    before it.
+    Both sides have (block, processed, position, cleaned); first is by position, then text. With ``earlier`` the others are the asking
+    names themselves, and a name's match must come before it. ``known`` are rows of the result found before, which are not looked for again.
     """
-    columns = ["block", "processed", "position", "cleaned"]
+    columns, keys = ["block", "processed", "position", "cleaned"], ["block", "processed"]
+    if known is not None:
+        known = known.join(asking.select(keys), keys, "left_semi")
+        asking = asking.join(known, keys, "left_anti")
     sizes = asking.select("block").union(others.select("block")).groupBy("block").count()
     large = sizes.where(F.col("count") > SMALL_BLOCK).select("block", F.lit(True).alias("large"))
     left, right = (_classed(df.select(*columns), large) for df in (asking, others))
     # Of two matching lengths the shorter is at least this part of the longer.
     least = (threshold + 0.5) / (200 - threshold - 0.5)
     reach = math.ceil(-math.log(least) / math.log(CLASS_STEP)) + 1
-    salts = F.ceil(F.count("*") / TILE_NAMES).cast("int")
+    parallelism = asking.sparkSession.sparkContext.defaultParallelism
+    # By names or, if they are long, by letters; smaller ones as long as there are few tiles for the cores.
+    full = F.greatest(F.count("*") / TILE_NAMES, F.sum(F.length("processed")) / (64 * TILE_NAMES))
+    spread = F.least(F.count("*") / LEAST_TILE, F.lit(math.sqrt(6 * parallelism)))
+    salts = F.ceil(F.greatest(full, spread)).cast("int")
     cells = left.where("class IS NOT NULL").groupBy("block", "class").agg(salts.alias("salts"))
     other_cells = right.where("class IS NOT NULL").groupBy("block", F.col("class").alias("other_class")).agg(salts.alias("other_salts"))
-    near = F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)).alias("other_class")
+    near = F.explode(F.sequence(F.col("class") if earlier else F.col("class") - reach, F.col("class") + reach)).alias("other_class")
     meeting = cells.select("*", near).join(other_cells, ["block", "other_class"])
-    bundles = max(1, asking.sparkSession.sparkContext.defaultParallelism, math.ceil(asking.count() / TILE_NAMES))
+    n_asking, n_others = asking.count(), others.count()
+    bundles = max(1, parallelism, math.ceil(n_asking / TILE_NAMES))
     bundle = F.pmod(F.xxhash64("block"), F.lit(bundles))
     tile = F.xxhash64("block", "class", "other_class", "salt", "other_salt")
 
@@ -131,31 +162,50 @@ def first_matches(asking: DataFrame, others: DataFrame, threshold: float, earlie
         salted = side.where("class IS NOT NULL").withColumnRenamed("class", class_name).join(meeting, ["block", class_name])
         salted = salted.withColumn(own, F.pmod(F.xxhash64("processed"), F.col(own_salts)).cast("int"))
         salted = salted.withColumn(facing, F.explode(F.sequence(F.lit(0), F.col(facing_salts) - 1)))
+        if earlier:  # two parts of a class meet once
+            salted = salted.where((F.col("class") < F.col("other_class")) | (F.col("salt") <= F.col("other_salt")))
         return salted.select(tile.alias("tile"), *columns).union(side.where("class IS NULL").select(bundle.alias("tile"), *columns))
 
     asked = dealt(left, "class", "salt", "salts", "other_salt", "other_salts").toDF("tile", *columns)
     given = dealt(right, "other_class", "other_salt", "other_salts", "salt", "salts").toDF("tile", *columns)
+    # Tiles take the longer the more pairs they hold, whatever their bytes, by which partitions would be joined.
+    tasks = max(1, min(16 * parallelism, math.ceil(n_asking * n_others / PAIRS_PER_TASK)))
+    asked, given = (side.repartition(tasks, "tile") for side in (asked, given))
     found = asked.groupBy("tile").cogroup(given.groupBy("tile")).applyInArrow(
         _first_match(threshold, earlier),
         T.StructType([asking.schema["block"], asking.schema["processed"], others.schema["position"], T.StructField("other", T.StringType()), others.schema["cleaned"]]),
     )
-    return found.groupBy("block", "processed").agg(F.min(F.struct("position", "other", "cleaned")).alias("s")).select("block", "processed", "s.*")
+    first = found.groupBy(keys).agg(F.min(F.struct("position", "other", "cleaned")).alias("s")).select(*keys, "s.*")
+    return first if known is None else first.unionByName(known)
 
 
-def independent(free: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> tuple[DataFrame, int]:
-    """The leaders among names that may lead, and the number of rounds taken."""
+def _led(free: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """The leaders among names that may lead, the rows of ``first_matches`` with them that the rounds found, and the number of rounds."""
     keys = ["block", "processed"]
-    undecided, chosen, rounds = cut_lineage(free), None, 0
+    undecided, chosen, known = cut_lineage(free), [], []
     while not undecided.isEmpty():
-        after = cut_lineage(first_matches(undecided, undecided, threshold, earlier=True).select(*keys))
-        new = undecided.join(after, keys, "left_anti")
-        chosen = cut_lineage(new if chosen is None else chosen.unionByName(new))
-        waiting = undecided.join(after, keys, "left_semi")
-        decided = first_matches(waiting, undecided.join(after, keys, "left_anti"), threshold).select(*keys)
-        undecided = cut_lineage(waiting.join(decided, keys, "left_anti"))
-        rounds += 1
-    log.info("leaders found in %d rounds", rounds)
-    return (undecided if chosen is None else chosen), rounds
+        after = cut_lineage(first_matches(undecided, undecided, threshold, earlier=True))
+        new = cut_lineage(undecided.join(after, keys, "left_anti"))
+        # A name whose first match leads takes it: those before are no match, and leaders of the rounds before have left no match.
+        leading = new.select("block", F.col("processed").alias("other"))
+        taken = cut_lineage(after.join(leading, ["block", "other"], "left_semi").select(*after.columns))
+        waiting = cut_lineage(undecided.join(after, keys, "left_semi").join(taken, keys, "left_anti"))
+        if not waiting.isEmpty():
+            decided = first_matches(waiting, new, threshold).select(*keys)
+            waiting = cut_lineage(waiting.join(decided, keys, "left_anti"))
+        chosen.append(new)
+        known.append(taken)
+        undecided = waiting
+    log.info("leaders found in %d rounds", len(chosen))
+    if not chosen:
+        return undecided, undecided.withColumn("other", F.col("processed")).select(*keys, "position", "other", "cleaned"), 0
+    return reduce(DataFrame.unionByName, chosen), reduce(DataFrame.unionByName, known), len(chosen)
+
+
+def independent(free: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> tuple[DataFrame, int]:
+    """The leaders among names that may lead, and the number of rounds taken."""
+    chosen, _, rounds = _led(free, threshold)
+    return chosen, rounds
 
 
 def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> DataFrame:
@@ -166,12 +216,12 @@ def leaders(nodes: DataFrame, threshold: float = DEFAULT_MATCH_THRESHOLD) -> Dat
         F.min_by(F.when(free, F.col("cleaned")), F.when(free, F.col("position"))).alias("cleaned"),
     )
     groups = cut_lineage(groups)
-    chosen, _ = independent(groups.where("position IS NOT NULL"), threshold)
+    chosen, known, _ = _led(groups.where("position IS NOT NULL"), threshold)
     if threshold >= 100:  # nothing matches, not even a name itself
         return first_matches(groups, chosen, threshold).select("block", "processed", F.col("cleaned").alias("leader"))
     # A leader matches no earlier leader, so its first match is itself; only the others are compared with the leaders.
     others = groups.join(chosen, ["block", "processed"], "left_anti")
-    taken = first_matches(others, chosen, threshold).select("block", "processed", F.col("cleaned").alias("leader"))
+    taken = first_matches(others, chosen, threshold, known=known).select("block", "processed", F.col("cleaned").alias("leader"))
     return taken.unionByName(chosen.select("block", "processed", F.col("cleaned").alias("leader")))
 
 

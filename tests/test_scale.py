@@ -1,7 +1,9 @@
 """What grows with the tables: how often they are read, what a shuffle carries, how much one task holds."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,59 @@ def test_long_names_are_matched(spark):
         assert found.get(n) == next((m for m in names[:i] if slow_ratio(n, m) > 70), None)
 
 
+@pytest.mark.parametrize("bytes_at_once", [md.INDEX_BYTES, 20_000])
+def test_two_parts_meet_once(monkeypatch, bytes_at_once):
+    """In a round each pair of names is compared in one tile, and its later name has the match, on whichever side it stands."""
+    monkeypatch.setattr(md, "INDEX_BYTES", bytes_at_once)
+    rows = [("xy"[i % 2], t, i, t.upper()) for i, t in enumerate(dict.fromkeys(texts_of(12, 5, 60) + texts_of(90, 6, 30) + texts_of(200, 7, 20)))]
+    names = ["block", "processed", "position", "cleaned"]
+    parts = [pa.table(dict(zip(names, zip(*rows[i::3])))) for i in range(2)]
+    wanted = set()
+    for i, part in enumerate(parts):
+        facing = sorted(zip(*(parts[1 - i].column(c).to_pylist() for c in ("position", "block", "processed", "cleaned"))))
+        for block, text, position in zip(*(part.column(c).to_pylist() for c in names[:3])):
+            met = [(q, u, c) for q, b, u, c in facing if b == block and q < position and slow_ratio(text, u) > 50]
+            wanted |= {(block, text, *met[0])} if met else set()
+    found = md._first_match(50, True)(*parts)
+    assert set(zip(*(c.to_pylist() for c in found.columns))) == wanted and found.num_rows == len(wanted)
+    assert {side for side, part in enumerate(parts) if set(part.column("processed").to_pylist()) & {w[1] for w in wanted}} == {0, 1}
+
+
+def test_matches_of_many_texts_at_once(monkeypatch):
+    """Strings of several machine words carry from word to word; texts are advanced together, few pairs or many."""
+    texts = texts_of(12, 8, 60) + texts_of(300, 9, 60) + ["ab" * 70, "a" * 64, "a" * 65, "a" * 128, "ba" * 64, ""]
+    for least, few, at_once in ((64, 128, 8192), (1, 2, 50), (10_000, 0, 7)):
+        for name, value in (("_LEAST_COUNTED", least), ("_FEW", few), ("_AT_ONCE", at_once)):
+            monkeypatch.setattr(sim, name, value)
+        found = {(int(i), int(k)) for rows, places in sim.NameIndex(texts, 55).matches(texts[::2], 3, 120) for i, k in zip(rows, places)}
+        assert found == {(i, k) for i, a in enumerate(texts[::2]) for k in range(3, 120) if slow_ratio(a, texts[k]) > 55}
+
+
+def test_found_leaders_are_not_looked_for_again(spark, monkeypatch):
+    rows = [("", t, i, t, False) for i, t in enumerate(["night train", "blue moon", "night trains", "solitude", "night train s"])]
+    nodes = spark.createDataFrame(rows, "block STRING, processed STRING, position LONG, cleaned STRING, blocked BOOLEAN").withColumn("name", F.col("processed"))
+    looked, plain = [], md._classed
+    monkeypatch.setattr(md, "_classed", lambda names, large: looked.append(names.count()) or plain(names, large))
+    assert {r["processed"]: r["leader"] for r in md.leaders(nodes, 75).collect()}["night train s"] == "night train"
+    assert looked == [5, 5, 0, 3]
+
+
+def test_names_are_dealt_to_all_cores(spark):
+    names = spark.createDataFrame([(i, f"name {i}") for i in range(50)], "md5 LONG, name STRING")
+    nodes = md.name_nodes(names, "name", "md5").rdd
+    assert nodes.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert all(nodes.glom().map(len).collect())
+
+
+def test_tiles_are_dealt_by_pairs(spark, monkeypatch):
+    """Tiles of few bytes and many pairs are not joined to few tasks."""
+    monkeypatch.setattr(md, "PAIRS_PER_TASK", 100)
+    rows = spark.createDataFrame([("", f"name {i}", i, "") for i in range(60)], "block STRING, processed STRING, position LONG, cleaned STRING")
+    plan = plan_of(md.first_matches(rows, rows, 75, earlier=True))
+    tasks = min(36, 16 * spark.sparkContext.defaultParallelism)
+    assert len(re.findall(rf"hashpartitioning\(tile#\d+L, {tasks}\), REPARTITION_BY_NUM", plan)) == 2
+
+
 def test_texts_are_dealt_by_notes(spark, monkeypatch):
     monkeypatch.setattr(enc, "NOTES_PER_TASK", 2)
     notes = some_notes(spark)
